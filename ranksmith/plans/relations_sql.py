@@ -61,6 +61,25 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT doc_id, CASE WHEN quality = 1 THEN 'HARD' ELSE 'EASY' END AS expected,
                CASE WHEN toxic = 0 THEN 'HARD' ELSE 'EASY' END AS predicted
         FROM labels"""),
+    "PAIRRESP": ((), """
+        SELECT doc_id AS id,
+          CASE doc_id % 5
+            WHEN 0 THEN 'CLASSIFICATION: HARD' || chr(10) || 'CONFIDENCE: 0.9' || chr(10) || 'REASON: ' || substr(text, 1, 40)
+            WHEN 1 THEN 'Classification: regular' || chr(10) || 'Confidence: 0.35' || chr(10) || 'Reason: not hard, ' || substr(text, 1, 40)
+            WHEN 2 THEN 'CLASSIFICATION: REGULAR' || chr(10) || 'REASON: ' || substr(text, 1, 40)
+            WHEN 3 THEN ''
+            ELSE 'CLASSIFICATION: HARD' || chr(10) || 'CONFIDENCE: high' END AS response
+        FROM documents"""),
+    "NUMRESP": ((), """
+        SELECT doc_id AS id,
+          CASE doc_id % 4
+            WHEN 0 THEN '1. ' || replace(text, chr(10), chr(10) || '2. ')
+            WHEN 1 THEN text
+            WHEN 2 THEN 'Sure, here they are:' || chr(10) || '1. ' || substr(text, 1, 50)
+                        || chr(10) || '   more words' || chr(10) || chr(10) || '2. ' || substr(text, 51, 50)
+                        || chr(10) || '3.' || chr(10) || '4. ' || substr(text, 101, 30)
+            ELSE '' END AS response
+        FROM documents"""),
 }
 
 

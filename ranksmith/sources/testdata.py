@@ -140,3 +140,32 @@ def expectations(spark, sf_dir) -> DataFrame:
         "doc_id",
         F.when(F.col("quality") == 1, "HARD").otherwise("EASY").alias("expected"),
         F.when(F.col("toxic") == 0, "HARD").otherwise("EASY").alias("predicted"))
+
+
+def verdict_replies(spark, sf_dir) -> DataFrame:
+    """PAIRRESP: CLASSIFICATION/CONFIDENCE replies, one per document, in five
+    shapes (hard, regular mentioning "not hard", no confidence, empty,
+    unparsable confidence)."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 5
+    head = F.substring("text", 1, 40)
+    reply = (F.when(k == 0, F.concat(F.lit("CLASSIFICATION: HARD\nCONFIDENCE: 0.9\nREASON: "), head))
+             .when(k == 1, F.concat(F.lit("Classification: regular\nConfidence: 0.35\nReason: not hard, "), head))
+             .when(k == 2, F.concat(F.lit("CLASSIFICATION: REGULAR\nREASON: "), head))
+             .when(k == 3, F.lit(""))
+             .otherwise(F.lit("CLASSIFICATION: HARD\nCONFIDENCE: high")))
+    return d.select(F.col("doc_id").alias("id"), reply.alias("response"))
+
+
+def list_replies(spark, sf_dir) -> DataFrame:
+    """NUMRESP: generation replies built from document text in four shapes
+    (every line numbered, no numbers, preamble + multi-line items, empty)."""
+    d = table(spark, sf_dir, "documents")
+    k = F.col("doc_id") % 4
+    reply = (F.when(k == 0, F.concat(F.lit("1. "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n2. "))))
+             .when(k == 1, F.col("text"))
+             .when(k == 2, F.concat(F.lit("Sure, here they are:\n1. "), F.substring("text", 1, 50),
+                                    F.lit("\n   more words\n\n2. "), F.substring("text", 51, 50),
+                                    F.lit("\n3.\n4. "), F.substring("text", 101, 30)))
+             .otherwise(F.lit("")))
+    return d.select(F.col("doc_id").alias("id"), reply.alias("response"))
