@@ -41,11 +41,14 @@ def passage_key(text: Column) -> tuple[Column, Column]:
 
 
 def build_corpus(df: DataFrame, cols: Sequence[str] = ("gold_passage", "hard_negative"),
-                 scope: Sequence[str] = (), out: str = "passage") -> DataFrame:
-    """Distinct non-null texts of ``cols`` (gold passages and negatives)."""
-    cols = [c for c in cols if c in df.columns]
-    return df.select(*scope, F.explode(F.array(*[F.col(c) for c in cols])).alias(out)) \
-        .na.drop(subset=[out]).distinct()
+                 scope: Sequence[str] = (), out: str = "passage",
+                 array_cols: Sequence[str] = ("negatives",)) -> DataFrame:
+    """Distinct non-null texts of ``cols`` (gold passages and negatives) and
+    of the elements of array columns ``array_cols`` (negatives lists)."""
+    parts = [F.array(*[F.col(c) for c in cols if c in df.columns])]
+    parts += [F.col(c) for c in array_cols if c in df.columns]
+    texts = parts[0] if len(parts) == 1 else F.concat(*parts)
+    return df.select(*scope, F.explode(texts).alias(out)).na.drop(subset=[out]).distinct()
 
 
 @dataclass
@@ -96,12 +99,11 @@ def bm25_index(corpus: DataFrame, text: str = "passage", scope: Sequence[str] =
     return BM25Index(docs, doc_stats, stats, terms, postings, tuple(scope_key))
 
 
-def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
-                tokenizer: Callable[[Column], Column] = tokenize,
-                salt_buckets: int = 16) -> DataFrame:
-    """``(scope..., qkeys..., pid, pid2, score)`` for every document sharing
-    at least one term with the query.  A repeated query term counts once per
-    repetition."""
+def posting_matches(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
+                    tokenizer: Callable[[Column], Column] = tokenize,
+                    salt_buckets: int = 16) -> DataFrame:
+    """The posting join: one row per (query, term, document) with the query
+    term count ``qtf`` and the posting ``weight``.  Hot terms are salted."""
     sk = list(index.scope)
     q = queries if "_scope" not in sk or "_scope" in queries.columns else \
         queries.withColumn("_scope", F.lit(0))
@@ -113,7 +115,17 @@ def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text
                            .otherwise(F.array(F.lit(0))))).drop("_hot")
     post = index.postings.withColumn(
         "_salt", F.when(F.col("hot"), F.pmod(F.col("pid"), F.lit(salt_buckets))).otherwise(F.lit(0)))
-    return qt.join(post, [*sk, "term", "_salt"]) \
+    return qt.join(post, [*sk, "term", "_salt"]).drop("_salt", "hot")
+
+
+def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
+                tokenizer: Callable[[Column], Column] = tokenize,
+                salt_buckets: int = 16) -> DataFrame:
+    """``(scope..., qkeys..., pid, pid2, score)`` for every document sharing
+    at least one term with the query.  A repeated query term counts once per
+    repetition."""
+    sk = list(index.scope)
+    return posting_matches(index, queries, qkeys, text, tokenizer, salt_buckets) \
         .groupBy(*sk, *qkeys, "pid", "pid2") \
         .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 

@@ -134,3 +134,41 @@ def q_bm25_topk(spark, sf_dir):
     return t.select(F.md5("query_text").alias("query_md5"), F.md5("gold_passage").alias("gold_md5"),
                     F.col("rank").cast("int"), F.md5("passage").alias("passage_md5"),
                     r6(F.col("score")).alias("score"))
+
+
+def bm25_mine_sql(corpus_sql: str, qs_sql: str) -> str:
+    """CTE chain (no WITH) ending in ``mined(_scope, query_text, gold_passage,
+    mined)``: BM25 over ``corpus_sql`` (``_scope, passage``), first negative
+    for every distinct row of ``qs_sql`` (``_scope, query_text,
+    gold_passage``), padded by the smallest (md5, text) corpus text."""
+    return f"""
+corpus AS ({corpus_sql}),
+dtok AS (SELECT _scope, passage, {tok_sql('passage')} AS toks FROM corpus),
+stats AS (SELECT _scope, count(*) AS n_docs, avg(len(toks)) AS avgdl FROM dtok GROUP BY _scope),
+post AS (SELECT _scope, passage, dl, term, count(*) AS tf
+         FROM (SELECT _scope, passage, len(toks) AS dl, unnest(toks) AS term FROM dtok) GROUP BY ALL),
+dfs AS (SELECT _scope, term, count(*) AS df FROM post GROUP BY ALL),
+raw AS (SELECT d._scope, term, df, ln(n_docs - df + 0.5) - ln(df + 0.5) AS idf_raw
+        FROM dfs d JOIN stats s USING (_scope)),
+avgi AS (SELECT _scope, avg(idf_raw) AS a FROM raw GROUP BY _scope),
+terms AS (SELECT r._scope, term, df, CASE WHEN idf_raw < 0 THEN CAST(0.25 AS DOUBLE) * a ELSE idf_raw END AS idf
+          FROM raw r JOIN avgi USING (_scope)),
+w AS (SELECT p._scope, p.passage, p.term, p.tf,
+             t.idf * p.tf * CAST(2.5 AS DOUBLE)
+               / (p.tf + CAST(1.5 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * p.dl / s.avgdl)) AS weight
+      FROM post p JOIN terms t USING (_scope, term) JOIN stats s USING (_scope)),
+qs AS (SELECT DISTINCT _scope, query_text, gold_passage FROM ({qs_sql})),
+qt AS (SELECT _scope, query_text, gold_passage, term, count(*) AS qtf
+       FROM (SELECT _scope, query_text, gold_passage, unnest({tok_sql('query_text')}) AS term FROM qs) GROUP BY ALL),
+sc AS (SELECT qt._scope, qt.query_text, qt.gold_passage, w.passage, sum(qt.qtf * w.weight) AS score
+       FROM qt JOIN w USING (_scope, term) GROUP BY ALL),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY _scope, query_text, gold_passage
+                                        ORDER BY round(score, 9) DESC, passage) AS rn
+           FROM sc WHERE passage <> gold_passage),
+pads AS (SELECT _scope, passage, row_number() OVER (PARTITION BY _scope ORDER BY md5(passage), passage) AS pn
+         FROM corpus),
+mined AS (SELECT q._scope, q.query_text, q.gold_passage,
+                 coalesce(r.passage, (SELECT p.passage FROM pads p WHERE p._scope = q._scope
+                                      AND p.passage <> q.gold_passage ORDER BY p.pn LIMIT 1)) AS mined
+          FROM qs q LEFT JOIN ranked r ON r._scope = q._scope AND r.query_text = q.query_text
+                                      AND r.gold_passage = q.gold_passage AND r.rn = 1)"""

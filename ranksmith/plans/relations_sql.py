@@ -33,6 +33,10 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
     "BQREL": (("BQ", "PASS"), """
         SELECT b.query_id, p.corpus_id, CAST(1 AS INTEGER) AS score
         FROM BQ b JOIN PASS p ON contains(p.text, substr(b.text, 1, 60))"""),
+    "QRELS_DIRTY": (("BQREL",), """
+        SELECT query_id, corpus_id, score FROM BQREL
+        UNION ALL SELECT query_id, corpus_id || '-missing', score FROM BQREL
+        UNION ALL SELECT query_id || '-missing', corpus_id, score FROM BQREL"""),
     "DIRTY_B": ((), """
         SELECT doc_id, lang,
                CASE WHEN doc_id % 23 = 0 THEN '   '

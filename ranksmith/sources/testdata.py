@@ -169,3 +169,11 @@ def list_replies(spark, sf_dir) -> DataFrame:
                                     F.lit("\n3.\n4. "), F.substring("text", 101, 30)))
              .otherwise(F.lit("")))
     return d.select(F.col("doc_id").alias("id"), reply.alias("response"))
+
+
+def bench_qrels_dirty(spark, sf_dir) -> DataFrame:
+    """BQREL plus orphan rows: every pair again with a missing corpus id and
+    with a missing query id."""
+    r = bench_qrels(spark, sf_dir)
+    return r.unionByName(r.select("query_id", F.concat("corpus_id", F.lit("-missing")).alias("corpus_id"), "score")) \
+        .unionByName(r.select(F.concat("query_id", F.lit("-missing")).alias("query_id"), "corpus_id", "score"))
