@@ -165,6 +165,8 @@ sc AS (SELECT qt._scope, qt.query_text, qt.gold_passage, w.passage, sum(qt.qtf *
 ranked AS (SELECT *, row_number() OVER (PARTITION BY _scope, query_text, gold_passage
                                         ORDER BY round(score, 9) DESC, passage) AS rn
            FROM sc WHERE passage <> gold_passage),
+ranked_all AS (SELECT *, row_number() OVER (PARTITION BY _scope, query_text, gold_passage
+                                            ORDER BY round(score, 9) DESC, passage) AS rn FROM sc),
 pads AS (SELECT _scope, passage, row_number() OVER (PARTITION BY _scope ORDER BY md5(passage), passage) AS pn
          FROM corpus),
 mined AS (SELECT q._scope, q.query_text, q.gold_passage,

@@ -179,8 +179,8 @@ def q_build_context_prompt(spark, sf_dir):
 
 # ---- parsers --------------------------------------------------------------------------
 
-def _sql_hardness(extended: bool) -> str:
-    s = f"upper({strip_sql('coalesce(response, ' + chr(39) * 2 + ')')})"
+def hardness_sql(extended: bool) -> str:
+    """SQL for parse_hardness over a column ``s`` = upper(strip(reply))."""
     cands = [f"CASE WHEN regexp_matches(s, '{NUM}') THEN "
              f"(CASE WHEN CAST(s AS DOUBLE) > 1 THEN CAST(s AS DOUBLE) / 100.0 ELSE CAST(s AS DOUBLE) END) END"]
     pats = list(T.SCORE_PATTERNS) + (list(T.EXTENDED_PATTERNS) if extended else [])
@@ -196,7 +196,16 @@ def _sql_hardness(extended: bool) -> str:
     if extended:
         kw = " ".join(f"WHEN contains(s, '{w}') THEN {v}" for w, v in T.HARDNESS_KEYWORDS)
         clamped = f"coalesce({clamped}, CASE {kw} END)"
-    return f"SELECT id, response, round(coalesce({clamped}, 0.5), 6) AS score FROM (SELECT id, response, {s} AS s FROM RESP)"
+    return f"coalesce({clamped}, 0.5)"
+
+
+def upper_strip_sql(col: str) -> str:
+    return f"upper({strip_sql('coalesce(' + col + ', ' + chr(39) * 2 + ')')})"
+
+
+def _sql_hardness(extended: bool) -> str:
+    return (f"SELECT id, response, round({hardness_sql(extended)}, 6) AS score "
+            f"FROM (SELECT id, response, {upper_strip_sql('response')} AS s FROM RESP)")
 
 
 @query("parse_hardness", with_rel(_sql_hardness(False), "RESP"))
