@@ -21,6 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +52,11 @@ def build_corpus(df: DataFrame, cols: Sequence[str] = ("gold_passage", "hard_neg
     return df.select(*scope, F.explode(texts).alias(out)).na.drop(subset=[out]).distinct()
 
 
+def _partitions(df: DataFrame) -> int:
+    """The session's shuffle partition count (sized by the cluster)."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 @dataclass
 class BM25Index:
     corpus: DataFrame     # scope..., pid, pid2, passage
@@ -65,50 +71,83 @@ def bm25_index(corpus: DataFrame, text: str = "passage", scope: Sequence[str] =
                k1: float = K1, b: float = B, epsilon: float = EPSILON,
                tokenizer: Callable[[Column], Column] = tokenize,
                hot_df: int = 200_000) -> BM25Index:
-    """Index a corpus of distinct texts (one row per text and scope)."""
+    """Index a corpus of distinct texts (one row per text and scope).
+
+    Corpus statistics (document count, mean length, mean idf) are one row
+    per scope.  Without a scope they are read back as scalars (one-row
+    aggregates) and enter the plan as literals; with a scope they are joined
+    on the scope columns as a broadcast of one row per scope value.
+    """
     sc = list(scope)
-    scope_key = sc or ["_scope"]
     pid, pid2 = passage_key(F.col(text))
-    docs = corpus.select(*sc, F.col(text).alias("passage"))
-    if not sc:
-        docs = docs.withColumn("_scope", F.lit(0))
-    docs = docs.select(*scope_key, pid.alias("pid"), pid2.alias("pid2"), "passage")
-    toks = docs.select(*scope_key, "pid", "pid2", tokenizer(F.col("passage")).alias("tokens"))
-    doc_stats = toks.select(*scope_key, "pid", "pid2", F.size("tokens").cast("long").alias("dl"))
-    postings0 = toks.select(*scope_key, "pid", "pid2", F.size("tokens").alias("dl"),
+    # The corpus and its (doc, term) counts feed the statistics, the postings
+    # and the final text lookup: computed once, kept (spilling to disk).
+    docs = corpus.select(*sc, pid.alias("pid"), pid2.alias("pid2"), F.col(text).alias("passage")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    toks = docs.select(*sc, "pid", "pid2", tokenizer(F.col("passage")).alias("tokens"))
+    doc_stats = toks.select(*sc, "pid", "pid2", F.size("tokens").cast("long").alias("dl"))
+    postings0 = toks.select(*sc, "pid", "pid2", F.size("tokens").alias("dl"),
                             F.explode("tokens").alias("term")) \
-        .groupBy(*scope_key, "pid", "pid2", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
-    base = doc_stats.groupBy(*scope_key).agg(F.count(F.lit(1)).alias("n_docs"),
-                                             F.avg("dl").alias("avgdl"))
-    dfs = postings0.groupBy(*scope_key, "term").agg(F.count(F.lit(1)).alias("df"))
-    raw = dfs.join(F.broadcast(base), scope_key) \
-        .withColumn("idf_raw", F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-    mean_idf = raw.groupBy(*scope_key).agg(F.avg("idf_raw").alias("avg_idf"))
-    stats = base.join(mean_idf, scope_key)
-    terms = raw.join(F.broadcast(mean_idf), scope_key).select(
-        *scope_key, "term", "df",
-        F.when(F.col("idf_raw") < 0, F.lit(epsilon) * F.col("avg_idf"))
-         .otherwise(F.col("idf_raw")).alias("idf"),
-        (F.col("df") >= hot_df).alias("hot"))
+        .groupBy(*sc, "pid", "pid2", "dl", "term").agg(F.count(F.lit(1)).alias("tf")) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    base = doc_stats.groupBy(*sc).agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    dfs = postings0.groupBy(*sc, "term").agg(F.count(F.lit(1)).alias("df"))
+    idf_raw = F.log(F.col("n_docs") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
+    if sc:
+        raw = dfs.join(F.broadcast(base.select(*sc, "n_docs")), sc).withColumn("idf_raw", idf_raw)
+        mean_idf = raw.groupBy(*sc).agg(F.avg("idf_raw").alias("avg_idf"))
+        stats = base.join(mean_idf, sc)
+        raw = raw.join(F.broadcast(mean_idf), sc)
+        weighted = postings0.join(F.broadcast(base.select(*sc, "avgdl")), sc)
+    else:
+        one = base.first()
+        raw = dfs.withColumn("n_docs", F.lit(one["n_docs"])).withColumn("idf_raw", idf_raw)
+        avg_idf = raw.agg(F.avg("idf_raw")).first()[0]
+        raw = raw.withColumn("avg_idf", F.lit(avg_idf).cast("double"))
+        stats = base.withColumn("avg_idf", F.lit(avg_idf).cast("double"))
+        weighted = postings0.withColumn("avgdl", F.lit(one["avgdl"]).cast("double"))
+    terms = raw.select(*sc, "term", "df",
+                       F.when(F.col("idf_raw") < 0, F.lit(epsilon) * F.col("avg_idf"))
+                        .otherwise(F.col("idf_raw")).alias("idf"),
+                       (F.col("df") >= hot_df).alias("hot"))
     norm = F.lit(k1) * (F.lit(1.0 - b) + F.lit(b) * F.col("dl") / F.col("avgdl"))
-    postings = postings0.join(terms, [*scope_key, "term"]) \
-        .join(F.broadcast(base.select(*scope_key, "avgdl")), scope_key) \
-        .select(*scope_key, "term", "pid", "pid2", "tf",
+    # Postings end hash-partitioned by document: a broadcast query side then
+    # scores each document's terms inside one task (see posting_matches).
+    postings = weighted.join(terms, [*sc, "term"]) \
+        .select(*sc, "term", "pid", "pid2", "tf",
                 (F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("weight"),
-                "hot")
-    return BM25Index(docs, doc_stats, stats, terms, postings, tuple(scope_key))
+                "hot") \
+        .repartition(_partitions(corpus), *sc, "pid", "pid2")
+    return BM25Index(docs, doc_stats, stats, terms, postings, tuple(sc))
+
+
+# Query-term rows up to which the query side is broadcast (about 64 bytes a
+# row); beyond it the salted shuffle join is used.
+BROADCAST_QUERY_TERMS = 1_000_000
 
 
 def posting_matches(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
                     tokenizer: Callable[[Column], Column] = tokenize,
-                    salt_buckets: int = 16) -> DataFrame:
+                    salt_buckets: int = 16, broadcast_rows: int | None = BROADCAST_QUERY_TERMS) -> DataFrame:
     """The posting join: one row per (query, term, document) with the query
-    term count ``qtf`` and the posting ``weight``.  Hot terms are salted."""
+    term count ``qtf`` and the posting ``weight``.
+
+    Two strategies, chosen by a size check on the query side:
+
+    * query terms ``<= broadcast_rows`` rows: broadcast them.  The postings
+      are not shuffled and stay partitioned by document, so the
+      (query, document) sum that follows needs no exchange either.
+    * larger: shuffle join on (term, salt); terms with ``df >= hot_df`` are
+      spread over ``salt_buckets`` buckets by document, the query side is
+      replicated into each bucket.
+    """
     sk = list(index.scope)
-    q = queries if "_scope" not in sk or "_scope" in queries.columns else \
-        queries.withColumn("_scope", F.lit(0))
-    qt = q.select(*sk, *qkeys, F.explode(tokenizer(F.col(text))).alias("term")) \
+    qt = queries.select(*sk, *qkeys, F.explode(tokenizer(F.col(text))).alias("term")) \
         .groupBy(*sk, *qkeys, "term").agg(F.count(F.lit(1)).alias("qtf"))
+    if broadcast_rows is not None:
+        qt = qt.persist(StorageLevel.MEMORY_AND_DISK)  # counted now, broadcast below
+        if qt.count() <= broadcast_rows:
+            return F.broadcast(qt).join(index.postings.drop("hot"), [*sk, "term"])
     hot = index.terms.filter("hot").select(*sk, "term", F.lit(True).alias("_hot"))
     qt = qt.join(hot, [*sk, "term"], "left").withColumn(
         "_salt", F.explode(F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salt_buckets - 1)))
@@ -120,12 +159,12 @@ def posting_matches(index: BM25Index, queries: DataFrame, qkeys: Sequence[str],
 
 def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
                 tokenizer: Callable[[Column], Column] = tokenize,
-                salt_buckets: int = 16) -> DataFrame:
+                salt_buckets: int = 16, broadcast_rows: int | None = BROADCAST_QUERY_TERMS) -> DataFrame:
     """``(scope..., qkeys..., pid, pid2, score)`` for every document sharing
     at least one term with the query.  A repeated query term counts once per
     repetition."""
     sk = list(index.scope)
-    return posting_matches(index, queries, qkeys, text, tokenizer, salt_buckets) \
+    return posting_matches(index, queries, qkeys, text, tokenizer, salt_buckets, broadcast_rows) \
         .groupBy(*sk, *qkeys, "pid", "pid2") \
         .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
@@ -175,8 +214,6 @@ def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_p
     qs = df.select(*sc, query, gold).distinct() \
         .withColumn("qh", qh).withColumn("qh2", qh2) \
         .withColumn("gpid", gp).withColumn("gpid2", gp2)
-    if "_scope" in sk:
-        qs = qs.withColumn("_scope", F.lit(0))
     s = bm25_scores(index, qs, ["qh", "qh2", "gpid", "gpid2"], query, **kw) \
         .filter((F.col("pid") != F.col("gpid")) | (F.col("pid2") != F.col("gpid2")))
     top = _ranked(s, index, [*sk, "qh", "qh2"], n)
@@ -188,11 +225,15 @@ def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_p
     # Pads: the 2n+1 smallest corpus texts by (md5, text) per scope -- at most
     # n are chosen and one is gold, so enough remain.  Bounded: 2n+1 per scope.
     m = pad_seed_rows or 2 * n + 1
-    pw = Window.partitionBy(*sk).orderBy(F.md5("passage"), F.col("passage"))
-    pads = index.corpus.withColumn("_p", F.row_number().over(pw)).filter(F.col("_p") <= m) \
-        .groupBy(*sk).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "passage"))),
-                                      lambda x: x["passage"]).alias("_pads"))
-    out = out.join(F.broadcast(pads), sk, "left")
+    if sk:
+        pw = Window.partitionBy(*sk).orderBy(F.md5("passage"), F.col("passage"))
+        pads = index.corpus.withColumn("_p", F.row_number().over(pw)).filter(F.col("_p") <= m) \
+            .groupBy(*sk).agg(F.transform(F.array_sort(F.collect_list(F.struct("_p", "passage"))),
+                                          lambda x: x["passage"]).alias("_pads"))
+        out = out.join(F.broadcast(pads), sk, "left")
+    else:
+        seeds = [r["passage"] for r in index.corpus.orderBy(F.md5("passage"), "passage").limit(m).collect()]
+        out = out.withColumn("_pads", F.array(*[F.lit(t) for t in seeds]).cast("array<string>"))
     g = F.col(gold)
     extra = F.filter(F.coalesce(F.col("_pads"), F.array().cast("array<string>")),
                      lambda p: (p != g) & ~F.array_contains(F.col("_chosen"), p))
@@ -211,6 +252,7 @@ def bm25_hard_negatives(df: DataFrame, query: str = "query_text", gold: str = "g
     adds the mined texts to an array column ``negatives`` when not present.
     """
     sc = list(kw.get("scope", ()))
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read for the corpus, the queries and the result
     mined = mine_negatives(df, query, gold, n=n, **kw).select(*sc, "qh", "qh2", "mined")
     qh, qh2 = passage_key(F.concat_ws("\u0000", F.col(query), F.col(gold)))
     out = df.withColumn("qh", qh).withColumn("qh2", qh2) \

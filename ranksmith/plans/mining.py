@@ -83,8 +83,10 @@ SELECT md5(d.passage) AS passage_md5, CAST(len(d.toks) AS BIGINT) AS dl,
 FROM dtok d, stats s""", "PAIRS"))
 def q_bm25_doc_stats(spark, sf_dir):
     idx = _index(_cleaned_pairs(spark, sf_dir))
-    return idx.doc_stats.join(idx.corpus, ["_scope", "pid", "pid2"]).join(idx.stats, "_scope") \
-        .select(F.md5("passage").alias("passage_md5"), "dl", "n_docs", r6(F.col("avgdl")).alias("avgdl"))
+    st = idx.stats.first()  # one row: the pooled corpus
+    return idx.doc_stats.join(idx.corpus, ["pid", "pid2"]).select(
+        F.md5("passage").alias("passage_md5"), "dl", F.lit(st["n_docs"]).alias("n_docs"),
+        r6(F.lit(st["avgdl"])).alias("avgdl"))
 
 
 @query("bm25_postings", with_rel(f"""
@@ -92,7 +94,7 @@ WITH {_CLEAN_PAIRS},{_INDEX}
 SELECT md5(passage) AS passage_md5, term, tf FROM post""", "PAIRS"))
 def q_bm25_postings(spark, sf_dir):
     idx = _index(_cleaned_pairs(spark, sf_dir))
-    p = idx.postings.join(idx.corpus, ["_scope", "pid", "pid2"])
+    p = idx.postings.join(idx.corpus, ["pid", "pid2"])
     return p.select(F.md5("passage").alias("passage_md5"), "term", "tf")
 
 
@@ -112,9 +114,9 @@ FROM sc""", "PAIRS"))
 def q_bm25_scores(spark, sf_dir):
     cleaned = _cleaned_pairs(spark, sf_dir)
     idx = _index(cleaned)
-    qs = cleaned.select("query_text", "gold_passage").distinct().withColumn("_scope", F.lit(0))
+    qs = cleaned.select("query_text", "gold_passage").distinct()
     s = bm25.bm25_scores(idx, qs, ["query_text", "gold_passage"], "query_text")
-    return s.join(idx.corpus, ["_scope", "pid", "pid2"]).select(
+    return s.join(idx.corpus, ["pid", "pid2"]).select(
         F.md5("query_text").alias("query_md5"), F.md5("gold_passage").alias("gold_md5"),
         F.md5("passage").alias("passage_md5"), r6(F.col("score")).alias("score"))
 
@@ -129,7 +131,7 @@ FROM ranked WHERE rn <= 100""", "PAIRS"))
 def q_bm25_topk(spark, sf_dir):
     cleaned = _cleaned_pairs(spark, sf_dir)
     idx = _index(cleaned)
-    qs = cleaned.select("query_text", "gold_passage").distinct().withColumn("_scope", F.lit(0))
+    qs = cleaned.select("query_text", "gold_passage").distinct()
     t = bm25.bm25_topk(idx, qs, ["query_text", "gold_passage"], "query_text", k=100)
     return t.select(F.md5("query_text").alias("query_md5"), F.md5("gold_passage").alias("gold_md5"),
                     F.col("rank").cast("int"), F.md5("passage").alias("passage_md5"),
