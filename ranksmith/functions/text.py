@@ -268,7 +268,7 @@ def parse_score_strict(response) -> Column:
     s = strip_text(F.coalesce(_c(response), F.lit("")))
     v = _strict_number(s)
     v = F.when(v > 1.0, v / 100.0).otherwise(v)
-    return F.coalesce(_clamp01(v), F.lit(0.5))
+    return F.coalesce(F.when(v.isNotNull(), _clamp01(v)), F.lit(0.5))
 
 
 def hardness_label(score, success) -> tuple[Column, Column, Column]:

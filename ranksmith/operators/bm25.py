@@ -257,7 +257,7 @@ def bm25_hard_negatives(df: DataFrame, query: str = "query_text", gold: str = "g
     qh, qh2 = passage_key(F.concat_ws("\u0000", F.col(query), F.col(gold)))
     out = df.withColumn("qh", qh).withColumn("qh2", qh2) \
         .join(mined, [*sc, "qh", "qh2"], "left").drop("qh", "qh2")
-    first = F.element_at(F.col("mined"), 1)
+    first = F.try_element_at(F.col("mined"), F.lit(1))
     if mode == "fill" or negative not in df.columns:
         out = out.withColumn(negative, first) if mode != "append" else out
     elif mode == "replace":

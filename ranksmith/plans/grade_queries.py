@@ -194,9 +194,9 @@ ctx AS (SELECT query_text, gold_passage, list(passage ORDER BY rn) AS ctxs FROM
 j AS (SELECT c.*, coalesce(x.ctxs, []) AS ctxs FROM cleaned c LEFT JOIN ctx x USING (query_text, gold_passage)),
 r AS (SELECT *, {_CTX_REPLY} AS reply FROM j)
 SELECT lang, md5(query_text) AS query_md5, md5(hard_negative) AS neg_md5,
-       round(coalesce(least(greatest(CASE WHEN regexp_matches({strip_sql('reply')}, '{_NUM}') THEN
+       round(coalesce(CASE WHEN regexp_matches({strip_sql('reply')}, '{_NUM}') THEN least(greatest(
          (CASE WHEN CAST({strip_sql('reply')} AS DOUBLE) > 1 THEN CAST({strip_sql('reply')} AS DOUBLE) / 100.0
-               ELSE CAST({strip_sql('reply')} AS DOUBLE) END) END, 0.0), 1.0), 0.5), 6) AS rag_score
+               ELSE CAST({strip_sql('reply')} AS DOUBLE) END), 0.0), 1.0) END, 0.5), 6) AS rag_score
 FROM r""", "DIRTY"))
 def q_score_with_context(spark, sf_dir):
     from ..operators.relate import attach_context
@@ -244,3 +244,15 @@ FROM per""", "EXPECT"))
 def q_grader_accuracy(spark, sf_dir):
     a = grade.grader_accuracy(td.expectations(spark, sf_dir))
     return a.withColumn("accuracy_pct", r6(F.col("accuracy_pct")))
+
+
+@query("class_counts", with_rel(f"""
+WITH g AS ({_graded_sql('SCORED')})
+SELECT llm_classification, count(*) AS count, round(avg(hardness_score), 6) AS mean_score,
+       round(count(*) * 100.0 / sum(count(*)) OVER (), 6) AS pct
+FROM g GROUP BY llm_classification""", "SCORED"))
+def q_class_counts(spark, sf_dir):
+    from ..operators.profile import class_counts
+    c = class_counts(grade.grade_negatives(td.scored(spark, sf_dir), grade.overlap_grader))
+    return c.select("llm_classification", "count", r6(F.col("mean_score")).alias("mean_score"),
+                    r6(F.col("pct")).alias("pct"))

@@ -221,10 +221,9 @@ def q_parse_hardness_extended(spark, sf_dir):
 
 
 @query("parse_score_strict", with_rel(f"""
-SELECT id, response, round(coalesce(least(greatest(
-  CASE WHEN regexp_matches(s, '{NUM}') THEN
-    (CASE WHEN CAST(s AS DOUBLE) > 1 THEN CAST(s AS DOUBLE) / 100.0 ELSE CAST(s AS DOUBLE) END) END,
-  0.0), 1.0), 0.5), 6) AS score
+SELECT id, response, round(coalesce(CASE WHEN regexp_matches(s, '{NUM}') THEN least(greatest(
+    (CASE WHEN CAST(s AS DOUBLE) > 1 THEN CAST(s AS DOUBLE) / 100.0 ELSE CAST(s AS DOUBLE) END),
+  0.0), 1.0) END, 0.5), 6) AS score
 FROM (SELECT id, response, {strip_sql("coalesce(response, '')")} AS s FROM RESP)""", "RESP"))
 def q_parse_score_strict(spark, sf_dir):
     r = td.replies(spark, sf_dir)
