@@ -126,15 +126,21 @@ def bm25_index(corpus: DataFrame, text: str = "passage", scope: Sequence[str] =
 BROADCAST_QUERY_TERMS = 1_000_000
 
 
-def posting_matches(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
-                    tokenizer: Callable[[Column], Column] = tokenize,
-                    salt_buckets: int = 16, broadcast_rows: int | None = BROADCAST_QUERY_TERMS) -> DataFrame:
-    """The posting join: one row per (query, term, document) with the query
-    term count ``qtf`` and the posting ``weight``.
+def query_terms(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
+                tokenizer: Callable[[Column], Column] = tokenize) -> DataFrame:
+    """``(scope..., qkeys..., term, qtf)``: each query's terms with counts."""
+    sk = list(index.scope)
+    return queries.select(*sk, *qkeys, F.explode(tokenizer(F.col(text))).alias("term")) \
+        .groupBy(*sk, *qkeys, "term").agg(F.count(F.lit(1)).alias("qtf"))
+
+
+def join_postings(index: BM25Index, qt: DataFrame, salt_buckets: int = 16,
+                  broadcast_rows: int | None = BROADCAST_QUERY_TERMS) -> DataFrame:
+    """Query terms ``qt`` ⋈ postings on (scope, term).
 
     Two strategies, chosen by a size check on the query side:
 
-    * query terms ``<= broadcast_rows`` rows: broadcast them.  The postings
+    * ``qt`` has at most ``broadcast_rows`` rows: broadcast it.  The postings
       are not shuffled and stay partitioned by document, so the
       (query, document) sum that follows needs no exchange either.
     * larger: shuffle join on (term, salt); terms with ``df >= hot_df`` are
@@ -142,8 +148,6 @@ def posting_matches(index: BM25Index, queries: DataFrame, qkeys: Sequence[str],
       replicated into each bucket.
     """
     sk = list(index.scope)
-    qt = queries.select(*sk, *qkeys, F.explode(tokenizer(F.col(text))).alias("term")) \
-        .groupBy(*sk, *qkeys, "term").agg(F.count(F.lit(1)).alias("qtf"))
     if broadcast_rows is not None:
         qt = qt.persist(StorageLevel.MEMORY_AND_DISK)  # counted now, broadcast below
         if qt.count() <= broadcast_rows:
@@ -157,6 +161,15 @@ def posting_matches(index: BM25Index, queries: DataFrame, qkeys: Sequence[str],
     return qt.join(post, [*sk, "term", "_salt"]).drop("_salt", "hot")
 
 
+def posting_matches(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
+                    tokenizer: Callable[[Column], Column] = tokenize,
+                    salt_buckets: int = 16, broadcast_rows: int | None = BROADCAST_QUERY_TERMS) -> DataFrame:
+    """The posting join: one row per (query, term, document) with the query
+    term count ``qtf`` and the posting ``weight`` (see ``join_postings``)."""
+    qt = query_terms(index, queries, qkeys, text, tokenizer)
+    return join_postings(index, qt, salt_buckets, broadcast_rows)
+
+
 def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
                 tokenizer: Callable[[Column], Column] = tokenize,
                 salt_buckets: int = 16, broadcast_rows: int | None = BROADCAST_QUERY_TERMS) -> DataFrame:
@@ -169,6 +182,84 @@ def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text
         .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
 
 
+PRUNE_SLACK = 1e-8  # far above the 1e-9 rounding used for ties and float noise
+
+
+def candidates_pruned(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str, n: int,
+                      exclude: tuple[str, str] | None = None, rare_df: int | None = None,
+                      tokenizer: Callable[[Column], Column] = tokenize,
+                      broadcast_rows: int | None = BROADCAST_QUERY_TERMS) -> DataFrame:
+    """Exact scores ``(scope..., qkeys..., pid, pid2, score)`` for a set of
+    documents per query that is guaranteed to hold its top ``n`` (ties
+    included), without joining the postings of frequent terms for every
+    matching document.
+
+    Bound-based pruning (max-score style): a query's terms split into rare
+    (``df <= rare_df``) and frequent ones.  A document's score is its
+    rare-term part plus at most ``ub`` = sum of ``qtf * max weight`` over the
+    frequent terms.  With ``theta`` = the n-th best rare-term part, documents
+    sharing no rare term (score ``<= ub``) and candidates whose part plus
+    ``ub`` stays below ``theta`` cannot enter the top ``n`` when
+    ``ub < theta``; the survivors get their frequent-term part by a lookup
+    join on (term, document).  Queries where the bound does not separate
+    (``ub >= theta``, or fewer than ``n`` candidates) take the full join.
+    ``exclude`` names two query columns holding a document key never to
+    return (the gold passage).
+    """
+    sk = list(index.scope)
+    keys = [*sk, *qkeys]
+    qcols = [*keys, *(exclude or ())]
+    qs = queries.select(*qcols).persist(StorageLevel.MEMORY_AND_DISK)
+
+    def drop_excluded(scores: DataFrame) -> DataFrame:
+        if not exclude:
+            return scores
+        g1, g2 = exclude
+        return scores.join(qs.select(*keys, *exclude), keys) \
+            .filter((F.col("pid") != F.col(g1)) | (F.col("pid2") != F.col(g2))).drop(g1, g2)
+
+    def full(qsel: DataFrame) -> DataFrame:
+        part = queries.join(qsel, keys, "left_semi")
+        return drop_excluded(bm25_scores(index, part, qkeys, text, tokenizer, broadcast_rows=broadcast_rows))
+
+    neg = index.stats.agg(F.min("avg_idf")).first()[0]
+    if neg is not None and neg < 0:  # negative weights: bounds do not hold
+        return full(qs.select(*keys))
+    if rare_df is None:
+        n_docs = index.stats.agg(F.max("n_docs")).first()[0] or 0
+        rare_df = max(16, n_docs // 50)
+    maxw = index.postings.groupBy(*sk, "term").agg(F.max("weight").alias("maxw"))
+    qt = query_terms(index, queries, qkeys, text, tokenizer) \
+        .join(index.terms.select(*sk, "term", "df"), [*sk, "term"]) \
+        .join(maxw, [*sk, "term"]).persist(StorageLevel.MEMORY_AND_DISK)
+    rare = qt.filter(F.col("df") <= rare_df).select(*keys, "term", "qtf")
+    freq = qt.filter(F.col("df") > rare_df)
+    ub = freq.groupBy(*keys).agg(F.sum(F.col("qtf") * F.col("maxw")).alias("_ub"))
+    part_r = drop_excluded(join_postings(index, rare, broadcast_rows=broadcast_rows)
+                           .groupBy(*keys, "pid", "pid2")
+                           .agg(F.sum(F.col("qtf") * F.col("weight")).alias("_sr")))
+    theta = part_r.withColumn("_i", F.row_number().over(
+        Window.partitionBy(*keys).orderBy(F.col("_sr").desc()))).filter(F.col("_i") == n) \
+        .select(*keys, F.col("_sr").alias("_theta"))
+    info = qs.select(*keys).join(ub, keys, "left").join(theta, keys, "left") \
+        .withColumn("_ub", F.coalesce(F.col("_ub"), F.lit(0.0))) \
+        .withColumn("_ok", F.col("_theta").isNotNull() & (F.col("_ub") + PRUNE_SLACK < F.col("_theta"))) \
+        .persist(StorageLevel.MEMORY_AND_DISK)
+    ok = info.filter("_ok").select(*keys, "_ub", "_theta")
+    surv = part_r.join(ok, keys).filter(F.col("_sr") + F.col("_ub") + PRUNE_SLACK >= F.col("_theta")) \
+        .select(*keys, "pid", "pid2", "_sr")
+    look = surv.select(*keys, "pid", "pid2").join(freq.select(*keys, "term", "qtf"), keys)
+    post = index.postings.select(*sk, "term", "pid", "pid2", "weight")
+    look = look.persist(StorageLevel.MEMORY_AND_DISK)
+    if broadcast_rows is not None and look.count() <= broadcast_rows:
+        look = F.broadcast(look)
+    part_f = look.join(post, [*sk, "term", "pid", "pid2"]) \
+        .groupBy(*keys, "pid", "pid2").agg(F.sum(F.col("qtf") * F.col("weight")).alias("_sf"))
+    exact = surv.join(part_f, [*keys, "pid", "pid2"], "left") \
+        .select(*keys, "pid", "pid2", (F.col("_sr") + F.coalesce(F.col("_sf"), F.lit(0.0))).alias("score"))
+    return exact.unionByName(full(info.filter(~F.col("_ok")).select(*keys)))
+
+
 def _ranked(scores: DataFrame, index: BM25Index, group: Sequence[str], limit: int) -> DataFrame:
     """Top ``limit`` per group by (rounded score desc, passage asc).
 
@@ -194,7 +285,7 @@ def bm25_topk(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text:
 def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_passage",
                    n: int = 1, top_k: int = 100, corpus: DataFrame | None = None,
                    scope: Sequence[str] = (), index: BM25Index | None = None,
-                   pad_seed_rows: int | None = None, **kw) -> DataFrame:
+                   pad_seed_rows: int | None = None, prune: bool = False, **kw) -> DataFrame:
     """Per distinct (scope, query, gold): ``mined`` = array of up to ``n``
     BM25 negatives (best first, gold excluded).
 
@@ -214,8 +305,13 @@ def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_p
     qs = df.select(*sc, query, gold).distinct() \
         .withColumn("qh", qh).withColumn("qh2", qh2) \
         .withColumn("gpid", gp).withColumn("gpid2", gp2)
-    s = bm25_scores(index, qs, ["qh", "qh2", "gpid", "gpid2"], query, **kw) \
-        .filter((F.col("pid") != F.col("gpid")) | (F.col("pid2") != F.col("gpid2")))
+    if prune:
+        s = candidates_pruned(index, qs, ["qh", "qh2"], query, n, exclude=("gpid", "gpid2"), **kw)
+    else:
+        gold_keys = qs.select(*sk, "qh", "qh2", "gpid", "gpid2")
+        s = bm25_scores(index, qs, ["qh", "qh2"], query, **kw) \
+            .join(gold_keys, [*sk, "qh", "qh2"]) \
+            .filter((F.col("pid") != F.col("gpid")) | (F.col("pid2") != F.col("gpid2")))
     top = _ranked(s, index, [*sk, "qh", "qh2"], n)
     chosen = top.groupBy(*sk, "qh", "qh2").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage"))),

@@ -20,6 +20,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -112,6 +113,9 @@ def _scan(queries: DataFrame, corpus: DataFrame, scope: Sequence[str], qid: str,
     spark = queries.sparkSession
     sc = spark.sparkContext
     parts = []
+    # The query side is read once for the block sizes and once per block;
+    # keep it for the loop only (the blocks themselves travel as broadcasts).
+    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
     for vals, nb, b in _blocks(queries, scope, qid, block_rows):
         cond = _scope_filter(scope, vals) & (F.pmod(F.xxhash64(F.col(qid)), F.lit(nb)) == b)
         block = queries.filter(cond).select(qid, qvec, *extra_q).toPandas()
@@ -124,6 +128,7 @@ def _scan(queries: DataFrame, corpus: DataFrame, scope: Sequence[str], qid: str,
         for s, v in zip(scope, vals):
             part = part.withColumn(s, F.lit(v))
         parts.append(part)
+    queries.unpersist()
     if not parts:
         empty = spark.createDataFrame([], out_schema)
         for s in scope:

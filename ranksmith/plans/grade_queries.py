@@ -11,6 +11,7 @@ from ..sources import testdata as td
 from .clean_queries import _CLEAN_SQL
 from .mining import bm25_mine_sql
 from .registry import query, r6
+from .relate_queries import _cleaned_dirty
 from .relations_sql import strip_sql, tok_sql, with_rel
 from .text_queries import hardness_sql, upper_strip_sql
 
@@ -200,7 +201,7 @@ SELECT lang, md5(query_text) AS query_md5, md5(hard_negative) AS neg_md5,
 FROM r""", "DIRTY"))
 def q_score_with_context(spark, sf_dir):
     from ..operators.relate import attach_context
-    cleaned = clean.clean_dataset(td.dirty(spark, sf_dir))
+    cleaned = _cleaned_dirty(spark, sf_dir)
     idx = bm25.bm25_index(bm25.build_corpus(cleaned))
     qs = cleaned.select("query_text", "gold_passage").distinct()
     top = bm25.bm25_topk(idx, qs, ["query_text", "gold_passage"], "query_text", k=3)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..operators import bm25, clean
@@ -40,7 +41,8 @@ sc AS (SELECT qt.query_text, qt.gold_passage, w.passage, sum(qt.qtf * w.weight)
 
 
 def _cleaned_pairs(spark, sf_dir):
-    return clean.clean_dataset(td.pairs(spark, sf_dir), negative=None)
+    """Cleaned conversation pairs; read several times per query, so kept."""
+    return clean.clean_dataset(td.pairs(spark, sf_dir), negative=None).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _index(cleaned):

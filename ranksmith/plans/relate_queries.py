@@ -3,6 +3,7 @@ and ordering / sampling / set operations (§2.10)."""
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.text import score_cache_key
@@ -129,7 +130,8 @@ _DIRTY_MINED = bm25_mine_sql(
 
 
 def _cleaned_dirty(spark, sf_dir):
-    return clean.clean_dataset(td.dirty(spark, sf_dir))
+    """Cleaned DIRTY triplets; read several times per query, so kept."""
+    return clean.clean_dataset(td.dirty(spark, sf_dir)).persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def _triplet_md5(df):

@@ -122,3 +122,23 @@ def test_scope_per_language(spark):
     out = {r.lang: r.hard_negative for r in
            bm25.bm25_hard_negatives(df, corpus=corpus, scope=["lang"]).collect()}
     assert out == {"en": "a dog", "fr": "un chien"}
+
+
+def test_pruned_candidates_match_full_join(spark):
+    """Bound-based pruning returns the same negatives as the full join."""
+    import random
+    rnd = random.Random(11)
+    common = ["the", "of", "and", "a", "to"]
+    rare = [f"w{i}" for i in range(300)]
+
+    def text(nw):
+        return " ".join(rnd.choice(common) if rnd.random() < 0.5 else rnd.choice(rare) for _ in range(nw))
+    golds = [text(rnd.randint(5, 40)) for _ in range(60)]
+    rows = [(text(rnd.randint(2, 12)), g) for g in golds]
+    df = spark.createDataFrame(rows, "query_text string, gold_passage string")
+    for n in (1, 3):
+        a = sorted(map(tuple, bm25.mine_negatives(df, n=n, prune=True, rare_df=3)
+                       .select("query_text", "gold_passage", "mined").collect()))
+        b = sorted(map(tuple, bm25.mine_negatives(df, n=n, prune=False)
+                       .select("query_text", "gold_passage", "mined").collect()))
+        assert a == b
