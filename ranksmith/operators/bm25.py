@@ -170,6 +170,25 @@ def posting_matches(index: BM25Index, queries: DataFrame, qkeys: Sequence[str],
     return join_postings(index, qt, salt_buckets, broadcast_rows)
 
 
+_NUMERIC = ("int", "bigint", "smallint", "tinyint")
+
+
+def _keyed(queries: DataFrame, qkeys: Sequence[str]) -> tuple[DataFrame, list[str], bool]:
+    """Text query keys travel through joins and aggregates as a 128-bit hash
+    pair; numeric keys are used as they are."""
+    types = dict(queries.dtypes)
+    if all(types[c] in _NUMERIC for c in qkeys):
+        return queries, list(qkeys), False
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("\u0001null")) for c in qkeys]
+    k1, k2 = passage_key(F.concat_ws("\u0000", *parts))
+    return queries.withColumn("_qh", k1).withColumn("_qh2", k2), ["_qh", "_qh2"], True
+
+
+def _unkey(out: DataFrame, queries: DataFrame, sk: Sequence[str], qkeys: Sequence[str]) -> DataFrame:
+    names = queries.select(*sk, "_qh", "_qh2", *qkeys).distinct()
+    return out.join(names, [*sk, "_qh", "_qh2"]).drop("_qh", "_qh2")
+
+
 def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
                 tokenizer: Callable[[Column], Column] = tokenize,
                 salt_buckets: int = 16, broadcast_rows: int | None = BROADCAST_QUERY_TERMS) -> DataFrame:
@@ -177,9 +196,11 @@ def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text
     at least one term with the query.  A repeated query term counts once per
     repetition."""
     sk = list(index.scope)
-    return posting_matches(index, queries, qkeys, text, tokenizer, salt_buckets, broadcast_rows) \
-        .groupBy(*sk, *qkeys, "pid", "pid2") \
+    q, keys, hashed = _keyed(queries, qkeys)
+    s = posting_matches(index, q, keys, text, tokenizer, salt_buckets, broadcast_rows) \
+        .groupBy(*sk, *keys, "pid", "pid2") \
         .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    return _unkey(s, q, sk, qkeys) if hashed else s
 
 
 PRUNE_SLACK = 1e-8  # far above the 1e-9 rounding used for ties and float noise
@@ -278,8 +299,11 @@ def _ranked(scores: DataFrame, index: BM25Index, group: Sequence[str], limit: in
 def bm25_topk(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
               k: int = 100, **kw) -> DataFrame:
     """Best ``k`` documents per query: ``(qkeys..., rank, passage, score)``."""
-    s = bm25_scores(index, queries, qkeys, text, **kw)
-    return _ranked(s, index, [*index.scope, *qkeys], k)
+    sk = list(index.scope)
+    q, keys, hashed = _keyed(queries, qkeys)
+    s = bm25_scores(index, q, keys, text, **kw)
+    top = _ranked(s, index, [*sk, *keys], k)
+    return _unkey(top, q, sk, qkeys) if hashed else top
 
 
 def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_passage",

@@ -44,13 +44,20 @@ def hashed_bow_encoder(dim: int = 64) -> Callable[[], Encoder]:
     L2-normalised.  Returns a factory so a real model would load once per
     task, not once per batch."""
     def factory() -> Encoder:
+        bucket: dict[str, int] = {}  # per task: tokens repeat, hash each once
+
         def encode(texts: pd.Series) -> np.ndarray:
             out = np.zeros((len(texts), dim), dtype=np.float64)
             for i, t in enumerate(texts):
                 if t is None:
                     continue
                 for tok in t.lower().split():
-                    out[i, int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim] += 1.0
+                    b = bucket.get(tok)
+                    if b is None:
+                        if len(bucket) > 1_000_000:
+                            bucket.clear()
+                        b = bucket[tok] = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim
+                    out[i, b] += 1.0
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
         return encode

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def cast_ids(df: DataFrame, cols: Sequence[str]) -> DataFrame:
@@ -78,38 +79,49 @@ def substring_containment_join(needles: DataFrame, needle: str, docs: DataFrame,
     """All (needle row, doc row) with ``contains(doc.text, needle)``, without a
     nested-loop join.
 
-    Candidates come from an equi-join on character grams: a needle of
-    length ``L`` (gram length ``g = min(gram, L)``) is assigned a spacing
-    ``s``, the largest power of two with ``s <= L - g + 1``; documents expose
-    the grams starting at multiples of ``s`` and the needle probes with its
-    grams at offsets ``0..s-1``.  Any occurrence of the needle covers one
-    such document position, so every true pair is a candidate; candidates are
-    then verified with ``contains``.  The (g, s) tiers are a handful of
-    values collected from a one-column aggregate.
+    Candidates come from an equi-join on character-gram keys.  A needle of
+    length ``L`` uses grams of ``g = min(gram, L)`` characters, ``m`` grams
+    per key (two when the needle is long enough, else one) and a spacing
+    ``s``, the largest power of two with ``m*s <= L - g + 1``.  Documents
+    expose, at every position that is a multiple of ``s``, the key made of
+    the grams at that position and ``s`` further on; a needle probes with the
+    keys at its offsets ``0..s-1``.  Any occurrence of the needle contains
+    one such document position together with the next one, so every true
+    pair is a candidate, and the two-gram key makes false candidates rare.
+    Candidates are verified with ``contains``.  The (g, s, m) tiers are a
+    handful of values collected from a one-column aggregate.
     """
     nd = needles.withColumn("_L", F.length(needle)).filter(F.col("_L") > 0) \
         .withColumn("_g", F.least(F.col("_L"), F.lit(gram)))
-    nd = nd.withColumn("_s", F.pow(F.lit(2), F.floor(F.log2(F.col("_L") - F.col("_g") + 1)))
-                       .cast("int"))
-    tiers = [(r["_g"], r["_s"]) for r in nd.select("_g", "_s").distinct().collect()]
-    nid = F.xxhash64(*[F.col(c) for c in needles.columns])
-    did = F.xxhash64(*[F.col(c) for c in docs.columns])
-    nd = nd.withColumn("_nid", nid)
-    dd = docs.withColumn("_did", did).withColumn("_dl", F.length(text))
+    span = F.col("_L") - F.col("_g") + 1
+    nd = nd.withColumn("_m", F.when(span >= 2, F.lit(2)).otherwise(F.lit(1)))
+    nd = nd.withColumn("_s", F.pow(F.lit(2), F.floor(F.log2(span / F.col("_m")))).cast("int"))
+    tiers = [(r["_g"], r["_s"], r["_m"]) for r in nd.select("_g", "_s", "_m").distinct().collect()]
+    nd = nd.withColumn("_nid", F.xxhash64(*[F.col(c) for c in needles.columns]))
+    dd = docs.withColumn("_did", F.xxhash64(*[F.col(c) for c in docs.columns])) \
+        .withColumn("_dl", F.length(text))
+
+    def key(col: str, start) -> F.Column:
+        return F.substring(F.col(col), start + 1, g) if m == 1 else \
+            F.concat(F.substring(F.col(col), start + 1, g), F.substring(F.col(col), start + s + 1, g))
+
     cands = None
-    for g, s in tiers:
-        probes = nd.filter((F.col("_g") == g) & (F.col("_s") == s)).select(
-            "_nid", F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("_o"), needle) \
-            .select("_nid", F.substring(F.col(needle), F.col("_o") + 1, g).alias("_gram"))
-        anchors = dd.filter(F.col("_dl") >= g).select(
-            "_did", text, F.explode(F.sequence(F.lit(0), F.floor((F.col("_dl") - g) / s).cast("int")))
-            .alias("_k")).select("_did", F.substring(F.col(text), F.col("_k") * s + 1, g).alias("_gram"))
-        c = probes.join(anchors, "_gram").select("_nid", "_did")
+    for g, s, m in tiers:
+        probes = nd.filter((F.col("_g") == g) & (F.col("_s") == s) & (F.col("_m") == m)) \
+            .select("_nid", needle, F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("_o")) \
+            .select("_nid", key(needle, F.col("_o")).alias("_key"))
+        reach = g + (m - 1) * s  # characters a key covers
+        anchors = dd.filter(F.col("_dl") >= reach) \
+            .select("_did", text, F.explode(F.sequence(F.lit(0), F.floor((F.col("_dl") - reach) / s)
+                                                       .cast("int"))).alias("_k")) \
+            .select("_did", key(text, F.col("_k") * s).alias("_key"))
+        c = probes.join(anchors, "_key").select("_nid", "_did")
         cands = c if cands is None else cands.unionByName(c)
-    if cands is None:
-        return needles.join(docs, F.lit(False))  # empty, same schema
+    if cands is None:  # no needles: empty result with the joined schema
+        schema = T.StructType(needles.schema.fields + docs.schema.fields)
+        return needles.sparkSession.createDataFrame([], schema)
     pairs = cands.distinct()
-    out = pairs.join(nd.drop("_L", "_g", "_s"), "_nid").join(dd.drop("_dl"), "_did")
+    out = pairs.join(nd.drop("_L", "_g", "_s", "_m"), "_nid").join(dd.drop("_dl"), "_did")
     return out.filter(F.col(text).contains(F.col(needle))).drop("_nid", "_did")
 
 
