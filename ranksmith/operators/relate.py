@@ -101,20 +101,32 @@ def substring_containment_join(needles: DataFrame, needle: str, docs: DataFrame,
     dd = docs.withColumn("_did", F.xxhash64(*[F.col(c) for c in docs.columns])) \
         .withColumn("_dl", F.length(text))
 
-    def key(col: str, start) -> F.Column:
-        return F.substring(F.col(col), start + 1, g) if m == 1 else \
-            F.concat(F.substring(F.col(col), start + 1, g), F.substring(F.col(col), start + s + 1, g))
+    def key(col, start) -> F.Column:
+        return F.substring(col, start + 1, g) if m == 1 else \
+            F.concat(F.substring(col, start + 1, g), F.substring(col, start + s + 1, g))
 
     cands = None
     for g, s, m in tiers:
+        # keys are built as arrays and exploded alone, so no row copies the text
         probes = nd.filter((F.col("_g") == g) & (F.col("_s") == s) & (F.col("_m") == m)) \
-            .select("_nid", needle, F.explode(F.sequence(F.lit(0), F.lit(s - 1))).alias("_o")) \
-            .select("_nid", key(needle, F.col("_o")).alias("_key"))
+            .select("_nid", F.explode(F.transform(F.sequence(F.lit(0), F.lit(s - 1)),
+                                                  lambda o: key(F.col(needle), o))).alias("_key"))
         reach = g + (m - 1) * s  # characters a key covers
-        anchors = dd.filter(F.col("_dl") >= reach) \
-            .select("_did", text, F.explode(F.sequence(F.lit(0), F.floor((F.col("_dl") - reach) / s)
-                                                       .cast("int"))).alias("_k")) \
-            .select("_did", key(text, F.col("_k") * s).alias("_key"))
+        last = F.floor((F.col("_dl") - reach) / s).cast("int")
+        # One linear pass cuts the text into s-character chunks; a key is the
+        # first g characters of chunk k (and of chunk k+1).  Substrings of a
+        # long UTF-8 text cost O(position), so they are taken on chunks only.
+        chunked = dd.filter(F.col("_dl") >= reach).select(
+            "_did", "_dl", F.regexp_extract_all(F.col(text), F.lit(f"(?s).{{1,{s}}}"), 0).alias("_ch"))
+
+        span_chunks = -(-g // s)  # chunks a gram reaches into
+
+        def gram_at(k):
+            return F.substring(F.array_join(F.slice(F.col("_ch"), k + 1, span_chunks), ""), 1, g)
+
+        def anchor(k):
+            return gram_at(k) if m == 1 else F.concat(gram_at(k), gram_at(k + 1))
+        anchors = chunked.select("_did", F.explode(F.transform(F.sequence(F.lit(0), last), anchor)).alias("_key"))
         c = probes.join(anchors, "_key").select("_nid", "_did")
         cands = c if cands is None else cands.unionByName(c)
     if cands is None:  # no needles: empty result with the joined schema
