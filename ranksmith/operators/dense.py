@@ -1,10 +1,12 @@
 """Dense retrieval: pluggable batch encoders and exact inner-product top-k.
 
 Exact search scores every (query, passage) pair, but never materialises the
-pairs.  Queries are cut into blocks of at most ``block_rows`` rows (per
-scope, e.g. language); a block is shipped to the executors as a broadcast
-numpy matrix, and each corpus partition is scored against it with one matrix
-product per Arrow batch inside ``mapInPandas``.  Only each batch's partial
+pairs.  Queries are packed into blocks of at most ``block_bytes`` of vectors
+(several small scopes -- e.g. languages -- share a block, a large scope is
+split by query hash); a block is shipped to the executors as a broadcast of
+numpy matrices keyed by scope, and each corpus partition is scored against
+it inside ``mapInPandas``: rows of a batch are grouped by scope and
+multiplied with that scope's queries in bounded chunks.  Only each batch's partial
 top-k (ties at the cut kept) -- or, for gold ranks, one count per query --
 leaves the task; a ``row_number() <= k`` window (planned as a
 WindowGroupLimit) merges the partial lists.
@@ -91,16 +93,11 @@ def embed_batches(df: DataFrame, text: str, encoder: Callable[[], Encoder], out:
 
 # --- blocked exact scoring ---------------------------------------------------------
 
-def _blocks(queries: DataFrame, scope: Sequence[str], qid: str, block_rows: int):
-    """(scope values, block count, block index) for every query block: one
-    small aggregate (one row per scope) back to the driver."""
-    counts = queries.groupBy(*scope).count().collect() if scope else \
-        [{"count": queries.count()}]
-    for row in counts:
-        nb = max(1, math.ceil(row["count"] / block_rows))
-        vals = tuple(row[s] for s in scope)
-        for b in range(nb):
-            yield vals, nb, b
+# A query block is at most this many bytes of float64 vectors; inside a task
+# the product is taken in chunks of CHUNK_ROWS passages x CHUNK_QUERIES queries.
+BLOCK_BYTES = 64 << 20
+CHUNK_ROWS = 2048
+CHUNK_QUERIES = 4096
 
 
 def _scope_filter(scope: Sequence[str], vals) -> F.Column:
@@ -110,126 +107,169 @@ def _scope_filter(scope: Sequence[str], vals) -> F.Column:
     return cond
 
 
+def _plan_blocks(queries: DataFrame, scope: Sequence[str], qid: str, qvec: str, block_bytes: int):
+    """Pack the query set into blocks of bounded size.  One small aggregate
+    (a row per scope value) and one vector length come back to the driver;
+    a scope larger than a block is split by a hash of the query id, small
+    scopes share a block."""
+    dim = queries.select(F.size(qvec).alias("d")).filter("d > 0").agg(F.max("d")).first()[0] or 1
+    per_block = max(1, block_bytes // (8 * dim))
+    rows = queries.groupBy(*scope).count().collect() if scope else [{"count": queries.count()}]
+    pieces = []
+    for r in rows:
+        vals = tuple(r[s] for s in scope)
+        nsub = max(1, math.ceil(r["count"] / per_block))
+        pieces += [(vals, nsub, i, min(r["count"], per_block)) for i in range(nsub)]
+    blocks, cur, size = [], [], 0
+    for piece in sorted(pieces, key=lambda p: -p[3]):
+        if cur and size + piece[3] > per_block:
+            blocks.append(cur)
+            cur, size = [], 0
+        cur.append(piece)
+        size += piece[3]
+    if cur:
+        blocks.append(cur)
+    return blocks
+
+
 def _matrix(pdf: pd.DataFrame, col: str) -> np.ndarray:
     return np.vstack(pdf[col].to_numpy()) if len(pdf) else np.zeros((0, 0))
 
 
 def _scan(queries: DataFrame, corpus: DataFrame, scope: Sequence[str], qid: str, qvec: str,
-          pid: str, pvec: str, block_rows: int, make_fn, out_schema: T.StructType,
+          pid: str, pvec: str, block_bytes: int, kernel, out_fields: list[T.StructField],
           extra_q: Sequence[str] = ()) -> DataFrame:
+    """Run ``kernel(P, pids, Q, ids, extras)`` -> dict of columns over every
+    (corpus batch chunk, query chunk) of the same scope; returns the union
+    of the kernel outputs with the scope columns in front."""
     spark = queries.sparkSession
     sc = spark.sparkContext
-    parts = []
-    # The query side is read once for the block sizes and once per block;
-    # keep it for the loop only (the blocks themselves travel as broadcasts).
+    scope = list(scope)
+    schema = T.StructType([corpus.schema[s] for s in scope] + out_fields)
     queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
-    for vals, nb, b in _blocks(queries, scope, qid, block_rows):
-        cond = _scope_filter(scope, vals) & (F.pmod(F.xxhash64(F.col(qid)), F.lit(nb)) == b)
-        block = queries.filter(cond).select(qid, qvec, *extra_q).toPandas()
-        if block.empty:
+    blocks = _plan_blocks(queries, scope, qid, qvec, block_bytes)
+    if len(blocks) > 1:  # the corpus is scanned once per block: compute it once
+        corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
+    parts = []
+    for block in blocks:
+        cond = F.lit(False)
+        for vals, nsub, i, _ in block:
+            c = _scope_filter(scope, vals)
+            if nsub > 1:
+                c = c & (F.pmod(F.xxhash64(F.col(qid)), F.lit(nsub)) == i)
+            cond = cond | c
+        pdf = queries.filter(cond).select(*scope, qid, qvec, *extra_q).toPandas()
+        if pdf.empty:
             continue
-        payload = sc.broadcast((block[qid].to_numpy(), _matrix(block, qvec),
-                                {c: block[c].to_numpy() for c in extra_q}))
-        corp = corpus.filter(_scope_filter(scope, vals)).select(pid, pvec).na.drop()
-        part = corp.mapInPandas(make_fn(payload, pid, pvec), out_schema)
-        for s, v in zip(scope, vals):
-            part = part.withColumn(s, F.lit(v))
-        parts.append(part)
+        payload = {}
+        groups = pdf.groupby(scope, sort=False) if scope else [((), pdf)]
+        for key, g in groups:
+            key = key if isinstance(key, tuple) else (key,)
+            payload[key] = (g[qid].to_numpy(), _matrix(g, qvec), {c: g[c].to_numpy() for c in extra_q})
+        bc = sc.broadcast(payload)
+        ccond = F.lit(False)
+        for key in payload:
+            ccond = ccond | _scope_filter(scope, key)
+        corp = corpus.filter(ccond).select(*scope, pid, pvec).na.drop(subset=[pid, pvec])
+        parts.append(corp.mapInPandas(_runner(bc, scope, pid, pvec, kernel), schema))
     queries.unpersist()
     if not parts:
-        empty = spark.createDataFrame([], out_schema)
-        for s in scope:
-            empty = empty.withColumn(s, F.lit(None).cast(queries.schema[s].dataType))
-        return empty
+        return spark.createDataFrame([], schema)
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
 
 
-def _chunks(pdf_iter, rows: int = 2048):
-    for pdf in pdf_iter:
-        for s in range(0, len(pdf), rows):
-            yield pdf.iloc[s:s + rows]
-
-
-def _topk_fn(k: int):
-    def make(payload, pid: str, pvec: str):
-        def run(it):
-            ids, Q, _ = payload.value
-            for pdf in _chunks(it):
-                P = _matrix(pdf, pvec)
-                S = P @ Q.T  # passages x queries
-                n = S.shape[0]
-                if n > k:
-                    kth = np.partition(S, n - k, axis=0)[n - k]
-                    mask = S >= kth - _TIE_SLACK
-                else:
-                    mask = np.ones_like(S, dtype=bool)
-                r, c = np.nonzero(mask)
-                yield pd.DataFrame({"qid": ids[c], "pid": pdf[pid].to_numpy()[r], "score": S[r, c]})
-        return run
-    return make
+def _runner(bc, scope, pid, pvec, kernel):
+    def run(it):
+        payload = bc.value
+        for pdf in it:
+            groups = pdf.groupby(scope, sort=False) if scope else [((), pdf)]
+            for key, g in groups:
+                key = key if isinstance(key, tuple) else (key,)
+                entry = payload.get(key)
+                if entry is None:
+                    continue
+                ids, Q, extras = entry
+                for r0 in range(0, len(g), CHUNK_ROWS):
+                    chunk = g.iloc[r0:r0 + CHUNK_ROWS]
+                    P = _matrix(chunk, pvec)
+                    pids = chunk[pid].to_numpy()
+                    for q0 in range(0, len(ids), CHUNK_QUERIES):
+                        sl = slice(q0, q0 + CHUNK_QUERIES)
+                        cols = kernel(P, pids, Q[sl], ids[sl], {c: v[sl] for c, v in extras.items()})
+                        n = len(next(iter(cols.values())))
+                        if n:
+                            head = {s: [k] * n for s, k in zip(scope, key)}
+                            yield pd.DataFrame({**head, **cols})
+    return run
+
+
+def _topk_kernel(k: int):
+    def kernel(P, pids, Q, ids, extras):
+        S = P @ Q.T  # passages x queries
+        n = S.shape[0]
+        if n > k:
+            kth = np.partition(S, n - k, axis=0)[n - k]
+            mask = S >= kth - _TIE_SLACK
+        else:
+            mask = np.ones_like(S, dtype=bool)
+        r, c = np.nonzero(mask)
+        return {"qid": ids[c], "pid": pids[r], "score": S[r, c]}
+    return kernel
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", qvec: str = "qvec",
                pid: str = "pid", pvec: str = "pvec", scope: Sequence[str] = (),
-               block_rows: int = 2048) -> DataFrame:
+               block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Exact top-``k`` passages per query by inner product:
     ``(scope..., qid, pid, score, rank)``.  Vectors are used as given
     (normalise first for cosine)."""
-    schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType),
-                           T.StructField("pid", corpus.schema[pid].dataType),
-                           T.StructField("score", T.DoubleType())])
-    cands = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_rows, _topk_fn(k), schema)
+    fields = [T.StructField("qid", queries.schema[qid].dataType), T.StructField("pid", corpus.schema[pid].dataType),
+              T.StructField("score", T.DoubleType())]
+    cands = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_bytes, _topk_kernel(k), fields)
     w = Window.partitionBy(*scope, "qid").orderBy(F.round("score", SCORE_ROUND).desc(), F.col("pid").asc())
     ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.withColumnsRenamed({"qid": qid, "pid": pid}) if qid != pid else ranked
 
 
-def _better_fn():
-    def make(payload, pid: str, pvec: str):
-        def run(it):
-            ids, Q, extra = payload.value
-            g = np.round(extra["_gscore"].astype(np.float64), SCORE_ROUND)
-            gp = extra["_gpid"]
-            for pdf in _chunks(it):
-                P = _matrix(pdf, pvec)
-                S = np.round(P @ Q.T, SCORE_ROUND)
-                pids = pdf[pid].to_numpy()[:, None]
-                better = (S > g[None, :]) | ((S == g[None, :]) & (pids < gp[None, :]))
-                yield pd.DataFrame({"qid": ids, "n_better": better.sum(axis=0).astype(np.int64),
-                                    "n_seen": np.full(len(ids), S.shape[0], dtype=np.int64)})
-        return run
-    return make
+def _better_kernel(P, pids, Q, ids, extras):
+    g = np.round(extras["_gscore"].astype(np.float64), SCORE_ROUND)
+    gp = extras["_gpid"]
+    S = np.round(P @ Q.T, SCORE_ROUND)
+    better = (S > g[None, :]) | ((S == g[None, :]) & (pids[:, None] < gp[None, :]))
+    return {"qid": ids, "n_better": better.sum(axis=0).astype(np.int64),
+            "n_seen": np.full(len(ids), S.shape[0], dtype=np.int64)}
 
 
 def gold_rank_full(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec: str = "qvec",
                    gold: str = "gold_pid", pid: str = "pid", pvec: str = "pvec",
-                   scope: Sequence[str] = (), block_rows: int = 2048) -> DataFrame:
+                   scope: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rank of the gold passage when every passage is scored:
     ``1 + #{better}`` where better = higher rounded score, or equal score and
     smaller id; a gold missing from the corpus ranks ``N + 1``.
     Output ``(scope..., qid, rank, n_scored)``."""
     sc = list(scope)
-    drop = not sc
-    if drop:
-        queries, corpus, sc = queries.withColumn("_scope", F.lit(0)), corpus.withColumn("_scope", F.lit(0)), ["_scope"]
     g = corpus.select(*sc, F.col(pid).alias(gold), F.col(pvec).alias("_gvec"))
     q = queries.join(g, [*sc, gold], "left").withColumn(
         "_gscore", F.aggregate(F.zip_with(qvec, "_gvec", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
     found = q.filter(F.col("_gscore").isNotNull()).select(*sc, qid, qvec, F.col(gold).alias("_gpid"), "_gscore")
-    schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType),
-                           T.StructField("n_better", T.LongType()), T.StructField("n_seen", T.LongType())])
-    counts = _scan(found, corpus, sc, qid, qvec, pid, pvec, block_rows, _better_fn(), schema,
+    fields = [T.StructField("qid", queries.schema[qid].dataType),
+              T.StructField("n_better", T.LongType()), T.StructField("n_seen", T.LongType())]
+    counts = _scan(found, corpus, sc, qid, qvec, pid, pvec, block_bytes, _better_kernel, fields,
                    extra_q=("_gpid", "_gscore"))
     agg = counts.groupBy(*sc, "qid").agg((F.sum("n_better") + 1).alias("rank"), F.sum("n_seen").alias("n_scored"))
-    n = corpus.select(*sc, pid, pvec).na.drop().groupBy(*sc).agg(F.count(F.lit(1)).alias("_n"))
-    missing = q.filter(F.col("_gscore").isNull()).select(*sc, F.col(qid).alias("qid")).join(n, sc, "left") \
-        .select(*sc, "qid", (F.coalesce(F.col("_n"), F.lit(0)) + 1).alias("rank"),
-                F.coalesce(F.col("_n"), F.lit(0)).alias("n_scored"))
-    out = agg.unionByName(missing).withColumnRenamed("qid", qid)
-    return out.drop("_scope") if drop else out
+    valid = corpus.select(*sc, pid, pvec).na.drop()
+    missing = q.filter(F.col("_gscore").isNull()).select(*sc, F.col(qid).alias("qid"))
+    if sc:  # corpus size per scope: one row per scope value
+        n = valid.groupBy(*sc).agg(F.count(F.lit(1)).alias("_n"))
+        missing = missing.join(F.broadcast(n), sc, "left")
+    else:
+        missing = missing.withColumn("_n", F.lit(valid.count()))
+    missing = missing.select(*sc, "qid", (F.coalesce(F.col("_n"), F.lit(0)) + 1).alias("rank"),
+                             F.coalesce(F.col("_n"), F.lit(0)).cast("long").alias("n_scored"))
+    return agg.unionByName(missing).withColumnRenamed("qid", qid)
 
 
 def index_metadata(corpus: DataFrame, vec: str = "embedding", model: str = "") -> DataFrame:
@@ -238,27 +278,20 @@ def index_metadata(corpus: DataFrame, vec: str = "embedding", model: str = "") -
                       F.max(F.size(vec)).alias("dim")).withColumn("model", F.lit(model))
 
 
-def _stats_fn():
-    def make(payload, pid: str, pvec: str):
-        def run(it):
-            ids, Q, _ = payload.value
-            for pdf in _chunks(it):
-                S = _matrix(pdf, pvec) @ Q.T
-                yield pd.DataFrame({"qid": ids, "n": np.full(len(ids), S.shape[0], dtype=np.int64),
-                                    "sum": S.sum(axis=0), "max": S.max(axis=0)})
-        return run
-    return make
+def _stats_kernel(P, pids, Q, ids, extras):
+    S = P @ Q.T
+    return {"qid": ids, "n": np.full(len(ids), S.shape[0], dtype=np.int64),
+            "sum": S.sum(axis=0), "max": S.max(axis=0)}
 
 
 def score_all_pairs(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec: str = "qvec",
                     pid: str = "pid", pvec: str = "pvec", scope: Sequence[str] = (),
-                    block_rows: int = 2048) -> DataFrame:
+                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Score every query against every passage (the nested-loop evaluator)
     and keep per-query aggregates ``(scope..., qid, n_scored, score_sum,
     score_max)`` -- the pairs themselves are never written out."""
-    schema = T.StructType([T.StructField("qid", queries.schema[qid].dataType),
-                           T.StructField("n", T.LongType()), T.StructField("sum", T.DoubleType()),
-                           T.StructField("max", T.DoubleType())])
-    s = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_rows, _stats_fn(), schema)
+    fields = [T.StructField("qid", queries.schema[qid].dataType), T.StructField("n", T.LongType()),
+              T.StructField("sum", T.DoubleType()), T.StructField("max", T.DoubleType())]
+    s = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_bytes, _stats_kernel, fields)
     return s.groupBy(*scope, "qid").agg(F.sum("n").alias("n_scored"), F.sum("sum").alias("score_sum"),
                                         F.max("max").alias("score_max")).withColumnRenamed("qid", qid)

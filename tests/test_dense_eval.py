@@ -25,19 +25,38 @@ def _brute_topk(Q, P, k):
     return out
 
 
-@pytest.mark.parametrize("block_rows", [3, 1000])
-def test_dense_topk_matches_brute_force(spark, block_rows):
+@pytest.mark.parametrize("block_bytes", [3 * 8 * 6, 1 << 20])  # 3 queries per block, or all
+def test_dense_topk_matches_brute_force(spark, block_bytes):
     rng = np.random.default_rng(7)
     Q = rng.normal(size=(11, 6))
     P = np.round(rng.normal(size=(40, 6)), 1)
     P[5] = P[6]  # exact ties, broken by id
-    t = dense.dense_topk(*_frames(spark, Q, P), k=5, block_rows=block_rows)
+    t = dense.dense_topk(*_frames(spark, Q, P), k=5, block_bytes=block_bytes)
     got = {}
     for r in t.orderBy("qid", "rank").collect():
         got.setdefault(r.qid, []).append(r.pid)
     assert got == _brute_topk(Q, P, 5)
 
 
+@pytest.mark.parametrize("block_bytes", [2 * 8 * 5, 1 << 20])  # split scopes / pack scopes
+def test_dense_topk_scoped(spark, block_bytes):
+    rng = np.random.default_rng(5)
+    rows_q, rows_p, want = [], [], {}
+    for lang in ("de", "en", "fr"):
+        Q = rng.normal(size=(4, 5))
+        P = rng.normal(size=(12, 5))
+        rows_q += [(lang, f"{lang}{i}", [float(x) for x in v]) for i, v in enumerate(Q)]
+        rows_p += [(lang, 100 + j, [float(x) for x in v]) for j, v in enumerate(P)]
+        for i, top in _brute_topk(Q, P, 3).items():
+            want[(lang, f"{lang}{i}")] = top
+    q = spark.createDataFrame(rows_q, "lang string, qid string, qvec array<double>")
+    p = spark.createDataFrame(rows_p, "lang string, pid long, pvec array<double>")
+    got = {}
+    for r in dense.dense_topk(q, p, k=3, scope=["lang"], block_bytes=block_bytes).orderBy("lang", "qid", "rank").collect():
+        got.setdefault((r.lang, r.qid), []).append(r.pid)
+    assert got == want
+
+
 def test_corpus_smaller_than_k(spark):
     Q = np.eye(2)
     P = np.array([[1.0, 0.0], [0.0, 1.0]])
@@ -51,7 +70,7 @@ def test_gold_rank_full(spark):
     P = rng.normal(size=(30, 4))
     gold = [100 + g for g in [0, 5, 9, 29, 3, 3, 999]]  # last one is missing from the corpus
     q, p = _frames(spark, Q, P, gold)
-    got = {r.qid: r.rank for r in dense.gold_rank_full(q, p, block_rows=2).collect()}
+    got = {r.qid: r.rank for r in dense.gold_rank_full(q, p, block_bytes=2 * 8 * 4).collect()}
     for i in range(7):
         if gold[i] == 100 + 999:
             assert got[i] == len(P) + 1
@@ -65,7 +84,7 @@ def test_gold_rank_full(spark):
 def test_score_all_pairs(spark):
     Q = np.array([[1.0, 0.0], [0.5, 0.5]])
     P = np.array([[1.0, 1.0], [2.0, 0.0], [0.0, 3.0]])
-    r = {x.qid: x for x in dense.score_all_pairs(*_frames(spark, Q, P), block_rows=1).collect()}
+    r = {x.qid: x for x in dense.score_all_pairs(*_frames(spark, Q, P), block_bytes=8).collect()}
     assert r[0].n_scored == 3 and r[0].score_sum == pytest.approx(3.0) and r[0].score_max == pytest.approx(2.0)
 
 
