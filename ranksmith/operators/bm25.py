@@ -117,7 +117,7 @@ def bm25_index(corpus: DataFrame, text: str = "passage", scope: Sequence[str] =
         .select(*sc, "term", "pid", "pid2", "tf",
                 (F.col("idf") * F.col("tf") * F.lit(k1 + 1.0) / (F.col("tf") + norm)).alias("weight"),
                 "hot") \
-        .repartition(_partitions(corpus), *sc, "pid", "pid2")
+        .repartition(_partitions(corpus), "pid", "pid2")
     return BM25Index(docs, doc_stats, stats, terms, postings, tuple(sc))
 
 
@@ -148,6 +148,8 @@ def join_postings(index: BM25Index, qt: DataFrame, salt_buckets: int = 16,
       replicated into each bucket.
     """
     sk = list(index.scope)
+    if sk:  # a long scope id rides along, so later aggregates group on longs only
+        qt = qt.withColumn("_sid", F.xxhash64(*[F.col(c) for c in sk]))
     if broadcast_rows is not None:
         qt = qt.persist(StorageLevel.MEMORY_AND_DISK)  # counted now, broadcast below
         if qt.count() <= broadcast_rows:
@@ -197,9 +199,15 @@ def bm25_scores(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text
     repetition."""
     sk = list(index.scope)
     q, keys, hashed = _keyed(queries, qkeys)
+    # Grouped on longs only -- (scope id, query key, doc key) -- and, with the
+    # postings partitioned by document, without an exchange.
+    sid = ["_sid"] if sk else []
     s = posting_matches(index, q, keys, text, tokenizer, salt_buckets, broadcast_rows) \
-        .groupBy(*sk, *keys, "pid", "pid2") \
+        .groupBy(*sid, *keys, "pid", "pid2") \
         .agg(F.sum(F.col("qtf") * F.col("weight")).alias("score"))
+    if sk:  # one row per scope value
+        names = q.select(*sk).distinct().withColumn("_sid", F.xxhash64(*[F.col(c) for c in sk]))
+        s = s.join(F.broadcast(names), "_sid").drop("_sid")
     return _unkey(s, q, sk, qkeys) if hashed else s
 
 
