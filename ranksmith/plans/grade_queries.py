@@ -200,7 +200,6 @@ SELECT lang, md5(query_text) AS query_md5, md5(hard_negative) AS neg_md5,
                ELSE CAST({strip_sql('reply')} AS DOUBLE) END), 0.0), 1.0) END, 0.5), 6) AS rag_score
 FROM r""", "DIRTY"))
 def q_score_with_context(spark, sf_dir):
-    from ..operators.relate import attach_context
     cleaned = _cleaned_dirty(spark, sf_dir)
     idx = bm25.bm25_index(bm25.build_corpus(cleaned))
     qs = cleaned.select("query_text", "gold_passage").distinct()

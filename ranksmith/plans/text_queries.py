@@ -162,7 +162,6 @@ FROM cleaned c LEFT JOIN ctx x USING (query_text, gold_passage)""", "PAIRS")
 
 @query("build_context_prompt", _CTX_SQL)
 def q_build_context_prompt(spark, sf_dir):
-    from ..operators.relate import attach_context
     cleaned = clean.clean_dataset(td.pairs(spark, sf_dir), negative=None)
     idx = bm25.bm25_index(bm25.build_corpus(cleaned, cols=["gold_passage"]))
     qs = cleaned.select("query_text", "gold_passage").distinct()
