@@ -112,9 +112,11 @@ def _plan_blocks(queries: DataFrame, scope: Sequence[str], qid: str, qvec: str,
     (a row per scope value) and one vector length come back to the driver;
     a scope larger than a block is split by a hash of the query id, small
     scopes share a block."""
-    dim = queries.select(F.size(qvec).alias("d")).filter("d > 0").agg(F.max("d")).first()[0] or 1
+    aggs = [F.count(F.lit(1)).alias("count"), F.max(F.size(qvec)).alias("dim")]
+    rows = (queries.groupBy(*scope).agg(*aggs) if scope else queries.agg(*aggs)).collect()
+    rows = [r for r in rows if r["count"]]
+    dim = max([r["dim"] or 0 for r in rows] + [1])
     per_block = max(1, block_bytes // (8 * dim))
-    rows = queries.groupBy(*scope).count().collect() if scope else [{"count": queries.count()}]
     pieces = []
     for r in rows:
         vals = tuple(r[s] for s in scope)
