@@ -7,8 +7,10 @@ is handed (for example ``spark.checkpoint.dir`` in :func:`shared_dir`).
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import SparkSession
 
@@ -37,8 +39,9 @@ def checkpoint_root(spark: SparkSession) -> str:
     """The shared checkpoint folder named by the cluster.
 
     Reads ``spark.checkpoint.dir`` (or the SparkContext's checkpoint dir).
-    Only when neither is set -- local runs and tests -- a private folder is
-    created and registered, so later calls agree on it.
+    Where neither is set, a local master (tests, trial runs: driver and
+    executors are one process) gets a private folder; any other master is an
+    error, since executors could not see each other's files.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -48,11 +51,32 @@ def checkpoint_root(spark: SparkSession) -> str:
     if conf:
         sc.setCheckpointDir(conf)
         return sc.getCheckpointDir() or conf
+    if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="ranksmith-ckpt-")
     sc.setCheckpointDir(local)
     return sc.getCheckpointDir() or local
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Give the executors this package, once a SparkContext: a zip of its
+    modules, sent by Spark's file server.  Needed wherever Python code of the
+    package runs in tasks."""
+    sc = spark.sparkContext
+    if getattr(sc, "_ranksmith_shipped", False):
+        return
+    root = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="ranksmith-code-"), "ranksmith.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(root):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    sc.addPyFile(path)
+    sc._ranksmith_shipped = True
+
+
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A fresh sub-folder of the shared checkpoint folder for written tables."""
     root = checkpoint_root(spark).rstrip("/")
