@@ -144,12 +144,21 @@ class WordCache(dict):
         got = self.old.get(word)
         if got is None:
             got = self.make(word)
+        self._take(word, got)
+        return got
+
+    def _take(self, word, got) -> None:
         if len(word) <= 64:
             if len(self) >= self.limit:
                 self.old = dict(self)
                 self.clear()
             self[word] = got
-        return got
+
+    def fill(self, words: set, make_all: Callable[[list], list]) -> None:
+        """Take in the values of those words that are new, made together."""
+        new = [w for w in words if w not in self and w not in self.old]
+        for word, got in zip(new, make_all(new) if new else []):
+            self._take(word, got)
 
 
 _KEPT: dict = {}

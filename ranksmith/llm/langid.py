@@ -22,6 +22,7 @@ columns are not read.
 from __future__ import annotations
 
 from collections import Counter, defaultdict
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -35,14 +36,15 @@ from ranksmith.session import ship_package
 from .common import WordCache, map_texts, per_worker, staged, text_or_empty
 
 #: Labelled rows of each language that the fit reads, about.
-SAMPLE_ROWS = 4000
+SAMPLE_ROWS = 1000
 ROUNDS = 2
 UNKNOWN = 1e-7
 SMOOTHING = 0.01
 MARK = "▁"
 NO_LANGUAGE = "und"
 _LETTERS = regex.compile(r"\p{L}+")
-_SMALL, _LARGE = 1e-200, 1e200
+#: Sums below this are scaled up.
+SMALL = 1e-100
 
 
 def letters(token: bytes) -> list[str]:
@@ -59,74 +61,131 @@ def pieces_of(path: str) -> frozenset[str]:
     return per_worker(("pieces", path), load)
 
 
-def spans(word: str, table, longest: int) -> list[tuple[int, int, object]]:
-    """(start, stop, entry) for the pieces inside ``word``, by stop; single
-    characters without one have entry ``None``."""
-    out, n = [], len(word)
-    for stop in range(1, n + 1):
-        for start in range(max(0, stop - longest), stop - 1):
-            if (entry := table.get(word[start:stop])) is not None:
-                out.append((start, stop, entry))
-        out.append((stop - 1, stop, table.get(word[stop - 1:stop])))
+class Trie:
+    """The vocabulary's pieces, numbered; a node maps characters to nodes and
+    the empty string to the number of the piece that ends there."""
+
+    def __init__(self, pieces: list[str]):
+        self.size, self.longest, self.root = len(pieces), max(map(len, pieces), default=1), {}
+        for i, piece in enumerate(pieces):
+            node = self.root
+            for c in piece:
+                node = node.setdefault(c, {})
+            node[""] = i
+
+    def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Lengths, and at [word, stop, length] the piece there: ``size`` for
+        an unknown character, ``size + 1`` where there is none."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        width, deep = int(lengths.max()) + 1, self.longest + 1
+        found, at = [], []
+        for w, word in enumerate(words):
+            base = w * width
+            for start in range(len(word)):
+                node, k = self.root, (base + start) * deep
+                for c in word[start:start + self.longest]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                    k += deep + 1
+                    if "" in node:
+                        at.append(k)
+                        found.append(node[""])
+        grid = np.full((len(words), width, deep), self.size + 1, np.int32)
+        grid.ravel()[at] = found
+        ones = grid[:, 1:, 1]
+        real = np.arange(1, width) <= lengths[:, None]
+        ones[real & (ones > self.size)] = self.size
+        return lengths, grid
+
+
+def batches_of(words: list[str], cells: int = 1 << 15) -> Iterator[list[str]]:
+    """Words of like length, so many that they fill a grid of ``cells`` rows."""
+    words, lo = sorted(words, key=len), 0
+    while lo < len(words):
+        hi = lo + 1
+        while hi < len(words) and (hi - lo + 1) * (len(words[hi]) + 1) <= cells:
+            hi += 1
+        yield words[lo:hi]
+        lo = hi
+
+
+def forward_logs(lengths: np.ndarray, grid: np.ndarray, probs: np.ndarray) -> np.ndarray:
+    """[word, language]: log of the sum over the word's segmentations.
+    ``probs`` is [piece, language]; sums are rescaled to stay within range."""
+    n, width, deep = grid.shape
+    sums, scale = np.zeros((n, width, probs.shape[1])), np.zeros((n, probs.shape[1]))
+    sums[:, 0] = 1.0
+    out = np.empty((n, probs.shape[1]))
+    for stop in range(1, width):
+        for k in range(1, min(stop, deep - 1) + 1):
+            if (piece := grid[:, stop, k]).min() < len(probs) - 1:
+                sums[:, stop] += sums[:, stop - k] * probs[piece]
+        if (done := lengths == stop).any():
+            out[done] = np.log(sums[done, stop]) + scale[done]
+        if stop % deep == 0:
+            factor = np.where(sums[:, stop] < SMALL, 1 / SMALL, 1.0)
+            sums[:, max(0, stop - deep):stop + 1] *= factor[:, None]
+            scale -= np.log(factor)
     return out
 
 
-def forward(n: int, steps: list[tuple[int, int, float]]) -> tuple[list[float], float]:
-    """Sums over the segmentations of each prefix, and the log of the factor
-    that they were divided by so as to stay within range."""
-    sums, scale = [1.0] + [0.0] * n, 0.0
-    at = 1
-    for start, stop, p in steps:
-        if stop != at:
-            if sums[at] < _SMALL:
-                sums = [x * _LARGE for x in sums]
-                scale -= float(np.log(_LARGE))
-            at = stop
-        sums[stop] += sums[start] * p
-    return sums, scale
-
-
-def expected_uses(word: str, probs: dict[str, float], longest: int) -> list[tuple[str, float]]:
-    """Each piece's expected number of uses in a segmentation of ``word``."""
-    n, found = len(word), spans(word, probs, longest)
-    steps = [(a, b, UNKNOWN if p is None else p) for a, b, p in found]
-    ahead, _ = forward(n, steps)
-    back, _ = forward(n, [(n - b, n - a, p) for a, b, p in reversed(sorted(steps))])
-    whole = ahead[n] * back[0]
-    if not 0 < whole < float("inf") or not max(ahead) < float("inf") or not max(back) < float("inf"):
-        return []  # out of range: very long words are not learnt from
-    return [(word[a:b], ahead[a] * p * back[n - b] / whole) for (a, b, kept), (_, _, p) in zip(found, steps) if kept is not None]
+def expected_uses(lengths: np.ndarray, grid: np.ndarray, probs: np.ndarray, times: np.ndarray) -> np.ndarray:
+    """[piece]: expected number of uses in the words' segmentations under one
+    language's ``probs``, each word counted ``times``.  Words whose
+    probability is below the floating-point range add nothing."""
+    n, width, deep = grid.shape
+    ahead, back = np.zeros((n, width)), np.zeros((n, width))
+    ahead[:, 0] = back[np.arange(n), lengths] = 1.0
+    steps = [(stop, k) for stop in range(1, width) for k in range(1, min(stop, deep - 1) + 1)
+             if grid[:, stop, k].min() < len(probs) - 1]
+    for stop, k in steps:
+        ahead[:, stop] += ahead[:, stop - k] * probs[grid[:, stop, k]]
+    for stop, k in reversed(steps):
+        back[:, stop - k] += back[:, stop] * probs[grid[:, stop, k]]
+    whole = ahead[np.arange(n), lengths]
+    weight = np.divide(times, whole, out=np.zeros(n), where=whole > 0)
+    uses = np.zeros(len(probs))
+    for stop, k in steps:
+        piece = grid[:, stop, k]
+        np.add.at(uses, piece, ahead[:, stop - k] * probs[piece] * back[:, stop] * weight)
+    return uses
 
 
 class Model:
-    """Piece probabilities by language."""
+    """Piece probabilities by language: ``probs[piece, language]`` for the
+    vocabulary's pieces, the unknown piece and, with 0, no piece."""
 
-    def __init__(self, languages: list[str], table: dict[str, tuple[float, ...]]):
-        self.languages, self.table = languages, table
-        self.longest = max(map(len, table), default=1)
-        self.cache = WordCache(self._entry)
+    def __init__(self, languages: list[str], pieces: list[str], probs: np.ndarray):
+        self.languages, self.pieces, self.probs = languages, pieces, probs
+        self.cache = WordCache(lambda token: self._entries([token])[0], 500_000)
+        self.trie = None
 
     def __reduce__(self):
-        return Model, (self.languages, self.table)
-
-    def word_logs(self, word: str) -> list[float]:
-        """The word's log probability in each language."""
-        marked = MARK + word
-        found, out = spans(marked, self.table, self.longest), []
-        for k in range(len(self.languages)):
-            sums, scale = forward(len(marked), [(a, b, UNKNOWN if e is None else e[k]) for a, b, e in found])
-            out.append(float(np.log(sums[-1])) + scale)
+        return Model, (self.languages, self.pieces, self.probs)
+
+    def word_logs(self, words: list[str]) -> dict[str, np.ndarray]:
+        """Each word's log probabilities, by language."""
+        self.trie = self.trie or Trie(self.pieces)
+        out = {}
+        for some in batches_of(words):
+            out.update(zip(some, forward_logs(*self.trie.lattice([MARK + w for w in some]), self.probs)))
         return out
 
-    def _entry(self, token: bytes) -> bytes:
-        logs = [self.word_logs(w) for w in letters(token)]
-        return np.sum(logs, axis=0).astype("<f8").tobytes() if logs else b""
+    def _entries(self, tokens: list[bytes]) -> list[bytes]:
+        words = [letters(t) for t in tokens]
+        logs = self.word_logs(list({w for ws in words for w in ws}))
+        return [np.sum([logs[w] for w in ws], axis=0).tobytes() if len(ws) > 1 else logs[ws[0]].tobytes() if ws else b"" for ws in words]
 
-    def predict(self, text: bytes) -> tuple[str, float]:
-        rows = np.frombuffer(b"".join(map(self.cache.__getitem__, text.split())), "<f8")
-        if not len(rows):
+    def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        split = [t.split() for t in texts]
+        self.cache.fill({t for ts in split for t in ts}, self._entries)
+        return [self._best(b"".join(map(self.cache.__getitem__, ts))) for ts in split]
+
+    def _best(self, packed: bytes) -> tuple[str, float]:
+        if not packed:
             return NO_LANGUAGE, 0.0
-        logs = rows.reshape(-1, len(self.languages)).sum(axis=0)
+        logs = np.frombuffer(packed, "<f8").reshape(-1, len(self.languages)).sum(axis=0)
         best = int(logs.argmax())
         return self.languages[best], float(1 / np.exp(logs - logs[best]).sum())
 
@@ -175,40 +234,38 @@ def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", la
 
     words = staged(texts.mapInArrow(count, "lang string, word string, n long")
                    .groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    words = words.repartition("word")
-    spark, probs = df.sparkSession, None
+    spark, pieces = df.sparkSession, sorted(pieces_of(path))
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    probs = np.full((len(pieces) + 2, len(languages)), 1.0 / len(pieces))
     for _ in range(rounds):
+        probs[-2], probs[-1] = UNKNOWN, 0.0
         given = spark.sparkContext.broadcast(probs)  # languages x vocabulary
 
         def expect(batches):
-            pieces, now = pieces_of(path), given.value
-            longest = max(map(len, pieces))
-            flat = dict.fromkeys(pieces, 1.0 / len(pieces)) if now is None else None
-            sums = defaultdict(lambda: defaultdict(float))
+            trie = per_worker(("trie", path), lambda: Trie(sorted(pieces_of(path))))
+            sums = np.zeros(given.value.shape)
             for batch in batches:
+                counts = defaultdict(dict)
                 for g, w, n in zip(*(c.to_pylist() for c in batch.columns)):
-                    own = sums[g]
-                    for piece, uses in expected_uses(MARK + w, flat or now[g], longest):
-                        own[piece] += uses * n
-            rows_ = [(g, p, x) for g, own in sums.items() for p, x in own.items()]
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows_], t) for i, t in enumerate((pa.string(), pa.string(), pa.float64()))],
-                                             names=["lang", "piece", "uses"])
-
-        got = words.mapInArrow(expect, "lang string, piece string, uses double").groupBy("lang", "piece").agg(F.sum("uses").alias("uses")).collect()
-        probs = _normalised(got, languages, pieces_of(path))
+                    counts[g][w] = n
+                for g, own in counts.items():
+                    k = languages.index(g)
+                    for some in batches_of(list(own)):
+                        grid = trie.lattice([MARK + w for w in some])
+                        sums[:, k] += expected_uses(*grid, given.value[:, k], np.array([own[w] for w in some], float))
+            piece, k = np.nonzero(sums[:-2])
+            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(piece, pa.int64()), pa.array(sums[piece, k])],
+                                             names=["k", "piece", "uses"])
+
+        got = (words.repartition(tasks, "word").mapInArrow(expect, "k long, piece long, uses double")
+               .groupBy("k", "piece").agg(F.sum("uses").alias("uses")).collect())
+        probs = np.full(probs.shape, SMOOTHING)
+        for r in got:
+            probs[r.piece, r.k] += r.uses
+        probs /= probs[:-2].sum(axis=0)
         given.unpersist()
-    return Model(languages, {p: tuple(probs[g][p] for g in languages) for p in pieces_of(path)})
-
-
-def _normalised(got, languages: list[str], pieces: frozenset[str]) -> dict[str, dict[str, float]]:
-    probs = {g: dict.fromkeys(pieces, SMOOTHING) for g in languages}
-    for r in got:
-        probs[r.lang][r.piece] += r.uses
-    for own in probs.values():
-        whole = sum(own.values())
-        for p in own:
-            own[p] /= whole
-    return probs
+    probs[-2], probs[-1] = UNKNOWN, 0.0
+    return Model(languages, pieces, probs)
 
 
 def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -222,7 +279,7 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
         def kernel(texts: list) -> list:
             if not m.languages:
                 return [[NO_LANGUAGE] * len(texts), [0.0] * len(texts)]
-            return [list(c) for c in zip(*(m.predict(t or b"") for t in texts))]
+            return [list(c) for c in zip(*m.predict([t or b"" for t in texts]))]
         return kernel
 
     return map_texts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_rs_text")), "_rs_text", make_kernel,

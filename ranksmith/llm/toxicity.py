@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences.  A sentence's probability is the logistic of
-a bias and its words' weights; a document's is the noisy-or of its sentences,
+a bias and the weights of its words and word beginnings; a document's is the noisy-or of its sentences,
 ``1 - prod(1 - p)``.  Weights are learnt from document labels alone, by
 gradient descent on the documents' log loss, and then say which sentences
 offend.
@@ -35,11 +35,14 @@ from .common import WordCache, filter_texts, map_texts
 
 #: Labelled rows of each kind that the fit reads at most.
 SAMPLE_ROWS = 10_000
-#: Words that carry a weight: those whose document frequency differs most
-#: between the kinds, by z-score of the log odds.
+#: Features that carry a weight: words and word beginnings, at most so many,
+#: whose document frequency differs most between the kinds, by z-score of the
+#: log odds.
 VOCABULARY = 3000
-MIN_DOCS = 3
-STEPS, RATE, RIDGE = 300, 0.2, 0.5
+MIN_DOCS, MIN_Z = 5, 4.0
+#: Lengths of word beginnings, so that inflected words share a weight.
+BEGINNINGS = range(4, 9)
+STEPS, RATE, RIDGE = 400, 0.2, 0.3
 _LETTERS = regex.compile(r"\p{L}+")
 _END = b"\x00"
 
@@ -48,6 +51,12 @@ def words_of(token: bytes) -> list[str]:
     return _LETTERS.findall(token.decode("utf-8", "replace").lower())
 
 
+def features_of(token: bytes) -> list[str]:
+    """The token's words and their beginnings, those marked with an asterisk."""
+    words = words_of(token)
+    return words + [w[:k] + "*" for w in words for k in BEGINNINGS if len(w) >= k]
+
+
 def tokens(text: bytes) -> list[bytes]:
     """Words and, for each line break, an end mark."""
     return text.replace(b"\n", b" \x00 ").split()
@@ -81,8 +90,8 @@ class Model:
 
     def _entry(self, token: bytes) -> bytes:
         """Weight, whether a sentence ends, whether there is a word."""
-        words = words_of(token)
-        return np.array([sum(self.weights.get(w, 0.0) for w in words), ends(token), bool(words)], "<f4").tobytes()
+        used = features_of(token)
+        return np.array([sum(self.weights.get(w, 0.0) for w in used), ends(token), bool(used)], "<f4").tobytes()
 
     def logits(self, text: bytes) -> np.ndarray:
         """A logit for each sentence that has a word, or for one without words."""
@@ -132,7 +141,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
         for batch in batches:
             for t, y in zip(batch.column(0), batch.column(1)):
                 y = y.as_py()
-                found.update((w, y) for w in {w for token in set(tokens(t.as_py() or b"")) for w in words_of(token)})
+                found.update((w, y) for w in {w for token in set(tokens(t.as_py() or b"")) for w in features_of(token)})
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()),
                                           pa.array(list(found.values()), pa.int64())], names=["word", "y", "n"])
 
@@ -145,7 +154,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
     odds = F.log(bad / (kinds[1] + 1.0)) - F.log(good / (kinds[0] + 1.0))
     z = F.abs(odds) / F.sqrt(1 / bad + 1 / good)
-    words = [r.word for r in per_word.where(F.col("bad") + F.col("good") >= MIN_DOCS)
+    words = [r.word for r in per_word.where((F.col("bad") + F.col("good") >= MIN_DOCS) & (z >= MIN_Z))
              .orderBy(z.desc(), "word").limit(VOCABULARY).select("word").collect()]
     index = {w: i for i, w in enumerate(words)}
 
@@ -156,7 +165,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
                 n, used = 0, Counter()
                 data = t.as_py() or b""
                 for a, b in sentences(data):
-                    at = sorted(index[w] for token in data[a:b].split() for w in words_of(token) if w in index)
+                    at = sorted(index[w] for token in data[a:b].split() for w in features_of(token) if w in index)
                     n += not at
                     if at:
                         used[tuple(at)] += 1
