@@ -39,7 +39,7 @@ SAMPLE_ROWS = 10_000
 #: whose document frequency differs most between the kinds, by z-score of the
 #: log odds.
 VOCABULARY = 3000
-MIN_DOCS, MIN_Z = 5, 4.0
+MIN_DOCS, MIN_Z = 3, 2.5
 #: Lengths of word beginnings, so that inflected words share a weight.
 BEGINNINGS = range(4, 9)
 STEPS, RATE, RIDGE = 400, 0.2, 0.3
