@@ -217,7 +217,7 @@ def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", la
     ship_package(df.sparkSession)
     texts, languages = sample(df, doc_id, text, lang, rows)
     if not languages:
-        return Model([], {})
+        return Model([], [], np.zeros((2, 0)))
 
     def count(batches):
         for batch in batches:

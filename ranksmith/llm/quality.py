@@ -64,8 +64,7 @@ def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
     words = text.split()  # of bytes: ASCII white space only
     letters = b"".join(words)
-    chars = len(letters) - len(letters.translate(None, bytes(range(0xC0))))  # lead bytes of longer characters
-    chars += len(letters) - len(letters.translate(None, bytes(range(0x80))))
+    chars = len(letters.translate(None, bytes(range(0x80, 0xC0))))  # without continuation bytes
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
     return len(words), chars, symbols, len(lines) - len(set(lines)), _repeated(words)

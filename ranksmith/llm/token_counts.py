@@ -112,6 +112,7 @@ def count_tokens(df: DataFrame, path: str, cache: str, doc_id: str = "doc_id", t
                              F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"),
                              content_digest(text, normalise).alias("content")), "digests")
     fill_cache(df, path, cache, doc_id, text, normalise)
-    stored = (read_cache(spark, cache).where(F.col("tokenizer") == F.lit(tokenizer_digest(path)))
-              .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")))
+    # Kept, so that the join reads it plainly and can split a hot content's rows.
+    stored = staged(read_cache(spark, cache).where(F.col("tokenizer") == F.lit(tokenizer_digest(path)))
+                    .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
     return keyed.join(stored, "content", "left").select("doc_id", "n_bytes", "n_tokens")
