@@ -31,7 +31,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,9 +79,14 @@ def _masks(flips: int, lo: int = 0, hi: int = 64) -> list[int]:
 
 
 def _flipped(nodes: DataFrame, masks: list[int]) -> DataFrame:
-    """(fp, variant), a row for each mask."""
-    return (nodes.select("fp", F.explode(F.array(*[F.lit(m) for m in masks])).alias("mask"))
-            .select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant")))
+    """(variant, nth), a row for each mask; ``_unflipped`` has the fingerprint
+    from them, so that each row moves one random number and a small one."""
+    return (nodes.select("fp", F.posexplode(F.array(*[F.lit(m) for m in masks])).alias("nth", "mask"))
+            .select(F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"), "nth"))
+
+
+def _unflipped(masks: list[int]) -> Column:
+    return F.element_at(F.array(*[F.lit(m) for m in masks]), F.col("nth") + 1).bitwiseXOR(F.col("variant")).alias("fp")
 
 
 def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
@@ -89,7 +94,12 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     whose components are those of all pairs within ``radius`` bits."""
     k, odd = divmod(radius, 2)
     ball = [m for i in range(k + 1) for m in _masks(i)]
-    core = _flipped(nodes, ball).withColumn("head", F.min("fp").over(Window.partitionBy("variant")))
+    # Few bytes become many rows: deal them out first.
+    spark = nodes.sparkSession
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    nodes = nodes.repartition(tasks, "fp")
+    core = (_flipped(nodes, ball).repartition("variant").select("variant", _unflipped(ball))
+            .withColumn("head", F.min("fp").over(Window.partitionBy("variant"))))
     found = core.where(F.col("fp") != F.col("head")).select("fp", "head")
     if odd:
         shell = _masks(k + 1, 0, 32) + _masks(k + 1, 32, 64)
@@ -97,10 +107,10 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
         # Only variants that an odd fingerprint can reach with k + 1 flips.
         heads = core.where((F.col("fp") == F.col("head")) & (F.bit_count("variant") % 2 == k % 2)).select("variant", "head")
         met = outer.join(heads.hint("shuffle_hash"), "variant")
-        found = found.unionByName(met.select("fp", "head"))
+        found = found.unionByName(met.select(_unflipped(shell), "head"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= radius
     return found.where(near & (F.col("fp") != F.col("head"))).select(
-        F.col("fp").alias("a"), F.col("head").alias("b")).distinct()
+        F.least("fp", "head").alias("a"), F.greatest("fp", "head").alias("b")).distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
