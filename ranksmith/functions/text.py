@@ -47,9 +47,9 @@ def char_length(c) -> Column:
     return F.length(_c(c)).cast("long")
 
 
-def truncate_text(c, n: int) -> Column:
-    """First ``n`` code points (Python ``s[:n]``)."""
-    return F.substring(_c(c), 1, n)
+def truncate_text(c, n: int | None) -> Column:
+    """First ``n`` code points (Python ``s[:n]``); ``None``: the whole text."""
+    return _c(c) if n is None else F.substring(_c(c), 1, n)
 
 
 def title_concat(title, text) -> Column:
@@ -62,8 +62,9 @@ def length_ratio(a, b) -> Column:
     return F.try_divide(F.length(_c(a)).cast("double"), F.length(_c(b)).cast("double"))
 
 
-def score_cache_key(q, g, n, width: int = 100) -> Column:
-    """md5 of ``q[:100]|g[:100]|n[:100]`` (hex)."""
+def score_cache_key(q, g, n, width: int | None = None) -> Column:
+    """md5 of ``q|g|n`` (hex), over whole texts.  With a ``width`` only that
+    many characters of each count, and triplets that begin alike share a key."""
     return F.md5(F.concat_ws("|", truncate_text(q, width), truncate_text(g, width),
                              truncate_text(n, width)))
 
@@ -126,7 +127,8 @@ PAIR_PROMPT = (
     "REASON: [Brief explanation]\n"
 )
 
-# Truncation widths of the prompts (characters).
+# Truncation widths of the prompts (characters): the defaults of the prompt
+# functions' ``width`` arguments, where None means the whole text.
 GRADE_WIDTHS = {"query": 200, "gold": 300, "negative": 300}
 GENERATION_POSITIVE_WIDTH = 200
 CONTEXT_PASSAGE_WIDTH = 120
@@ -154,32 +156,32 @@ def fill_template(template: str, **parts) -> Column:
     return F.concat(*pieces)
 
 
-def grading_prompt(query, gold, negative) -> Column:
+def grading_prompt(query, gold, negative, widths: dict[str, int | None] = GRADE_WIDTHS) -> Column:
     return fill_template(GRADING_PROMPT,
-                         query=truncate_text(query, GRADE_WIDTHS["query"]),
-                         gold=truncate_text(gold, GRADE_WIDTHS["gold"]),
-                         negative=truncate_text(negative, GRADE_WIDTHS["negative"]))
+                         query=truncate_text(query, widths["query"]),
+                         gold=truncate_text(gold, widths["gold"]),
+                         negative=truncate_text(negative, widths["negative"]))
 
 
-def generation_prompt(query, positive, n: int = 3) -> Column:
+def generation_prompt(query, positive, n: int = 3, width: int | None = GENERATION_POSITIVE_WIDTH) -> Column:
     return fill_template(GENERATION_PROMPT, n=F.lit(str(n)), query=query,
-                         positive=truncate_text(positive, GENERATION_POSITIVE_WIDTH))
+                         positive=truncate_text(positive, width))
 
 
-def context_bullets(contexts) -> Column:
-    """``"\\n".join("• " + c[:120] for c in contexts)`` over an array column."""
+def context_bullets(contexts, width: int | None = CONTEXT_PASSAGE_WIDTH) -> Column:
+    """One line ``• text`` per element of an array column, ``width``
+    characters of each."""
     return F.array_join(
-        F.transform(_c(contexts),
-                    lambda c: F.concat(F.lit("• "), F.substring(c, 1, CONTEXT_PASSAGE_WIDTH))),
-        "\n")
+        F.transform(_c(contexts), lambda c: F.concat(F.lit("• "), truncate_text(c, width))), "\n")
 
 
-def context_prompt(query, gold, negative, contexts) -> Column:
+def context_prompt(query, gold, negative, contexts, passage_width: int | None = CONTEXT_PASSAGE_WIDTH,
+                   gold_width: int | None = CONTEXT_GOLD_WIDTH) -> Column:
     enhanced = F.concat(F.lit("Query: "), _c(query), F.lit("\n\nContext:\n"),
-                        context_bullets(contexts))
+                        context_bullets(contexts, passage_width))
     return fill_template(CONTEXT_PROMPT, enhanced_query=enhanced,
-                         gold=truncate_text(gold, CONTEXT_GOLD_WIDTH),
-                         negative=truncate_text(negative, CONTEXT_GOLD_WIDTH))
+                         gold=truncate_text(gold, gold_width),
+                         negative=truncate_text(negative, gold_width))
 
 
 def pair_prompt(query, negative) -> Column:

@@ -333,21 +333,28 @@ def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_p
         index = bm25_index(corpus if corpus is not None else build_corpus(df, scope=sc), scope=sc)
     sk = list(index.scope)
     gp, gp2 = passage_key(F.col(gold))
-    qh, qh2 = passage_key(F.concat_ws("\u0000", F.col(query), F.col(gold)))
+    qh, qh2 = pair_key(query, gold)
     qs = df.select(*sc, query, gold).distinct() \
         .withColumn("qh", qh).withColumn("qh2", qh2) \
         .withColumn("gpid", gp).withColumn("gpid2", gp2)
     if prune:
         s = candidates_pruned(index, qs, ["qh", "qh2"], query, n, exclude=("gpid", "gpid2"), **kw)
     else:
+        s = bm25_scores(index, qs, ["qh", "qh2"], query, **kw)
+    if prune:
+        top = _ranked(s, index, [*sk, "qh", "qh2"], n)
+    else:
+        # The gold fills one place at most: the best n + 1 hold the best n others.
         gold_keys = qs.select(*sk, "qh", "qh2", "gpid", "gpid2")
-        s = bm25_scores(index, qs, ["qh", "qh2"], query, **kw) \
-            .join(gold_keys, [*sk, "qh", "qh2"]) \
-            .filter((F.col("pid") != F.col("gpid")) | (F.col("pid2") != F.col("gpid2")))
-    top = _ranked(s, index, [*sk, "qh", "qh2"], n)
+        gp, gp2 = passage_key(F.col("passage"))
+        best = _ranked(s, index, [*sk, "qh", "qh2"], n + 1).withColumn("_p", gp).withColumn("_p2", gp2) \
+            .join(gold_keys, [*sk, "qh", "qh2"])
+        is_gold = F.col("_p").eqNullSafe(F.col("gpid")) & F.col("_p2").eqNullSafe(F.col("gpid2"))
+        top = best.filter(~is_gold)
     chosen = top.groupBy(*sk, "qh", "qh2").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage"))),
                     lambda x: x["passage"]).alias("_chosen"))
+    chosen = chosen.withColumn("_chosen", F.slice("_chosen", 1, n))
     out = qs.join(chosen, [*sk, "qh", "qh2"], "left") \
         .withColumn("_chosen", F.coalesce(F.col("_chosen"), F.array().cast("array<string>")))
     # Pads: the 2n+1 smallest corpus texts by (md5, text) per scope -- at most
@@ -369,6 +376,13 @@ def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_p
     return out.select(*sc, query, gold, "qh", "qh2", mined.alias("mined"))
 
 
+def pair_key(query: str, gold: str) -> tuple[Column, Column]:
+    """Key of a (query, gold) pair that tells nulls apart from each other's
+    place and from texts."""
+    mark = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
+    return passage_key(F.concat_ws("\u0000", mark(query), mark(gold)))
+
+
 def bm25_hard_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_passage",
                         n: int = 1, mode: str = "fill", negative: str = "hard_negative",
                         **kw) -> DataFrame:
@@ -382,7 +396,7 @@ def bm25_hard_negatives(df: DataFrame, query: str = "query_text", gold: str = "g
     sc = list(kw.get("scope", ()))
     df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read for the corpus, the queries and the result
     mined = mine_negatives(df, query, gold, n=n, **kw).select(*sc, "qh", "qh2", "mined")
-    qh, qh2 = passage_key(F.concat_ws("\u0000", F.col(query), F.col(gold)))
+    qh, qh2 = pair_key(query, gold)
     out = df.withColumn("qh", qh).withColumn("qh2", qh2) \
         .join(mined, [*sc, "qh", "qh2"], "left").drop("qh", "qh2")
     first = F.try_element_at(F.col("mined"), F.lit(1))

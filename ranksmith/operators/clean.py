@@ -29,8 +29,8 @@ def drop_blank(df: DataFrame, cols: Sequence[str] = ("query_text", "gold_passage
     return df.filter(cond)
 
 
-def length_bounds(df: DataFrame, bounds: dict[str, tuple[int | None, int | None]]) -> DataFrame:
-    """Keep rows whose code-point lengths lie in the inclusive bounds."""
+def within_bounds(bounds: dict[str, tuple[int | None, int | None]]) -> Column:
+    """Whether code-point lengths lie in the inclusive bounds; null is open."""
     cond = F.lit(True)
     for c, (lo, hi) in bounds.items():
         n = F.length(c)
@@ -38,7 +38,19 @@ def length_bounds(df: DataFrame, bounds: dict[str, tuple[int | None, int | None]
             cond = cond & (n >= lo)
         if hi is not None:
             cond = cond & (n <= hi)
-    return df.filter(cond)
+    return cond
+
+
+def length_bounds(df: DataFrame, bounds: dict[str, tuple[int | None, int | None]]) -> DataFrame:
+    """Keep rows whose code-point lengths lie in the inclusive bounds."""
+    return df.filter(within_bounds(bounds))
+
+
+def row_keys(df: DataFrame) -> list[Column]:
+    """256 bits that stand for a whole row where only counts are wanted, so
+    that texts need not be shuffled; nulls are told from values."""
+    parts = [F.coalesce(F.sha2(F.col(f"`{c}`").cast("string").cast("binary"), 256), F.lit("")) for c in df.columns]
+    return [F.unhex(F.sha2(F.concat_ws(",", *parts).cast("binary"), 256)).alias("_row")]
 
 
 def drop_identical_negative(df: DataFrame, gold: str = "gold_passage",
@@ -55,9 +67,7 @@ def _clean_flags(df: DataFrame, bounds: dict, negative: str | None) -> list[tupl
     for c in df.columns:
         not_null = not_null & F.col(c).isNotNull()
     blank_ok = ~is_blank("query_text") & ~is_blank("gold_passage")
-    len_ok = F.lit(True)
-    for c, (lo, hi) in bounds.items():
-        len_ok = len_ok & F.length(c).between(lo, hi)
+    len_ok = within_bounds(bounds)
     ident_ok = ~F.col(negative).eqNullSafe(F.col("gold_passage")) if negative else F.lit(True)
     return [("not_null", not_null), ("non_blank", blank_ok), ("length", len_ok),
             ("not_identical", ident_ok)]
@@ -83,15 +93,16 @@ def retention_report(df: DataFrame, bounds: dict | None = None,
                      negative: str | None = "hard_negative") -> DataFrame:
     """Row count after each step of :func:`clean_dataset`, with % of input.
 
-    One shuffle: rows are grouped to distinct rows with their multiplicity;
-    the row-wise flags are evaluated once per distinct row and summed.
-    Empty input gives null percentages.
+    One shuffle: rows are grouped to distinct rows with their multiplicity, by
+    a hash of the row and its flags, so no text is moved; the flags are then
+    summed.  Empty input gives null percentages.
     """
     bounds = bounds or DEFAULT_BOUNDS
     if negative and negative not in df.columns:
         negative = None
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_m"))
-    flags = _clean_flags(df, bounds, negative)
+    given = _clean_flags(df, bounds, negative)
+    g = df.groupBy(*row_keys(df), *[f.alias(f"_{name}") for name, f in given]).agg(F.count(F.lit(1)).alias("_m"))
+    flags = [(name, F.col(f"_{name}")) for name, _ in given]
     keep = flags[0][1]
     aggs = [F.sum("_m").alias("input"),
             F.sum(F.when(keep, F.col("_m"))).alias("not_null"),

@@ -1,15 +1,13 @@
 """Dense retrieval: pluggable batch encoders and exact inner-product top-k.
 
 Exact search scores every (query, passage) pair, but never materialises the
-pairs.  Queries are packed into blocks of at most ``block_bytes`` of vectors
-(several small scopes -- e.g. languages -- share a block, a large scope is
-split by query hash); a block is shipped to the executors as a broadcast of
-numpy matrices keyed by scope, and each corpus partition is scored against
-it inside ``mapInPandas``: rows of a batch are grouped by scope and
-multiplied with that scope's queries in bounded chunks.  Only each batch's partial
-top-k (ties at the cut kept) -- or, for gold ranks, one count per query --
-leaves the task; a ``row_number() <= k`` window (planned as a
-WindowGroupLimit) merges the partial lists.
+pairs.  Queries and passages are dealt to blocks of at most ``block_bytes``
+of vectors per scope (e.g. model and language); every query block meets every
+passage block of its scope in one cogroup, which multiplies them as numpy
+matrices in bounded chunks.  Only each block's partial top-k (ties at the cut
+kept) -- or, for gold ranks, one count per query -- leaves the task; a
+``row_number() <= k`` window (planned as a WindowGroupLimit) merges the
+partial lists.
 
 Ties: rank order is (score rounded to 9 places desc, passage id asc).
 """
@@ -17,12 +15,11 @@ Ties: rank order is (score rounded to 9 places desc, passage id asc).
 from __future__ import annotations
 
 import hashlib
-import math
 from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -67,144 +64,104 @@ def hashed_bow_encoder(dim: int = 64) -> Callable[[], Encoder]:
 
 
 def embed_batches(df: DataFrame, text: str, encoder: Callable[[], Encoder], out: str = "embedding",
-                  batch_size: int = 32, on_error: str = "skip") -> DataFrame:
+                  batch_size: int = 32, on_error: str = "skip", dim: int | None = None,
+                  error: str | None = None) -> DataFrame:
     """Append ``out`` (array<double>) by running the encoder over batches of
-    ``batch_size`` texts.  A failing batch is dropped (``skip``, index build)
-    or gets zero vectors (``zero``, evaluator); the dimension for zeros is
-    taken from the first successful batch of the task."""
-    schema = T.StructType(df.schema.fields + [T.StructField(out, T.ArrayType(T.DoubleType()))])
+    ``batch_size`` texts.  With ``on_error="skip"`` (index build) the rows of
+    a failing batch are dropped; with ``"zero"`` (evaluator) they get zero
+    vectors of ``dim`` numbers, and every row stays.  ``error`` names a column
+    for the failure's message (null where there was none); with it no row is
+    dropped in ``skip`` mode either: the vector is null, so failures can be
+    counted and set apart."""
+    if on_error == "zero" and dim is None:
+        raise ValueError("zero vectors need their dimension")
+    fields = [T.StructField(out, T.ArrayType(T.DoubleType()))] + ([T.StructField(error, T.StringType())] if error else [])
+    schema = T.StructType(df.schema.fields + fields)
 
     def run(it):
         model = encoder()
-        dim = None
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[s:s + batch_size]
+                said = None
                 try:
-                    vecs = np.asarray(model(chunk[text]), dtype=np.float64)
-                    dim = vecs.shape[1]
-                except Exception:  # noqa: BLE001 - model failures are data here
-                    if on_error == "skip" or dim is None:
+                    vecs = list(np.asarray(model(chunk[text]), dtype=np.float64))
+                except Exception as e:  # noqa: BLE001 - model failures are data here
+                    if on_error == "skip" and not error:
                         continue
-                    vecs = np.zeros((len(chunk), dim))
-                yield chunk.assign(**{out: list(vecs)})
+                    said = f"{type(e).__name__}: {e}"
+                    vecs = [np.zeros(dim) if on_error == "zero" else None for _ in range(len(chunk))]
+                yield chunk.assign(**{out: vecs}, **({error: said} if error else {}))
     return df.mapInPandas(run, schema)
 
 
 # --- blocked exact scoring ---------------------------------------------------------
 
-# A query block is at most this many bytes of float64 vectors; inside a task
-# the product is taken in chunks of CHUNK_ROWS passages x CHUNK_QUERIES queries.
-BLOCK_BYTES = 64 << 20
+# A block is about this many bytes of float64 vectors; inside a task the
+# product is taken in chunks of CHUNK_ROWS passages x CHUNK_QUERIES queries.
+BLOCK_BYTES = 16 << 20
 CHUNK_ROWS = 2048
 CHUNK_QUERIES = 4096
 
 
-def _scope_filter(scope: Sequence[str], vals) -> F.Column:
-    cond = F.lit(True)
-    for s, v in zip(scope, vals):
-        cond = cond & (F.col(s) == F.lit(v))
-    return cond
-
-
-def _plan_blocks(queries: DataFrame, scope: Sequence[str], qid: str, qvec: str, block_bytes: int):
-    """Pack the query set into blocks of bounded size.  One small aggregate
-    (a row per scope value) and one vector length come back to the driver;
-    a scope larger than a block is split by a hash of the query id, small
-    scopes share a block."""
-    aggs = [F.count(F.lit(1)).alias("count"), F.max(F.size(qvec)).alias("dim")]
-    rows = (queries.groupBy(*scope).agg(*aggs) if scope else queries.agg(*aggs)).collect()
-    rows = [r for r in rows if r["count"]]
-    dim = max([r["dim"] or 0 for r in rows] + [1])
-    per_block = max(1, block_bytes // (8 * dim))
-    pieces = []
-    for r in rows:
-        vals = tuple(r[s] for s in scope)
-        nsub = max(1, math.ceil(r["count"] / per_block))
-        pieces += [(vals, nsub, i, min(r["count"], per_block)) for i in range(nsub)]
-    blocks, cur, size = [], [], 0
-    for piece in sorted(pieces, key=lambda p: -p[3]):
-        if cur and size + piece[3] > per_block:
-            blocks.append(cur)
-            cur, size = [], 0
-        cur.append(piece)
-        size += piece[3]
-    if cur:
-        blocks.append(cur)
-    return blocks
-
-
-def _matrix(pdf: pd.DataFrame, col: str) -> np.ndarray:
-    return np.vstack(pdf[col].to_numpy()) if len(pdf) else np.zeros((0, 0))
-
-
 def _scan(queries: DataFrame, corpus: DataFrame, scope: Sequence[str], qid: str, qvec: str,
           pid: str, pvec: str, block_bytes: int, kernel, out_fields: list[T.StructField],
           extra_q: Sequence[str] = ()) -> DataFrame:
     """Run ``kernel(P, pids, Q, ids, extras)`` -> dict of columns over every
-    (corpus batch chunk, query chunk) of the same scope; returns the union
-    of the kernel outputs with the scope columns in front."""
-    spark = queries.sparkSession
-    sc = spark.sparkContext
+    (corpus chunk, query chunk) of the same scope; returns the kernel outputs
+    with the scope columns in front.
+
+    Both sides are dealt by id hash to blocks of about ``block_bytes``; each
+    query block meets each corpus block of its scope in one cogroup.  The
+    block counts come from one aggregate per side (a row per scope value)
+    that is joined in, so nothing passes through the driver and the plan
+    stays lazy.  Rows without id or vector take no part."""
     scope = list(scope)
     schema = T.StructType([corpus.schema[s] for s in scope] + out_fields)
-    queries = queries.persist(StorageLevel.MEMORY_AND_DISK)
-    blocks = _plan_blocks(queries, scope, qid, qvec, block_bytes)
-    if len(blocks) > 1:  # the corpus is scanned once per block: compute it once
-        corpus = corpus.persist(StorageLevel.MEMORY_AND_DISK)
-    parts = []
-    for block in blocks:
-        cond = F.lit(False)
-        for vals, nsub, i, _ in block:
-            c = _scope_filter(scope, vals)
-            if nsub > 1:
-                c = c & (F.pmod(F.xxhash64(F.col(qid)), F.lit(nsub)) == i)
-            cond = cond | c
-        pdf = queries.filter(cond).select(*scope, qid, qvec, *extra_q).toPandas()
-        if pdf.empty:
-            continue
-        payload = {}
-        groups = pdf.groupby(scope, sort=False) if scope else [((), pdf)]
-        for key, g in groups:
-            key = key if isinstance(key, tuple) else (key,)
-            payload[key] = (g[qid].to_numpy(), _matrix(g, qvec), {c: g[c].to_numpy() for c in extra_q})
-        bc = sc.broadcast(payload)
-        ccond = F.lit(False)
-        for key in payload:
-            ccond = ccond | _scope_filter(scope, key)
-        corp = corpus.filter(ccond).select(*scope, pid, pvec).na.drop(subset=[pid, pvec])
-        parts.append(corp.mapInPandas(_runner(bc, scope, pid, pvec, kernel), schema))
-    queries.unpersist()
-    if not parts:
-        return spark.createDataFrame([], schema)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
-
-
-def _runner(bc, scope, pid, pvec, kernel):
-    def run(it):
-        payload = bc.value
-        for pdf in it:
-            groups = pdf.groupby(scope, sort=False) if scope else [((), pdf)]
-            for key, g in groups:
-                key = key if isinstance(key, tuple) else (key,)
-                entry = payload.get(key)
-                if entry is None:
-                    continue
-                ids, Q, extras = entry
-                for r0 in range(0, len(g), CHUNK_ROWS):
-                    chunk = g.iloc[r0:r0 + CHUNK_ROWS]
-                    P = _matrix(chunk, pvec)
-                    pids = chunk[pid].to_numpy()
-                    for q0 in range(0, len(ids), CHUNK_QUERIES):
-                        sl = slice(q0, q0 + CHUNK_QUERIES)
-                        cols = kernel(P, pids, Q[sl], ids[sl], {c: v[sl] for c, v in extras.items()})
-                        n = len(next(iter(cols.values())))
-                        if n:
-                            head = {s: [k] * n for s, k in zip(scope, key)}
-                            yield pd.DataFrame({**head, **cols})
+    q = queries.select(*scope, F.col(qid).alias("_id"), F.col(qvec).alias("_vec"), *extra_q).na.drop(subset=["_id", "_vec"])
+    p = corpus.select(*scope, F.col(pid).alias("_id"), F.col(pvec).alias("_vec")).na.drop(subset=["_id", "_vec"])
+    on = scope or ["_all"]
+    if not scope:
+        q, p = (x.withColumn("_all", F.lit(0)) for x in (q, p))
+
+    def blocks(df: DataFrame, name: str) -> DataFrame:
+        n_bytes = F.count(F.lit(1)) * F.max(F.size("_vec")) * 8
+        return df.groupBy(*on).agg(F.greatest(F.ceil(n_bytes / F.lit(block_bytes)), F.lit(1)).alias(name))
+
+    counts = blocks(q, "_nq").join(blocks(p, "_np"), on)
+    deal = lambda n: F.pmod(F.xxhash64("_id"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    q = q.join(counts, on).withColumn("_qb", deal("_nq")).withColumn("_pb", every("_np")).drop("_nq", "_np")
+    p = p.join(counts, on).withColumn("_pb", deal("_np")).withColumn("_qb", every("_nq")).drop("_nq", "_np")
+    keys = [*on, "_qb", "_pb"]
+    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(_runner(scope, kernel, extra_q, schema), schema)
+
+
+def _matrix(col: pa.ChunkedArray) -> np.ndarray:
+    rows = col.combine_chunks()
+    return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+
+
+def _runner(scope, kernel, extra_q, schema):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    arrow = to_arrow_schema(schema)
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = []
+        if len(left) and len(right):
+            head = {s: left[s][0].as_py() for s in scope}
+            ids, Q = left["_id"].to_numpy(), _matrix(left["_vec"])
+            extras = {c: left[c].to_numpy() for c in extra_q}
+            pids, P = right["_id"].to_numpy(), _matrix(right["_vec"])
+            for r0 in range(0, len(pids), CHUNK_ROWS):
+                r = slice(r0, r0 + CHUNK_ROWS)
+                for q0 in range(0, len(ids), CHUNK_QUERIES):
+                    c = slice(q0, q0 + CHUNK_QUERIES)
+                    cols = kernel(P[r], pids[r], Q[c], ids[c], {k: v[c] for k, v in extras.items()})
+                    n = len(next(iter(cols.values())))
+                    made = {**{s: [v] * n for s, v in head.items()}, **cols}
+                    parts.append(pa.table([pa.array(made[f.name], f.type) for f in arrow], schema=arrow))
+        return pa.concat_tables(parts) if parts else arrow.empty_table()
     return run
 
 
@@ -241,6 +198,7 @@ def _better_kernel(P, pids, Q, ids, extras):
     gp = extras["_gpid"]
     S = np.round(P @ Q.T, SCORE_ROUND)
     better = (S > g[None, :]) | ((S == g[None, :]) & (pids[:, None] < gp[None, :]))
+    better &= pids[:, None] != gp[None, :]  # the gold, and copies of its text, never beat it
     return {"qid": ids, "n_better": better.sum(axis=0).astype(np.int64),
             "n_seen": np.full(len(ids), S.shape[0], dtype=np.int64)}
 
@@ -250,10 +208,13 @@ def gold_rank_full(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec
                    scope: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Rank of the gold passage when every passage is scored:
     ``1 + #{better}`` where better = higher rounded score, or equal score and
-    smaller id; a gold missing from the corpus ranks ``N + 1``.
+    smaller id; a gold missing from the corpus ranks ``N + 1``.  With the
+    text (or its hash) as id, a gold that the corpus holds several times has
+    the rank of its first copy.
     Output ``(scope..., qid, rank, n_scored)``."""
     sc = list(scope)
-    g = corpus.select(*sc, F.col(pid).alias(gold), F.col(pvec).alias("_gvec"))
+    g = corpus.select(*sc, F.col(pid).alias(gold), F.col(pvec).alias("_gvec")).na.drop(subset=["_gvec"]) \
+        .dropDuplicates([*sc, gold])
     q = queries.join(g, [*sc, gold], "left").withColumn(
         "_gscore", F.aggregate(F.zip_with(qvec, "_gvec", lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v))
     found = q.filter(F.col("_gscore").isNotNull()).select(*sc, qid, qvec, F.col(gold).alias("_gpid"), "_gscore")

@@ -155,15 +155,10 @@ def grade_batch(df: DataFrame, order: Sequence, limit: int | None = None, on_err
 
 
 def negative_column(columns: Sequence[str]) -> str | None:
-    """The negative-passage column: a known name, else the first name
-    containing ``negative`` or ``neg``."""
-    for c in NEGATIVE_COLUMNS:
-        if c in columns:
-            return c
-    for c in columns:
-        if "negative" in c.lower() or "neg" in c.lower():
-            return c
-    return None
+    """The negative-passage column: the first known name that is there, else
+    the first column that speaks of a negative."""
+    known = [name for name in NEGATIVE_COLUMNS if name in set(columns)]
+    return next(iter(known + [c for c in columns if "neg" in c.casefold()]), None)
 
 
 def grade_pairs(df: DataFrame, query: str = "query", negative: str = "negative",
@@ -182,12 +177,16 @@ def grade_pairs(df: DataFrame, query: str = "query", negative: str = "negative",
 
 
 def grade_pairs_partial(df: DataFrame, sample_limit: int, order: Sequence,
-                        model: Model = pair_judge()) -> DataFrame:
+                        model: Model = pair_judge(), negative: str | None = None) -> DataFrame:
     """Grade the first ``sample_limit`` rows (explicit order) into
     ``llm_classification`` hard / regular / unknown with
     ``llm_confidence``; the remaining rows are ``unknown`` / 0.0.  Rows with
-    an empty query or negative are ``unknown`` without a model call."""
-    neg = negative_column(df.columns)
+    an empty query or negative are ``unknown`` without a model call.  Without
+    a negative column (``negative``, or one found by name) ``df`` comes back
+    unchanged."""
+    neg = negative or negative_column(df.columns)
+    if neg not in df.columns:
+        return df
     qcol = "query_text" if "query_text" in df.columns else "query"
     head = df.orderBy(*order).limit(sample_limit)
     rest = df.exceptAll(head)  # multiset difference: duplicates split exactly
@@ -205,19 +204,27 @@ def grade_pairs_partial(df: DataFrame, sample_limit: int, order: Sequence,
     return graded.unionByName(skipped).unionByName(others)
 
 
+def _generation_calls(df: DataFrame, n: int, model: Model | None) -> DataFrame:
+    p = df.withColumn("prompt", X.generation_prompt("query_text", "gold_passage", n))
+    return call_model(p, model or list_generator(n), ["prompt", "query_text", "gold_passage"])
+
+
 def generate_negatives(df: DataFrame, n: int = 3, model: Model | None = None,
                        fallback_chars: int | None = None) -> DataFrame:
     """One row per generated negative: triplet + ``negative_num`` (1-based).
-    Failed calls produce no rows (count them with ``success``)."""
-    model = model or list_generator(n)
-    p = df.withColumn("prompt", X.generation_prompt("query_text", "gold_passage", n))
-    r = call_model(p, model, ["prompt", "query_text", "gold_passage"])
+    Failed calls produce no rows; ``generation_report`` counts them."""
     items = X.parse_numbered_list("reply", n, fallback_chars)
-    return r.filter("success").select(*[c for c in df.columns if c != "hard_negative"],
-                                      F.posexplode(items).alias("_pos", "hard_negative")) \
+    return _generation_calls(df, n, model).filter("success").select(
+        *[c for c in df.columns if c != "hard_negative"], F.posexplode(items).alias("_pos", "hard_negative")) \
         .withColumn("negative_num", (F.col("_pos") + 1).cast("int")).drop("_pos")
 
 
+def generation_report(df: DataFrame, n: int = 3, model: Model | None = None) -> DataFrame:
+    """One row: calls, failed calls, and one of their error messages."""
+    return _generation_calls(df, n, model).agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("failed"), F.max("error").alias("error"))
+
+
 def assemble_final(hard: DataFrame, generated: DataFrame, keep_extra: bool = False) -> DataFrame:
     """Hard classified triplets followed by generated ones (no dedup)."""
     cols = ["query_text", "gold_passage", "hard_negative"]
@@ -236,13 +243,14 @@ def score_with_context(df: DataFrame, model: Model = context_scorer) -> DataFram
 
 
 def score_dedup_by_key(df: DataFrame, scorer: Callable[[DataFrame], DataFrame],
-                       key: str = "cache_key") -> DataFrame:
+                       key: str = "cache_key", width: int | None = None) -> DataFrame:
     """Score each cache key once and give every row its key's score.
 
     The representative row of a key is its smallest full triplet (a
     deterministic ``min_by``); ``scorer`` maps those rows to ``rag_score``.
-    Adds ``key_rows`` (rows sharing the key)."""
-    k = df.withColumn(key, X.score_cache_key("query_text", "gold_passage", "hard_negative"))
+    Adds ``key_rows`` (rows sharing the key).  The key covers whole texts, or
+    ``width`` characters of each."""
+    k = df.withColumn(key, X.score_cache_key("query_text", "gold_passage", "hard_negative", width))
     trip = F.struct("query_text", "gold_passage", "hard_negative")
     reps = k.groupBy(key).agg(F.min(trip).alias("t"), F.count(F.lit(1)).alias("key_rows")) \
         .select(key, "key_rows", "t.*")

@@ -34,8 +34,11 @@ def neighbor_within(df: DataFrame, keys: Sequence[str], order: str, values: Sequ
     ro = F.col("_rng").desc() if previous else F.col("_rng").asc()
     fill = edges.select(*keys, "_rng",
                         F.lead("_edge").over(Window.partitionBy(*keys).orderBy(ro)).alias("_fill"))
-    out = d.join(fill, [*keys, "_rng"], "left") \
-        .withColumn("_nb", F.coalesce(F.col("_nb"), F.col("_fill")))
+    on = F.col("d._rng").eqNullSafe(F.col("e._rng"))
+    for k in keys:  # a null key is a group like any other
+        on = on & F.col(f"d.{k}").eqNullSafe(F.col(f"e.{k}"))
+    out = d.alias("d").join(fill.alias("e"), on, "left") \
+        .select("d.*", "_fill").withColumn("_nb", F.coalesce(F.col("_nb"), F.col("_fill")))
     return out.select(*[F.col(c) for c in df.columns],
                       *[F.col("_nb")[v].alias(prefix + v) for v in values])
 
@@ -99,3 +102,9 @@ def distinct_rows(df: DataFrame) -> DataFrame:
 def language_overlap(a: DataFrame, b: DataFrame, col: str = "lang") -> DataFrame:
     """Values present in both sets (must be empty for a zero-shot split)."""
     return a.select(col).intersect(b.select(col))
+
+
+def require_disjoint(a: DataFrame, b: DataFrame, col: str = "lang") -> None:
+    """Raise if a value of ``col`` is in both sets (reads one value)."""
+    if shared := language_overlap(a, b, col).limit(1).collect():
+        raise ValueError(f"{col} {shared[0][0]!r} is in both sets")

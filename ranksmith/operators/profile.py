@@ -15,7 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clean import TRIPLET
+from .clean import TRIPLET, row_keys
 
 
 def _pct(c, q: float, approx: bool) -> Column:
@@ -61,7 +61,7 @@ def null_profile(df: DataFrame) -> DataFrame:
 
 def duplicate_profile(df: DataFrame) -> DataFrame:
     """Rows that repeat an earlier row (null-safe), and their share."""
-    g = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_m"))
+    g = df.groupBy(*row_keys(df)).agg(F.count(F.lit(1)).alias("_m"))
     return g.agg(F.sum("_m").cast("long").alias("rows"),
                  F.sum(F.col("_m") - 1).cast("long").alias("duplicates")) \
         .withColumn("dup_pct", F.try_divide(F.col("duplicates") * F.lit(100.0), F.col("rows").cast("double")))

@@ -1,13 +1,15 @@
 """Named queries over the driver's tables; importing registers them all."""
 
-from . import mining  # noqa: F401
+from . import (  # noqa: F401
+    clean_queries,
+    dense_queries,
+    eval_queries,
+    grade_queries,
+    io_queries,
+    mining,
+    profile_queries,
+    relate_queries,
+    stream_queries,
+    text_queries,
+)
 from .registry import ORACLE, QUERIES  # noqa: F401
-
-for _mod in ("text_queries", "clean_queries", "relate_queries", "grade_queries",
-             "dense_queries", "eval_queries", "profile_queries", "io_queries",
-             "stream_queries"):
-    try:
-        __import__(f"{__name__}.{_mod}")
-    except ModuleNotFoundError as e:  # modules land one by one
-        if e.name != f"{__name__}.{_mod}":
-            raise

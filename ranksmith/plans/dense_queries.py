@@ -2,9 +2,9 @@
 evaluation queries (§2.8) aggregate.
 
 Vector models over ``embeddings``: a query is every vector whose id is a
-multiple of 10, the corpus the rest; model A scores cosine on all 64
-dimensions, B on the first 32, C on the last 32.  The gold passage of a
-query (VECQ) is its nearest corpus vector on dimensions 17..64.
+multiple of 10, the corpus the rest; models score the cosine of vectors whose
+i-th number is weighted by a power of i: 0 for A, -1/2 for B, 1/2 for C.  The
+gold passage of a query (VECQ) is its nearest corpus vector with power 1/4.
 
 Text models over LANGEVAL: the offline hashed bag-of-words encoder with 64
 (``bow64``) or 32 (``bow32``) buckets, corpus = distinct passages of the
@@ -22,14 +22,14 @@ from ..sources import testdata as td
 from .registry import query, r6
 from .relations_sql import tok_sql, with_rel
 
-# Fixed values: (model, first dimension, last dimension) of the vector models.
-MODEL_SLICES = [("A", 1, 64), ("B", 1, 32), ("C", 33, 64)]
-GOLD_SLICE = (17, 64)
+# The power of its position that weights each dimension.
+MODEL_POWERS = [("A", 0.0), ("B", -0.5), ("C", 0.5)]
+GOLD_POWER = 0.25
 TEXT_MODELS = [("bow64", 64), ("bow32", 32)]
 
 
-def _slice_norm(col, lo, hi):
-    return V.normalize_vector(F.slice(col, lo, hi - lo + 1))
+def _weighted(col, power):
+    return V.normalize_vector(F.transform(col, lambda x, i: x * F.pow((i + 1).cast("double"), power)))
 
 
 def vec_split(spark, sf_dir):
@@ -38,11 +38,10 @@ def vec_split(spark, sf_dir):
 
 
 def vec_gold(spark, sf_dir):
-    """VECQ: (query_id, gold_id) -- nearest corpus vector on dims 17..64."""
+    """VECQ: (query_id, gold_id) -- nearest corpus vector with GOLD_POWER."""
     q, p = vec_split(spark, sf_dir)
-    lo, hi = GOLD_SLICE
-    t = dense.dense_topk(q.select(F.col("vec_id").alias("query_id"), _slice_norm("embedding", lo, hi).alias("qvec")),
-                         p.select(F.col("vec_id").alias("gold_id"), _slice_norm("embedding", lo, hi).alias("pvec")),
+    t = dense.dense_topk(q.select(F.col("vec_id").alias("query_id"), _weighted("embedding", F.lit(GOLD_POWER)).alias("qvec")),
+                         p.select(F.col("vec_id").alias("gold_id"), _weighted("embedding", F.lit(GOLD_POWER)).alias("pvec")),
                          k=1, qid="query_id", pid="gold_id")
     return t.select("query_id", "gold_id")
 
@@ -50,13 +49,13 @@ def vec_gold(spark, sf_dir):
 def vec_models(spark, sf_dir):
     """(queries, corpus) for models A/B/C with a ``model`` scope column."""
     q, p = vec_split(spark, sf_dir)
-    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(lo).alias("lo"), F.lit(hi).alias("hi"))
-                                 for m, lo, hi in MODEL_SLICES])).alias("m")
+    models = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.lit(e).alias("power"))
+                                 for m, e in MODEL_POWERS])).alias("m")
 
     def per_model(df, idname, vname):
         x = df.select("vec_id", "embedding", models).select("vec_id", "embedding", "m.*")
         return x.select("model", F.col("vec_id").alias(idname),
-                        V.normalize_vector(F.expr("slice(embedding, lo, hi - lo + 1)")).alias(vname))
+                        _weighted("embedding", F.col("power")).alias(vname))
 
     qs = per_model(q, "query_id", "qvec").join(vec_gold(spark, sf_dir), "query_id")
     return qs, per_model(p, "passage_id", "pvec")
@@ -65,21 +64,18 @@ def vec_models(spark, sf_dir):
 _VEC_SQL = """
 VQ AS (SELECT vec_id, embedding FROM VEC WHERE vec_id % 10 = 0),
 VP AS (SELECT vec_id, embedding FROM VEC WHERE vec_id % 10 <> 0),
-G AS (SELECT q.vec_id AS query_id, p.vec_id AS gold_id,
-             round(list_sum(list_transform(list_zip(q.embedding[17:64], p.embedding[17:64]), lambda x: x[1] * x[2]))
-                   / (sqrt(list_sum(list_transform(q.embedding[17:64], lambda x: x * x)))
-                      * sqrt(list_sum(list_transform(p.embedding[17:64], lambda x: x * x)))), 9) AS s
-      FROM VQ q, VP p),
-VECQ AS (SELECT query_id, gold_id FROM (
-           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, gold_id) AS rn FROM G) WHERE rn = 1),
-M AS (SELECT * FROM (VALUES ('A', 1, 64), ('B', 1, 32), ('C', 33, 64)) t(model, lo, hi)),
-QV AS (SELECT m.model, q.vec_id AS query_id, list_slice(q.embedding, m.lo, m.hi) AS v FROM VQ q, M m),
-PV AS (SELECT m.model, p.vec_id AS passage_id, list_slice(p.embedding, m.lo, m.hi) AS v FROM VP p, M m),
-S AS (SELECT q.model, q.query_id, p.passage_id,
+M AS (SELECT * FROM (VALUES ('A', 0.0::DOUBLE), ('B', -0.5), ('C', 0.5), ('gold', 0.25)) t(model, power)),
+QV AS (SELECT m.model, q.vec_id AS query_id, list_transform(q.embedding, lambda x, i: x * pow(i, m.power)) AS v FROM VQ q, M m),
+PV AS (SELECT m.model, p.vec_id AS passage_id, list_transform(p.embedding, lambda x, i: x * pow(i, m.power)) AS v FROM VP p, M m),
+S0 AS (SELECT q.model, q.query_id, p.passage_id,
              list_sum(list_transform(list_zip(q.v, p.v), lambda x: x[1] * x[2]))
                / (sqrt(list_sum(list_transform(q.v, lambda x: x * x)))
                   * sqrt(list_sum(list_transform(p.v, lambda x: x * x)))) AS score
       FROM QV q JOIN PV p USING (model)),
+G AS (SELECT query_id, passage_id AS gold_id, round(score, 9) AS s FROM S0 WHERE model = 'gold'),
+VECQ AS (SELECT query_id, gold_id FROM (
+           SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, gold_id) AS rn FROM G) WHERE rn = 1),
+S AS (SELECT * FROM S0 WHERE model <> 'gold'),
 R AS (SELECT *, row_number() OVER (PARTITION BY model, query_id ORDER BY round(score, 9) DESC, passage_id) AS rank
       FROM S)"""
 
@@ -196,7 +192,7 @@ def q_score_all_pairs(spark, sf_dir):
 
 
 @query("index_metadata", vec_sql("""
-SELECT m.model, count(*) AS corpus_size, max(m.hi - m.lo + 1) AS dim FROM VP, M m GROUP BY m.model"""))
+SELECT m.model, count(*) AS corpus_size, max(len(VP.embedding)) AS dim FROM VP, M m WHERE m.model <> 'gold' GROUP BY m.model"""))
 def q_index_metadata(spark, sf_dir):
     _, ps = vec_models(spark, sf_dir)
     return ps.groupBy("model").agg(F.count(F.lit(1)).alias("corpus_size"), F.max(F.size("pvec")).alias("dim"))

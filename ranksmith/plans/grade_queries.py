@@ -214,8 +214,8 @@ def q_score_with_context(spark, sf_dir):
 
 
 @query("score_dedup_by_key", with_rel(f"""
-WITH k AS (SELECT *, md5(substr(query_text, 1, 100) || '|' || substr(gold_passage, 1, 100) || '|'
-                         || substr(hard_negative, 1, 100)) AS cache_key FROM SCORED),
+WITH k AS (SELECT *, md5(query_text || '|' || gold_passage || '|'
+                         || hard_negative) AS cache_key FROM SCORED),
 reps AS (SELECT cache_key, count(*) AS key_rows, min({{'query_text': query_text, 'gold_passage': gold_passage,
                                                        'hard_negative': hard_negative}}) AS t FROM k GROUP BY cache_key),
 r2 AS (SELECT cache_key, key_rows, t.query_text AS query_text, t.gold_passage AS gold_passage,

@@ -42,7 +42,7 @@ def q_write_triplets(spark, sf_dir):
 # --- BEIR layout -----------------------------------------------------------------------------
 
 _BEIR_SQL = """
-bq AS (SELECT CAST(doc_id AS VARCHAR) AS query_id, substr(text, 1, 80) AS text, lang FROM documents),
+bq AS (SELECT CAST(doc_id AS VARCHAR) AS query_id, split_part(text, chr(10), 1) AS text, lang FROM documents),
 bc AS (SELECT CAST(doc_id AS VARCHAR) AS corpus_id, 'doc ' || CAST(doc_id AS VARCHAR) AS title, text, lang
        FROM documents),
 br AS (SELECT CAST(doc_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS corpus_id, 1 AS score, lang
@@ -50,12 +50,12 @@ br AS (SELECT CAST(doc_id AS VARCHAR) AS query_id, CAST(doc_id AS VARCHAR) AS co
 
 
 def _write_beirset(spark, sf_dir) -> str:
-    """BEIRSET: per document a query (first 80 characters), a corpus entry
+    """BEIRSET: per document a query (its first line), a corpus entry
     and a qrels row; the ``es`` language gets no qrels file."""
     d = td.table(spark, sf_dir, "documents")
     root = shared_dir(spark, "beir")
     ids = F.col("doc_id").cast("string")
-    files.write_beir(d.select(ids.alias("query_id"), F.substring("text", 1, 80).alias("text"), "lang"),
+    files.write_beir(d.select(ids.alias("query_id"), td.first_line("text").alias("text"), "lang"),
                      d.select(ids.alias("corpus_id"), F.concat(F.lit("doc "), ids).alias("title"), "text", "lang"),
                      d.filter(F.col("lang") != "es").select(ids.alias("query_id"), ids.alias("corpus_id"),
                                                             F.lit(1).alias("score"), "lang"),

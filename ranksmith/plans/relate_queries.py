@@ -86,8 +86,8 @@ def q_bm25_posting_join(spark, sf_dir):
 
 
 @query("score_lookup_join", with_rel("""
-WITH k AS (SELECT lang, rag_score, md5(substr(query_text, 1, 100) || '|' || substr(gold_passage, 1, 100) || '|'
-                                     || substr(hard_negative, 1, 100)) AS cache_key, length(query_text) AS ql FROM SCORED),
+WITH k AS (SELECT lang, rag_score, md5(query_text || '|' || gold_passage || '|'
+                                     || hard_negative) AS cache_key, length(query_text) AS ql FROM SCORED),
 cache AS (SELECT cache_key, min(rag_score) AS cached FROM k WHERE ql % 2 = 0 GROUP BY cache_key)
 SELECT k.lang, k.cache_key, round(c.cached, 6) AS score, 'cached' AS source FROM k JOIN cache c USING (cache_key)
 UNION ALL

@@ -32,7 +32,7 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
     "BQ": ((), "SELECT CAST(item_id AS VARCHAR) AS query_id, text FROM benchmark"),
     "BQREL": (("BQ", "PASS"), """
         SELECT b.query_id, p.corpus_id, CAST(1 AS INTEGER) AS score
-        FROM BQ b JOIN PASS p ON contains(p.text, substr(b.text, 1, 60))"""),
+        FROM BQ b JOIN PASS p ON contains(p.text, b.text)"""),
     "QRELS_DIRTY": (("BQREL",), """
         SELECT query_id, corpus_id, score FROM BQREL
         UNION ALL SELECT query_id, corpus_id || '-missing', score FROM BQREL
@@ -40,7 +40,7 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
     "DIRTY_B": ((), """
         SELECT doc_id, lang,
                CASE WHEN doc_id % 23 = 0 THEN '   '
-                    ELSE substr(text, 1, CAST(5 + doc_id % 600 AS INTEGER)) END AS query_text,
+                    ELSE split_part(text, chr(10), 1) END AS query_text,
                text AS gold_passage,
                CASE WHEN doc_id % 17 = 0 THEN NULL
                     WHEN doc_id % 19 = 0 THEN text
@@ -52,9 +52,9 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
         SELECT lang, query_text, gold_passage, hard_negative FROM DIRTY_B WHERE doc_id % 29 = 0"""),
     "LANGEVAL": ((), """
         SELECT CASE lang WHEN 'de' THEN 'in_distribution' WHEN 'fr' THEN 'in_distribution'
-                         WHEN 'es' THEN 'out_of_distribution' WHEN 'en' THEN 'zero_shot' END AS setting,
-               lang, substr(text, 1, 80) AS query, text AS passage
-        FROM documents WHERE lang IN ('de', 'fr', 'es', 'en')"""),
+                         WHEN 'es' THEN 'out_of_distribution' WHEN 'en' THEN 'zero_shot' ELSE 'unlisted' END AS setting,
+               coalesce(lang, 'und') AS lang, split_part(text, chr(10), 1) AS query, text AS passage
+        FROM documents"""),
     "VEC": ((), "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings"),
     "RESP": ((), f"SELECT doc_id AS id, CASE doc_id % 14 {_RESP_CASES} END AS response FROM documents"),
     "SCORED": (("DIRTY",), """
@@ -68,9 +68,9 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
     "PAIRRESP": ((), """
         SELECT doc_id AS id,
           CASE doc_id % 5
-            WHEN 0 THEN 'CLASSIFICATION: HARD' || chr(10) || 'CONFIDENCE: 0.9' || chr(10) || 'REASON: ' || substr(text, 1, 40)
-            WHEN 1 THEN 'Classification: regular' || chr(10) || 'Confidence: 0.35' || chr(10) || 'Reason: not hard, ' || substr(text, 1, 40)
-            WHEN 2 THEN 'CLASSIFICATION: REGULAR' || chr(10) || 'REASON: ' || substr(text, 1, 40)
+            WHEN 0 THEN 'CLASSIFICATION: HARD' || chr(10) || 'CONFIDENCE: 0.9' || chr(10) || 'REASON: ' || text
+            WHEN 1 THEN 'Classification: regular' || chr(10) || 'Confidence: 0.35' || chr(10) || 'Reason: not hard, ' || text
+            WHEN 2 THEN 'CLASSIFICATION: REGULAR' || chr(10) || 'REASON: ' || text
             WHEN 3 THEN ''
             ELSE 'CLASSIFICATION: HARD' || chr(10) || 'CONFIDENCE: high' END AS response
         FROM documents"""),
@@ -79,9 +79,9 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
           CASE doc_id % 4
             WHEN 0 THEN '1. ' || replace(text, chr(10), chr(10) || '2. ')
             WHEN 1 THEN text
-            WHEN 2 THEN 'Sure, here they are:' || chr(10) || '1. ' || substr(text, 1, 50)
-                        || chr(10) || '   more words' || chr(10) || chr(10) || '2. ' || substr(text, 51, 50)
-                        || chr(10) || '3.' || chr(10) || '4. ' || substr(text, 101, 30)
+            WHEN 2 THEN 'Sure, here they are:' || chr(10) || '1. ' || split_part(text, chr(10), 1)
+                        || chr(10) || '   more words' || chr(10) || chr(10) || '2. ' || text
+                        || chr(10) || '3.' || chr(10) || '4. ' || split_part(text, chr(10), 1)
             ELSE '' END AS response
         FROM documents"""),
 }

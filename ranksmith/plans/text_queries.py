@@ -110,8 +110,8 @@ def q_length_ratio(spark, sf_dir):
 
 
 @query("score_cache_key", with_rel("""
-SELECT lang, md5(substr(query_text, 1, 100) || '|' || substr(gold_passage, 1, 100) || '|'
-                 || substr(hard_negative, 1, 100)) AS cache_key
+SELECT lang, md5(query_text || '|' || gold_passage || '|'
+                 || hard_negative) AS cache_key
 FROM SCORED""", "SCORED"))
 def q_score_cache_key(spark, sf_dir):
     s = td.scored(spark, sf_dir)

@@ -120,23 +120,41 @@ def read_headerless_tsv(spark: SparkSession, path: str, names: Sequence[str]) ->
     return ok, bad
 
 
+def split_qrels(lines: DataFrame) -> DataFrame:
+    """``value`` lines -> ``(query_id, corpus_id, score, line, reason)``, each
+    line by its own shape: ``q c`` (score 1), ``q c s``, or TREC ``q 0 c s``
+    (dummy dropped).  ``reason`` is null for a good line."""
+    parts = F.split(F.rtrim(F.col("value"), F.lit("\r\n")), "\t")
+    n, at = F.size("_p"), lambda i: F.try_element_at(F.col("_p"), F.lit(i))
+    given = F.when(n == 2, F.lit("1")).when(n == 3, at(3)).when(n == 4, at(4))
+    d = lines.select("value", parts.alias("_p")).select(
+        "value", n.alias("_n"), at(1).alias("query_id"), F.when(n == 4, at(3)).otherwise(at(2)).alias("corpus_id"),
+        F.when(F.trim(given) == "", F.lit("1")).otherwise(given).alias("_s"))
+    score = F.expr("try_cast(_s AS INT)")
+    why = F.when(~F.col("_n").between(2, 4), F.concat(F.col("_n"), F.lit(" fields"))) \
+        .when((F.col("query_id") == "") | (F.col("corpus_id") == ""), F.lit("empty id")) \
+        .when(score.isNull(), F.lit("score is no integer"))
+    return d.select("query_id", "corpus_id", score.alias("score"), F.col("value").alias("line"), why.alias("reason"))
+
+
 def normalize_qrels(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
-    """2-, 3- or 4-column qrels TSV -> ``(query_id, corpus_id, score)``:
-    ``q c`` (score 1), ``q c s``, or TREC ``q 0 c s`` (dummy dropped)."""
-    df = spark.read.options(sep="\t", header=str(header).lower()).csv(path)
-    cols = df.columns
-    if len(cols) == 2:
-        out = df.select(F.col(cols[0]).alias("query_id"), F.col(cols[1]).alias("corpus_id"), F.lit(1).alias("score"))
-    elif len(cols) == 3:
-        out = df.select(F.col(cols[0]).alias("query_id"), F.col(cols[1]).alias("corpus_id"),
-                        F.col(cols[2]).alias("score"))
-    elif len(cols) == 4:
-        out = df.select(F.col(cols[0]).alias("query_id"), F.col(cols[2]).alias("corpus_id"),
-                        F.col(cols[3]).alias("score"))
-    else:
-        raise ValueError(f"qrels with {len(cols)} columns")
-    return out.select(F.col("query_id").cast("string"), F.col("corpus_id").cast("string"),
-                      F.coalesce(F.col("score").cast("int"), F.lit(1)).alias("score"))
+    """2-, 3- or 4-column qrels TSV -> ``(query_id, corpus_id, score)``; lines
+    of different shapes may be mixed.  With ``header`` the first line of each
+    file is skipped.  Bad and blank lines are left out: see ``rejected_qrels``."""
+    return _qrels(spark, path, header).filter(F.col("reason").isNull()).select("query_id", "corpus_id", "score")
+
+
+def rejected_qrels(spark: SparkSession, path: str, header: bool = False) -> DataFrame:
+    """Lines that ``normalize_qrels`` leaves out: ``(reason, n, line)``, with
+    their count and one of them."""
+    bad = _qrels(spark, path, header).filter(F.col("reason").isNotNull())
+    return bad.groupBy("reason").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
+
+
+def _qrels(spark: SparkSession, path: str, header: bool) -> DataFrame:
+    lines = spark.read.options(header=str(header).lower(), sep="\u0001", quote="", escape="").schema("value string").csv(path) \
+        if header else spark.read.text(path)
+    return split_qrels(lines.filter(F.trim("value") != ""))
 
 
 def read_tsv_eval_sources(spark: SparkSession, queries_path: str, corpus_path: str,

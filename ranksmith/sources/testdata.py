@@ -28,6 +28,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def first_line(text: str):
+    return F.substring_index(F.col(text), "\n", 1)
+
+
 def pairs(spark, sf_dir) -> DataFrame:
     """PAIRS: user turn followed by an assistant turn -> (query, gold)."""
     conv = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -50,10 +54,9 @@ def bench_queries(spark, sf_dir) -> DataFrame:
 
 
 def bench_qrels(spark, sf_dir) -> DataFrame:
-    """BQREL: (query, document) where the document contains the first 60
-    characters of the benchmark text."""
+    """BQREL: (query, document) where the document contains the benchmark text."""
     from ..operators.relate import substring_containment_join
-    q = bench_queries(spark, sf_dir).select("query_id", F.substring("text", 1, 60).alias("needle"))
+    q = bench_queries(spark, sf_dir).select("query_id", F.col("text").alias("needle"))
     d = passages(spark, sf_dir).select("corpus_id", "text")
     return substring_containment_join(q, "needle", d, "text") \
         .select("query_id", "corpus_id", F.lit(1).cast("int").alias("score"))
@@ -67,22 +70,25 @@ def dirty(spark, sf_dir) -> DataFrame:
     b = nb.select(
         did, "lang",
         F.when(did % 23 == 0, F.lit("   "))
-         .otherwise(F.expr("substring(text, 1, cast(5 + doc_id % 600 as int))")).alias("query_text"),
+         .otherwise(first_line("text")).alias("query_text"),
         F.col("text").alias("gold_passage"),
         F.when(did % 17 == 0, F.lit(None).cast("string"))
          .when(did % 19 == 0, F.col("text"))
          .otherwise(F.col("next_text")).alias("hard_negative"))
-    cols = ["lang", "query_text", "gold_passage", "hard_negative"]
-    return b.select(*cols).unionByName(b.filter(did % 29 == 0).select(*cols))
+    times = F.when(did % 29 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return b.withColumn("_times", F.explode(times)).select("lang", "query_text", "gold_passage", "hard_negative")
 
 
 def lang_eval(spark, sf_dir) -> DataFrame:
-    """LANGEVAL: (setting, lang, query, passage) evaluation pairs."""
-    settings = spark.createDataFrame(LANG_SETTING, "lang string, setting string")
-    docs = table(spark, sf_dir, "documents")
-    return docs.join(F.broadcast(settings), "lang").select(
-        "setting", "lang", F.substring("text", 1, 80).alias("query"),
-        F.col("text").alias("passage"))
+    """LANGEVAL: (setting, lang, query, passage) evaluation pairs: a document's
+    first line and its text.  Languages without a setting are ``unlisted``,
+    documents without a language ``und``."""
+    setting = F.lit("unlisted")
+    for lang, name in LANG_SETTING:
+        setting = F.when(F.col("lang") == lang, name).otherwise(setting)
+    return table(spark, sf_dir, "documents").select(
+        setting.alias("setting"), F.coalesce("lang", F.lit("und")).alias("lang"),
+        first_line("text").alias("query"), F.col("text").alias("passage"))
 
 
 def vectors(spark, sf_dir) -> DataFrame:
@@ -148,7 +154,7 @@ def verdict_replies(spark, sf_dir) -> DataFrame:
     unparsable confidence)."""
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 5
-    head = F.substring("text", 1, 40)
+    head = F.col("text")
     reply = (F.when(k == 0, F.concat(F.lit("CLASSIFICATION: HARD\nCONFIDENCE: 0.9\nREASON: "), head))
              .when(k == 1, F.concat(F.lit("Classification: regular\nConfidence: 0.35\nReason: not hard, "), head))
              .when(k == 2, F.concat(F.lit("CLASSIFICATION: REGULAR\nREASON: "), head))
@@ -160,13 +166,14 @@ def verdict_replies(spark, sf_dir) -> DataFrame:
 def list_replies(spark, sf_dir) -> DataFrame:
     """NUMRESP: generation replies built from document text in four shapes
     (every line numbered, no numbers, preamble + multi-line items, empty)."""
+    line = first_line("text")
     d = table(spark, sf_dir, "documents")
     k = F.col("doc_id") % 4
     reply = (F.when(k == 0, F.concat(F.lit("1. "), F.replace(F.col("text"), F.lit("\n"), F.lit("\n2. "))))
              .when(k == 1, F.col("text"))
-             .when(k == 2, F.concat(F.lit("Sure, here they are:\n1. "), F.substring("text", 1, 50),
-                                    F.lit("\n   more words\n\n2. "), F.substring("text", 51, 50),
-                                    F.lit("\n3.\n4. "), F.substring("text", 101, 30)))
+             .when(k == 2, F.concat(F.lit("Sure, here they are:\n1. "), line,
+                                    F.lit("\n   more words\n\n2. "), F.col("text"),
+                                    F.lit("\n3.\n4. "), line))
              .otherwise(F.lit("")))
     return d.select(F.col("doc_id").alias("id"), reply.alias("response"))
 
@@ -174,6 +181,7 @@ def list_replies(spark, sf_dir) -> DataFrame:
 def bench_qrels_dirty(spark, sf_dir) -> DataFrame:
     """BQREL plus orphan rows: every pair again with a missing corpus id and
     with a missing query id."""
-    r = bench_qrels(spark, sf_dir)
-    return r.unionByName(r.select("query_id", F.concat("corpus_id", F.lit("-missing")).alias("corpus_id"), "score")) \
-        .unionByName(r.select(F.concat("query_id", F.lit("-missing")).alias("query_id"), "corpus_id", "score"))
+    ids = F.explode(F.array(*[F.struct(F.concat("query_id", F.lit(q)).alias("q"), F.concat("corpus_id", F.lit(c)).alias("c"))
+                              for q, c in (("", ""), ("", "-missing"), ("-missing", ""))])).alias("ids")
+    return bench_qrels(spark, sf_dir).select("score", ids).select(
+        F.col("ids.q").alias("query_id"), F.col("ids.c").alias("corpus_id"), "score")

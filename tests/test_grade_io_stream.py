@@ -72,7 +72,9 @@ def test_score_dedup_same_key_two_triplets(spark):
 
     def scorer(reps):
         return reps.withColumn("rag_score", F.length("query_text").cast("double"))
-    out = grade.score_dedup_by_key(df, scorer).collect()
+    whole = grade.score_dedup_by_key(df, scorer).collect()
+    assert len(whole) == 2 and {r.key_rows for r in whole} == {1}
+    out = grade.score_dedup_by_key(df, scorer, width=100).collect()
     assert len(out) == 2 and {r.key_rows for r in out} == {2} and len({r.rag_score for r in out}) == 1
 
 
