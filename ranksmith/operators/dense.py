@@ -235,6 +235,18 @@ def gold_rank_full(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec
     return agg.unionByName(missing).withColumnRenamed("qid", qid)
 
 
+def nearest_texts(queries: DataFrame, passages: DataFrame, encoder: Callable[[], Encoder], k: int = 3,
+                  query: str = "query_text", passage: str = "passage") -> DataFrame:
+    """The ``k`` passages whose vectors are nearest to each distinct query's:
+    ``(query, rank, passage)``.  Vectors travel with md5 ids; the texts are
+    joined in for the chosen pairs only.  Ties: passage id ascending."""
+    q = queries.select(query).na.drop().distinct().withColumn("qid", F.md5(query))
+    p = passages.select(passage).na.drop().distinct().withColumn("pid", F.md5(passage))
+    top = dense_topk(embed_batches(q, query, encoder, "qvec").select("qid", "qvec"),
+                     embed_batches(p, passage, encoder, "pvec").select("pid", "pvec"), k=k)
+    return top.join(q, "qid").join(p, "pid").select(query, "rank", passage)
+
+
 def index_metadata(corpus: DataFrame, vec: str = "embedding", model: str = "") -> DataFrame:
     """Corpus size, vector dimension and model name in one row."""
     return corpus.agg(F.count(F.lit(1)).alias("corpus_size"),

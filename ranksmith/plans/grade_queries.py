@@ -6,13 +6,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.text import NUMBER
-from ..operators import bm25, clean, grade
+from ..operators import bm25, clean, dense, grade, relate
 from ..sources import testdata as td
 from .clean_queries import _CLEAN_SQL
-from .mining import bm25_mine_sql
 from .registry import query, r6
 from .relate_queries import _cleaned_dirty
-from .relations_sql import strip_sql, tok_sql, with_rel
+from .relations_sql import dense_context_sql, strip_sql, tok_sql, with_rel
 from .text_queries import hardness_sql, upper_strip_sql
 
 _D100 = "CAST(100.0 AS DOUBLE)"
@@ -187,12 +186,11 @@ _CTX_REPLY = _overlap_reply(tok_sql("substr(hard_negative, 1, 200)"),
 
 
 @query("score_with_context", with_rel(f"""
-WITH cleaned AS ({_CLEAN_SQL}),{bm25_mine_sql(
-    "SELECT DISTINCT 0 AS _scope, passage FROM (SELECT gold_passage AS passage FROM cleaned "
-    "UNION ALL SELECT hard_negative FROM cleaned) WHERE passage IS NOT NULL",
-    "SELECT 0 AS _scope, query_text, gold_passage FROM cleaned")},
-ctx AS (SELECT query_text, gold_passage, list(passage ORDER BY rn) AS ctxs FROM ranked_all WHERE rn <= 3 GROUP BY ALL),
-j AS (SELECT c.*, coalesce(x.ctxs, []) AS ctxs FROM cleaned c LEFT JOIN ctx x USING (query_text, gold_passage)),
+WITH cleaned AS ({_CLEAN_SQL}),{dense_context_sql(
+    "SELECT query_text FROM cleaned",
+    "SELECT gold_passage AS passage FROM cleaned UNION ALL SELECT hard_negative FROM cleaned")},
+ctxl AS (SELECT query_text, list(passage ORDER BY rn) AS ctxs FROM CTX GROUP BY ALL),
+j AS (SELECT c.*, coalesce(x.ctxs, []) AS ctxs FROM cleaned c LEFT JOIN ctxl x USING (query_text)),
 r AS (SELECT *, {_CTX_REPLY} AS reply FROM j)
 SELECT lang, md5(query_text) AS query_md5, md5(hard_negative) AS neg_md5,
        round(coalesce(CASE WHEN regexp_matches({strip_sql('reply')}, '{_NUM}') THEN least(greatest(
@@ -201,13 +199,8 @@ SELECT lang, md5(query_text) AS query_md5, md5(hard_negative) AS neg_md5,
 FROM r""", "DIRTY"))
 def q_score_with_context(spark, sf_dir):
     cleaned = _cleaned_dirty(spark, sf_dir)
-    idx = bm25.bm25_index(bm25.build_corpus(cleaned))
-    qs = cleaned.select("query_text", "gold_passage").distinct()
-    top = bm25.bm25_topk(idx, qs, ["query_text", "gold_passage"], "query_text", k=3)
-    ctx = top.groupBy("query_text", "gold_passage").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage"))), lambda x: x["passage"]).alias("contexts"))
-    j = cleaned.join(ctx, ["query_text", "gold_passage"], "left").withColumn(
-        "contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+    top = dense.nearest_texts(cleaned, bm25.build_corpus(cleaned), dense.hashed_bow_encoder(64), k=3)
+    j = relate.attach_context(cleaned, top, "query_text", k=3)
     s = grade.score_with_context(j, grade.context_scorer)
     return s.select("lang", F.md5("query_text").alias("query_md5"), F.md5("hard_negative").alias("neg_md5"),
                     r6(F.col("rag_score")).alias("rag_score"))

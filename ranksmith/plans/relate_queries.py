@@ -7,12 +7,12 @@ from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
 from ..functions.text import score_cache_key
-from ..operators import bm25, clean, ordering, relate
+from ..operators import bm25, clean, dense, ordering, relate
 from ..sources import testdata as td
 from .clean_queries import _CLEAN_SQL
 from .mining import _CLEAN_PAIRS, _INDEX, _cleaned_pairs, _index, bm25_mine_sql
 from .registry import query, r6
-from .relations_sql import with_rel
+from .relations_sql import dense_context_sql, with_rel
 
 
 # --- qrels joins -------------------------------------------------------------------------
@@ -104,19 +104,15 @@ def q_score_lookup_join(spark, sf_dir):
 
 
 @query("attach_context", with_rel(f"""
-WITH {_CLEAN_PAIRS},{_INDEX},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_text, gold_passage
-                                        ORDER BY round(score, 9) DESC, passage) AS rn FROM sc),
-ctx AS (SELECT query_text, gold_passage, count(*) AS n_ctx, md5(string_agg(passage, chr(10) ORDER BY rn)) AS ctx_md5
-        FROM ranked WHERE rn <= 3 GROUP BY ALL)
+WITH {_CLEAN_PAIRS},{dense_context_sql("SELECT query_text FROM cleaned", "SELECT gold_passage AS passage FROM cleaned")},
+ctxl AS (SELECT query_text, count(*) AS n_ctx, md5(string_agg(passage, chr(10) ORDER BY rn)) AS ctx_md5 FROM CTX GROUP BY ALL)
 SELECT c.conv_id, c.turn, coalesce(x.n_ctx, 0) AS n_ctx, x.ctx_md5
-FROM cleaned c LEFT JOIN ctx x USING (query_text, gold_passage)""", "PAIRS"))
+FROM cleaned c LEFT JOIN ctxl x USING (query_text)""", "PAIRS"))
 def q_attach_context(spark, sf_dir):
     cleaned = _cleaned_pairs(spark, sf_dir)
-    idx = _index(cleaned)
-    qs = cleaned.select("query_text").distinct()
-    top = bm25.bm25_topk(idx, qs, ["query_text"], "query_text", k=3)
-    out = relate.attach_context(cleaned, top.select("query_text", "rank", "passage"), "query_text", k=3)
+    corpus = bm25.build_corpus(cleaned, cols=["gold_passage"])
+    top = dense.nearest_texts(cleaned, corpus, dense.hashed_bow_encoder(64), k=3)
+    out = relate.attach_context(cleaned, top, "query_text", k=3)
     return out.select("conv_id", "turn", F.size("contexts").cast("long").alias("n_ctx"),
                       F.when(F.size("contexts") > 0, F.md5(F.array_join("contexts", "\n"))).alias("ctx_md5"))
 

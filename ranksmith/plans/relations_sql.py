@@ -87,6 +87,23 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
 }
 
 
+def dense_context_sql(queries: str, passages: str, k: int = 3, dim: int = 64) -> str:
+    """CTEs up to CTX ``(query_text, rn, passage)``: the ``k`` nearest
+    ``passage`` of each ``query_text`` by hashed bag of words."""
+    def side(name: str, col: str, rows: str) -> str:
+        return f"""
+{name}0 AS (SELECT DISTINCT {col} AS t FROM ({rows}) WHERE {col} IS NOT NULL),
+{name}1 AS (SELECT t, CAST(('0x' || substr(md5(w), 1, 8)) AS UBIGINT) % {dim} AS b, count(*) AS c
+        FROM (SELECT t, unnest({tok_sql('t')}) AS w FROM {name}0) GROUP BY ALL),
+{name}2 AS (SELECT t, b, c / sqrt(sum(c * c) OVER (PARTITION BY t)) AS x FROM {name}1)"""
+    return f"""{side('CQ', 'query_text', queries)},{side('CP', 'passage', passages)},
+CS AS (SELECT q.t AS query_text, p.t AS passage, sum(q.x * p.x) AS s FROM CQ2 q JOIN CP2 p USING (b) GROUP BY ALL),
+CTX AS (SELECT query_text, passage, rn FROM (
+  SELECT q.t AS query_text, p.t AS passage,
+         row_number() OVER (PARTITION BY q.t ORDER BY round(coalesce(s.s, 0.0), 9) DESC, md5(p.t)) AS rn
+  FROM CQ0 q CROSS JOIN CP0 p LEFT JOIN CS s ON s.query_text = q.t AND s.passage = p.t) WHERE rn <= {k})"""
+
+
 def with_rel(body: str, *names: str) -> str:
     order: list[str] = []
 

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from ..functions import rank as R
 from ..functions import text as T
 from ..functions import vector as V
-from ..operators import bm25, clean
+from ..operators import bm25, clean, dense, relate
 from ..sources import testdata as td
-from .mining import _CLEAN_PAIRS, _INDEX
+from .mining import _CLEAN_PAIRS
 from .registry import query, r6
-from .relations_sql import strip_sql, tok_sql, with_rel
+from .relations_sql import dense_context_sql, strip_sql, tok_sql, with_rel
 
 WS = T.WS
 NUM = T.NUMBER
@@ -146,31 +146,21 @@ def q_build_pair_prompt(spark, sf_dir):
 
 
 _CTX_SQL = with_rel(f"""
-WITH {_CLEAN_PAIRS},
-{_INDEX},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY query_text, gold_passage
-                                        ORDER BY round(score, 9) DESC, passage) AS rn FROM sc),
-ctx AS (SELECT query_text, gold_passage,
-               string_agg('• ' || substr(passage, 1, 120), chr(10) ORDER BY rn) AS bullets
-        FROM ranked WHERE rn <= 3 GROUP BY ALL)
+WITH {_CLEAN_PAIRS},{dense_context_sql("SELECT query_text FROM cleaned", "SELECT gold_passage AS passage FROM cleaned")},
+ctxl AS (SELECT query_text, string_agg('• ' || substr(passage, 1, 120), chr(10) ORDER BY rn) AS bullets FROM CTX GROUP BY ALL)
 SELECT c.conv_id, c.turn, md5(""" + _sql_template(
     T.CONTEXT_PROMPT,
     enhanced_query="'Query: ' || c.query_text || chr(10) || chr(10) || 'Context:' || chr(10) || coalesce(x.bullets, '')",
     gold="substr(c.gold_passage, 1, 200)", negative="substr(c.query_text, 1, 200)") + """) AS prompt_md5
-FROM cleaned c LEFT JOIN ctx x USING (query_text, gold_passage)""", "PAIRS")
+FROM cleaned c LEFT JOIN ctxl x USING (query_text)""", "PAIRS")
 
 
 @query("build_context_prompt", _CTX_SQL)
 def q_build_context_prompt(spark, sf_dir):
     cleaned = clean.clean_dataset(td.pairs(spark, sf_dir), negative=None)
-    idx = bm25.bm25_index(bm25.build_corpus(cleaned, cols=["gold_passage"]))
-    qs = cleaned.select("query_text", "gold_passage").distinct()
-    top = bm25.bm25_topk(idx, qs, ["query_text", "gold_passage"], "query_text", k=3)
-    ctx = top.groupBy("query_text", "gold_passage").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rank", "passage"))),
-                    lambda x: x["passage"]).alias("contexts"))
-    out = cleaned.join(ctx, ["query_text", "gold_passage"], "left").withColumn(
-        "contexts", F.coalesce("contexts", F.array().cast("array<string>")))
+    corpus = bm25.build_corpus(cleaned, cols=["gold_passage"])
+    top = dense.nearest_texts(cleaned, corpus, dense.hashed_bow_encoder(64), k=3)
+    out = relate.attach_context(cleaned, top, "query_text", k=3)
     # the query stands in as its own negative text here
     return out.select("conv_id", "turn", F.md5(T.context_prompt(
         "query_text", "gold_passage", "query_text", "contexts")).alias("prompt_md5"))
