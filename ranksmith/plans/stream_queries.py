@@ -35,12 +35,12 @@ FROM g""", "DIRTY")
 
 @query("checkpointed_scoring", _CHECK_SQL)
 def q_checkpointed_scoring(spark, sf_dir):
-    """Anti-join resume: a first run stops after 3 of 8 buckets (a crash),
-    the second run scores only the keys not yet written."""
+    """Anti-join resume: a first run stops after one batch (a crash), the
+    second run scores only the keys not yet written."""
     rows = _keyed(spark, sf_dir)
     out = shared_dir(spark, "resume")
-    incremental.resume_scoring(rows, "row_key", _score, out, buckets=8, stop_after=3)
-    incremental.resume_scoring(rows, "row_key", _score, out, buckets=8)
+    incremental.resume_scoring(rows, "row_key", _score, out, batch_rows=2000, stop_after=1)
+    incremental.resume_scoring(rows, "row_key", _score, out, batch_rows=2000)
     return incremental.read_scored(spark, out).drop("row_key")
 
 
@@ -51,11 +51,11 @@ def q_checkpointed_scoring_stream(spark, sf_dir):
     rows = _keyed(spark, sf_dir)
     root = shared_dir(spark, "stream")
     half = F.pmod(F.xxhash64("row_key"), F.lit(2))
-    rows.filter(half == 0).repartition(2).write.parquet(f"{root}/input/drop=0")
+    rows.filter(half == 0).write.parquet(f"{root}/input/drop=0")
     schema = rows.schema
     src = f"{root}/input/*"
     incremental.stream_scoring(spark, src, schema, _score, f"{root}/out", f"{root}/checkpoint")
-    rows.filter(half == 1).repartition(2).write.parquet(f"{root}/input/drop=1")
+    rows.filter(half == 1).write.parquet(f"{root}/input/drop=1")
     incremental.stream_scoring(spark, src, schema, _score, f"{root}/out", f"{root}/checkpoint")
     return spark.read.parquet(f"{root}/out").drop("row_key", "batch")
 

@@ -100,11 +100,12 @@ def read_beir(spark: SparkSession, root: str, lang: str | None = None,
 
 def read_beir_multilang(spark: SparkSession, root: str, split: str = "test") -> tuple[DataFrame, DataFrame, DataFrame]:
     """All languages in one read; a language missing any of the three files
-    is dropped from all three (semi join on the languages present)."""
-    q, c, r = read_beir(spark, root, None, split)
-    langs = q.select("lang").distinct().join(c.select("lang").distinct(), "lang") \
-        .join(r.select("lang").distinct(), "lang")
-    return tuple(x.join(F.broadcast(langs), "lang", "left_semi") for x in (q, c, r))  # one row per language
+    is dropped from all three.  The languages are those of the file listing,
+    so unused partitions are pruned and nothing is scanned to find them."""
+    parts = [{n.removeprefix("lang=") for n in list_names(spark, p) if n.startswith("lang=")}
+             for p in (f"{root}/queries.jsonl", f"{root}/corpus.jsonl", f"{root}/qrels/{split}.tsv")]
+    langs = sorted(set.intersection(*parts) - {"__HIVE_DEFAULT_PARTITION__"})
+    return tuple(x.filter(F.col("lang").isin(langs)) for x in read_beir(spark, root, None, split))
 
 
 # --- headerless / qrels TSV ---------------------------------------------------------------
@@ -189,6 +190,16 @@ def write_metrics_json(long: DataFrame, path: str, keys: Sequence[str] = ("setti
     metrics_to_json(long, keys).coalesce(1).write.mode("overwrite").json(path)
 
 
+def list_names(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder, none if it is absent, through the session's Hadoop
+    FileSystem; hidden and marker files are left out."""
+    if not path_exists(spark, path):
+        return []
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
+    return [n for f in found if not (n := f.getPath().getName()).startswith(("_", "."))]
+
+
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Existence check through the Hadoop FileSystem of the session."""
     jvm = spark.sparkContext._jvm
@@ -207,13 +218,19 @@ def eval_cache(spark: SparkSession, path: str, build, partition_by: Sequence[str
 def write_eval_csv_by_lang(df: DataFrame, path: str, partition_by: Sequence[str] = ("setting", "lang")) -> DataFrame:
     """One CSV folder per (setting, language) and the row counts (the
     metadata record) computed from the same data."""
-    df.write.mode("overwrite").partitionBy(*partition_by).options(**{**_CSV, "sep": ","}, header="true").csv(path)
-    return df.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("rows"))
+    how = {**_CSV, "sep": ",", "header": "true"}
+    df.write.mode("overwrite").partitionBy(*partition_by).options(**how).csv(path)
+    # Counted from what was written, so the input is evaluated once.
+    fields = [f for f in df.schema.fields if f.name not in partition_by] + [df.schema[c] for c in partition_by]
+    back = df.sparkSession.read.options(**how).schema(T.StructType(fields)).csv(path)
+    return back.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("rows"))
 
 
 def write_vectors(df: DataFrame, path: str, vec: str = "embedding") -> None:
     """Passages with float32 vectors as parquet ``array<float>``, plus a
     one-row metadata table (size, dimension)."""
     df.withColumn(vec, F.col(vec).cast("array<float>")).write.mode("overwrite").parquet(f"{path}/vectors")
-    df.agg(F.count(F.lit(1)).alias("corpus_size"), F.max(F.size(vec)).alias("dim")) \
+    # From what was written, so the encoder runs once.
+    df.sparkSession.read.parquet(f"{path}/vectors").agg(
+        F.count(F.lit(1)).alias("corpus_size"), F.max(F.size(vec)).alias("dim")) \
         .write.mode("overwrite").parquet(f"{path}/metadata")

@@ -4,9 +4,9 @@ Model calls are slow and fail; work already paid for must survive a crash.
 Two forms:
 
 * ``resume_scoring`` -- batch form.  Keys already present in the output
-  table are removed with a left-anti join, the rest is cut into hash
-  buckets and each bucket is scored and *appended* as its own job, so a
-  crash loses at most one bucket.
+  table are removed with a left-anti join, the rest is cut into batches by
+  hash and each batch is scored and *appended* as its own job, so a crash
+  loses at most one batch.
 * ``stream_scoring`` -- Structured Streaming form.  New input files are
   picked up by a file source with ``trigger(availableNow=True)``; each
   micro-batch is scored in ``foreachBatch`` and written to a folder named
@@ -16,39 +16,43 @@ Two forms:
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.files import path_exists
+from ..session import shared_dir
+from ..sources.files import list_names
 
 Scorer = Callable[[DataFrame], DataFrame]
 
 
-def resume_scoring(df: DataFrame, key: str, scorer: Scorer, out_path: str, buckets: int = 8,
+def resume_scoring(df: DataFrame, key: str, scorer: Scorer, out_path: str, batch_rows: int = 100_000,
                    stop_after: int | None = None) -> int:
     """Score the rows of ``df`` whose ``key`` is not yet in ``out_path``
-    (parquet) and append them bucket by bucket.  ``stop_after`` ends after
-    that many buckets (to exercise a resume).  Returns buckets written."""
+    (parquet) and append them in batches of about ``batch_rows`` rows, so a
+    crash loses one batch of model calls at most.  What is left to do is
+    worked out once and kept in the shared folder by batch.  ``stop_after``
+    ends after that many batches (to exercise a resume).  Returns the batches
+    written."""
     spark = df.sparkSession
     todo = df
-    if path_exists(spark, f"{out_path}/_SUCCESS") or path_exists(spark, out_path):
-        try:
-            done = spark.read.parquet(out_path).select(key).distinct()
-            todo = df.join(done, key, "left_anti")
-        except Exception:  # noqa: BLE001 - empty or unreadable folder: nothing done yet
-            todo = df
-    todo = todo.withColumn("_bucket", F.pmod(F.xxhash64(F.col(key)), F.lit(buckets)))
-    written = 0
-    for b in range(buckets):
-        if stop_after is not None and written >= stop_after:
-            break
-        part = scorer(todo.filter(F.col("_bucket") == b).drop("_bucket"))
-        part.write.mode("append").parquet(out_path)
-        written += 1
-    return written
+    if list_names(spark, out_path):  # a read that fails is an error, never "nothing done yet"
+        todo = df.join(spark.read.parquet(out_path).select(key).distinct(), key, "left_anti")
+    whole, kept = shared_dir(spark, "todo"), shared_dir(spark, "batches")
+    todo.write.parquet(whole)
+    todo = spark.read.schema(todo.schema).parquet(whole)
+    batches = max(1, math.ceil(todo.count() / batch_rows))
+    todo.withColumn("part_no", F.pmod(F.xxhash64(F.col(key)), F.lit(batches))) \
+        .write.partitionBy("part_no").parquet(kept)
+    left = spark.read.schema(T.StructType([*todo.schema.fields, T.StructField("part_no", T.IntegerType())])).parquet(kept)
+    names = sorted(list_names(spark, kept))[:stop_after]
+    for name in names:
+        part = left.filter(F.col("part_no") == int(name.removeprefix("part_no="))).drop("part_no")
+        scorer(part).write.mode("append").parquet(out_path)
+    return len(names)
 
 
 def stream_scoring(spark: SparkSession, input_path: str, schema: T.StructType, scorer: Scorer,

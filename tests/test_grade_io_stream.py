@@ -121,12 +121,33 @@ def test_resume_after_half_written(spark):
     df = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "k string, v int")
     out = shared_dir(spark, "resume-test")
     scored = lambda b: b.withColumn("s", F.col("v") * 2)
-    incremental.resume_scoring(df, "k", scored, out, buckets=4, stop_after=2)
+    incremental.resume_scoring(df, "k", scored, out, batch_rows=10, stop_after=2)
     first = spark.read.parquet(out).count()
     assert 0 < first < 40
-    incremental.resume_scoring(df, "k", scored, out, buckets=4)
+    incremental.resume_scoring(df, "k", scored, out, batch_rows=10)
     back = spark.read.parquet(out)
     assert back.count() == 40 and back.select("k").distinct().count() == 40
+    assert incremental.resume_scoring(df, "k", scored, out) == 0
+
+
+def test_resume_after_a_scorer_dies(spark):
+    df = spark.createDataFrame([(f"k{i}", i) for i in range(40)], "k string, v int")
+    out, seen = shared_dir(spark, "resume-dies"), []
+
+    def scorer(batch):
+        keys = sorted(r.k for r in batch.collect())
+        if len(seen) == 2:
+            seen.append(None)
+            raise RuntimeError("killed")
+        seen.append(keys)
+        return batch.withColumn("s", F.col("v") * 2)
+
+    with pytest.raises(RuntimeError, match="killed"):
+        incremental.resume_scoring(df, "k", scorer, out, batch_rows=10)
+    incremental.resume_scoring(df, "k", scorer, out, batch_rows=10)
+    scored = [k for keys in seen if keys for k in keys]
+    assert sorted(scored) == sorted(f"k{i}" for i in range(40))  # none lost, none scored twice
+    assert spark.read.parquet(out).count() == 40
 
 
 def test_entry_contract(spark):
