@@ -315,7 +315,7 @@ def bm25_topk(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text:
 
 
 def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_passage",
-                   n: int = 1, top_k: int = 100, corpus: DataFrame | None = None,
+                   n: int = 1, corpus: DataFrame | None = None,
                    scope: Sequence[str] = (), index: BM25Index | None = None,
                    pad_seed_rows: int | None = None, prune: bool = False, **kw) -> DataFrame:
     """Per distinct (scope, query, gold): ``mined`` = array of up to ``n``
@@ -326,8 +326,6 @@ def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_p
     are the smallest texts by ``(md5(text), text)`` that are neither gold nor
     already chosen.  An empty result means the corpus holds nothing but gold.
     """
-    if n > top_k - 1:
-        raise ValueError("n must be below top_k")
     sc = list(scope)
     if index is None:
         index = bm25_index(corpus if corpus is not None else build_corpus(df, scope=sc), scope=sc)

@@ -60,13 +60,12 @@ _ORDER = ["query_text", "gold_passage", "hard_negative", "lang"]
 
 
 @query("grade_batch", with_rel(f"""
-WITH src AS (SELECT * FROM SCORED ORDER BY query_text, gold_passage, hard_negative, lang LIMIT 300),
-g AS ({_graded_sql('src')})
+WITH g AS ({_graded_sql('SCORED')})
 SELECT lang, md5(query_text) AS query_md5, md5(hard_negative) AS neg_md5, llm_classification,
        round(hardness_score, 6) AS hardness_score, success,
        CASE WHEN NOT success THEN 'ValueError: empty query' END AS error FROM g""", "SCORED"))
 def q_grade_batch(spark, sf_dir):
-    g, _ = grade.grade_batch(td.scored(spark, sf_dir), _ORDER, limit=300, model=grade.overlap_grader)
+    g, _ = grade.grade_batch(td.scored(spark, sf_dir), _ORDER, model=grade.overlap_grader)
     return g.select("lang", F.md5("query_text").alias("query_md5"), F.md5("hard_negative").alias("neg_md5"),
                     "llm_classification", r6(F.col("hardness_score")).alias("hardness_score"), "success", "error")
 
