@@ -69,17 +69,16 @@ def embed_batches(df: DataFrame, text: str, encoder: Callable[[], Encoder], out:
     """Append ``out`` (array<double>) by running the encoder over batches of
     ``batch_size`` texts.  With ``on_error="skip"`` (index build) the rows of
     a failing batch are dropped; with ``"zero"`` (evaluator) they get zero
-    vectors of ``dim`` numbers, and every row stays.  ``error`` names a column
+    vectors, and every row stays; these have ``dim`` numbers, or as many as
+    the encoder gives for an empty text.  ``error`` names a column
     for the failure's message (null where there was none); with it no row is
     dropped in ``skip`` mode either: the vector is null, so failures can be
     counted and set apart."""
-    if on_error == "zero" and dim is None:
-        raise ValueError("zero vectors need their dimension")
     fields = [T.StructField(out, T.ArrayType(T.DoubleType()))] + ([T.StructField(error, T.StringType())] if error else [])
     schema = T.StructType(df.schema.fields + fields)
 
     def run(it):
-        model = encoder()
+        model, width = encoder(), dim
         for pdf in it:
             for s in range(0, len(pdf), batch_size):
                 chunk = pdf.iloc[s:s + batch_size]
@@ -90,7 +89,9 @@ def embed_batches(df: DataFrame, text: str, encoder: Callable[[], Encoder], out:
                     if on_error == "skip" and not error:
                         continue
                     said = f"{type(e).__name__}: {e}"
-                    vecs = [np.zeros(dim) if on_error == "zero" else None for _ in range(len(chunk))]
+                    if on_error == "zero" and width is None:
+                        width = np.asarray(model(pd.Series([""]))).shape[1]
+                    vecs = [np.zeros(width) if on_error == "zero" else None for _ in range(len(chunk))]
                 yield chunk.assign(**{out: vecs}, **({error: said} if error else {}))
     return df.mapInPandas(run, schema)
 
