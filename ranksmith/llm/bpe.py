@@ -155,7 +155,7 @@ def _codec(path: str) -> ByteBPE:
         codec = ByteBPE(path)
         gc.freeze()  # the tables live as long as the worker
         return codec
-    return per_worker(("byte-bpe", path), load)
+    return per_worker("words", path, load)
 
 
 def n_ids(packed: str) -> Column:

@@ -164,10 +164,11 @@ class WordCache(dict):
 _KEPT: dict = {}
 
 
-def per_worker(key, make: Callable[[], object]):
-    """``make()``, kept for later tasks of this Python worker (the last four keys)."""
-    if key not in _KEPT:
-        while len(_KEPT) >= 4:
-            _KEPT.pop(next(iter(_KEPT)))
-        _KEPT[key] = make()
-    return _KEPT[key]
+def per_worker(kind: str, key, make: Callable[[], object]):
+    """``make()``, kept for later tasks of this Python worker until another
+    ``key`` of the ``kind`` takes its place.  All objects with word caches are
+    of one kind, so a worker holds one operator's at a time."""
+    if kind not in _KEPT or _KEPT[kind][0] != key:
+        _KEPT.pop(kind, None)
+        _KEPT[kind] = key, make()
+    return _KEPT[kind][1]

@@ -21,6 +21,7 @@ columns are not read.
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -58,7 +59,7 @@ def pieces_of(path: str) -> frozenset[str]:
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         pieces = (model.id_to_piece(i) for i in range(model.get_piece_size()))
         return frozenset(p for p in pieces if p == MARK or regex.fullmatch(MARK + r"?\p{L}+", p))
-    return per_worker(("pieces", path), load)
+    return per_worker("pieces", path, load)
 
 
 class Trie:
@@ -158,15 +159,17 @@ class Model:
 
     def __init__(self, languages: list[str], pieces: list[str], probs: np.ndarray):
         self.languages, self.pieces, self.probs = languages, pieces, probs
-        self.cache = WordCache(lambda token: self._entries([token])[0], 500_000)
-        self.trie = None
+        self.key = uuid.uuid4().hex
 
-    def __reduce__(self):
-        return Model, (self.languages, self.pieces, self.probs)
+    def ready(self) -> Model:
+        """A copy with what prediction looks up."""
+        out = Model(self.languages, self.pieces, self.probs)
+        out.trie = Trie(self.pieces)
+        out.cache = WordCache(lambda token: out._entries([token])[0])
+        return out
 
     def word_logs(self, words: list[str]) -> dict[str, np.ndarray]:
         """Each word's log probabilities, by language."""
-        self.trie = self.trie or Trie(self.pieces)
         out = {}
         for some in batches_of(words):
             out.update(zip(some, forward_logs(*self.trie.lattice([MARK + w for w in some]), self.probs)))
@@ -242,7 +245,7 @@ def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", la
         given = spark.sparkContext.broadcast(probs)  # languages x vocabulary
 
         def expect(batches):
-            trie = per_worker(("trie", path), lambda: Trie(sorted(pieces_of(path))))
+            trie = per_worker("words", ("trie", path), lambda: Trie(sorted(pieces_of(path))))
             sums = np.zeros(given.value.shape)
             for batch in batches:
                 counts = defaultdict(dict)
@@ -274,7 +277,7 @@ def predict(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "te
     sent = df.sparkSession.sparkContext.broadcast(model)  # languages x vocabulary
 
     def make_kernel():
-        m = sent.value
+        m = per_worker("words", sent.value.key, sent.value.ready)
 
         def kernel(texts: list) -> list:
             if not m.languages:

@@ -57,7 +57,7 @@ def buckets(words: list[bytes], cache) -> np.ndarray:
 
 
 def _cache():
-    return per_worker("quality-tokens", lambda: WordCache(_token_hashes))
+    return per_worker("words", "quality", lambda: WordCache(_token_hashes))
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:

@@ -86,7 +86,7 @@ def fill_cache(df: DataFrame, path: str, cache: str, doc_id: str = "doc_id", tex
         .select("content", "_rs_text"))
 
     def make_kernel():
-        count = per_worker(("counts", path), lambda: _load(path))
+        count = per_worker("counts", path, lambda: _load(path))
 
         def kernel(texts: list) -> list:
             seen: dict[bytes, int] = {}
