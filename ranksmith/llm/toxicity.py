@@ -20,6 +20,7 @@ Other columns are only carried along where whole rows are returned.
 from __future__ import annotations
 
 import re
+import uuid
 from collections import Counter
 
 import numpy as np
@@ -31,10 +32,12 @@ from pyspark.sql import types as T
 
 from ranksmith.session import ship_package
 
-from .common import WordCache, filter_texts, map_texts
+from .common import WordCache, filter_texts, map_texts, per_worker, staged
 
 #: Labelled rows of each kind that the fit reads at most.
-SAMPLE_ROWS = 10_000
+SAMPLE_ROWS = 5000
+#: Features that a task of the fit counts before it hands the counts on.
+COUNTED = 200_000
 #: Features that carry a weight: words and word beginnings, at most so many,
 #: whose document frequency differs most between the kinds, by z-score of the
 #: log odds.
@@ -83,10 +86,13 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
 class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
-        self.cache = WordCache(self._entry)
+        self.key, self.cache = uuid.uuid4().hex, None
 
-    def __reduce__(self):
-        return Model, (self.weights, self.bias)
+    def ready(self) -> Model:
+        """A copy with a word cache."""
+        out = Model(self.weights, self.bias)
+        out.cache = WordCache(out._entry, 100_000)
+        return out
 
     def _entry(self, token: bytes) -> bytes:
         """Weight, whether a sentence ends, whether there is a word."""
@@ -95,7 +101,8 @@ class Model:
 
     def logits(self, text: bytes) -> np.ndarray:
         """A logit for each sentence that has a word, or for one without words."""
-        rows = np.frombuffer(b"".join(map(self.cache.__getitem__, tokens(text))), "<f4").reshape(-1, 3)
+        entry = self.cache.__getitem__ if self.cache is not None else self._entry
+        rows = np.frombuffer(b"".join(map(entry, tokens(text))), "<f4").reshape(-1, 3)
         stop = rows[:, 1].cumsum().astype(np.int64)
         nth = stop - rows[:, 1].astype(np.int64)
         sums, real = np.bincount(nth, rows[:, 0]), np.bincount(nth, rows[:, 2]) > 0
@@ -118,10 +125,14 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(f"`{doc_id}`").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def labelled_sample(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic", rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(doc_id, y): at most ``rows`` ids of each kind, those with the smallest hashes."""
-    known = (labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id))
-             .groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y")))
+def known_labels(labels: DataFrame, doc_id: str = "doc_id", label: str = "toxic") -> DataFrame:
+    """(doc_id, y) of the ids that may be learnt from."""
+    return (labels.where(F.col(doc_id).isNotNull() & F.col(label).isNotNull() & ~held_out(doc_id))
+            .groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(F.col(label).cast("int")).alias("y")))
+
+
+def labelled_sample(known: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
+    """At most ``rows`` ids of each kind, those with the smallest hashes."""
     kinds = [known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows) for y in (0, 1)]
     return kinds[0].unionByName(kinds[1])
 
@@ -129,87 +140,111 @@ def labelled_sample(labels: DataFrame, doc_id: str = "doc_id", label: str = "tox
 def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
         rows: int = SAMPLE_ROWS) -> Model:
     """Learn from the labelled sample's texts.  At most ``2 * rows`` ids are
-    broadcast; ``VOCABULARY`` words and the sample's uses of them come to the
-    driver."""
+    broadcast, ``VOCABULARY`` words and weights come to the driver."""
     ship_package(df.sparkSession)
-    sample = F.broadcast(labelled_sample(labels, doc_id, label, rows))  # 2 * rows ids at most
+    known = known_labels(labels, doc_id, label)
+    sample = F.broadcast(labelled_sample(known, rows))  # 2 * rows ids at most
     texts = (df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("t"))
              .join(sample, "doc_id"))
+    totals = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
 
     def count(batches):
-        found = Counter()
+        found, cache = Counter(), WordCache(features_of, 50_000)
+
+        def counts():
+            return pa.RecordBatch.from_arrays(
+                [pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()),
+                 pa.array(list(found.values()), pa.int64())], names=["word", "y", "n"])
+
         for batch in batches:
             for t, y in zip(batch.column(0), batch.column(1)):
-                y = y.as_py()
-                found.update((w, y) for w in {w for token in set(tokens(t.as_py() or b"")) for w in features_of(token)})
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in found], pa.string()), pa.array([y for _, y in found], pa.int32()),
-                                          pa.array(list(found.values()), pa.int64())], names=["word", "y", "n"])
-
-    counts = texts.select("t", "y").mapInArrow(count, "word string, y int, n long")
-    per_word = counts.groupBy("word").agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"),
-                                          F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
-    kinds = {r.y: r.n for r in texts.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not kinds.get(0) or not kinds.get(1):
+                y, used = y.as_py(), {""}  # the empty feature counts documents
+                used.update(*map(cache.__getitem__, set(tokens(t.as_py() or b""))))
+                found.update((w, y) for w in used)
+                if len(found) > COUNTED:
+                    yield counts()
+                    found.clear()
+        yield counts()
+
+    per_word = (texts.select("t", "y").mapInArrow(count, "word string, y int, n long").groupBy("word")
+                .agg(F.sum(F.when(F.col("y") == 1, F.col("n")).otherwise(0)).alias("bad"),
+                     F.sum(F.when(F.col("y") == 0, F.col("n")).otherwise(0)).alias("good"))
+                .where(F.col("bad") + F.col("good") >= MIN_DOCS))
+    per_word = staged(per_word, "features")
+    docs = per_word.where("word = ''").first()  # one row
+    if not docs or not docs.bad or not docs.good:
         return NOTHING
     bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
-    odds = F.log(bad / (kinds[1] + 1.0)) - F.log(good / (kinds[0] + 1.0))
+    odds = F.log(bad / (docs.bad + 1.0)) - F.log(good / (docs.good + 1.0))
     z = F.abs(odds) / F.sqrt(1 / bad + 1 / good)
-    words = [r.word for r in per_word.where((F.col("bad") + F.col("good") >= MIN_DOCS) & (z >= MIN_Z))
+    words = [r.word for r in per_word.where((F.col("word") != "") & (z >= MIN_Z))
              .orderBy(z.desc(), "word").limit(VOCABULARY).select("word").collect()]
     index = {w: i for i, w in enumerate(words)}
+    # What a sampled document stands for, as the kinds are not sampled alike.
+    share = {1: totals[1] / docs.bad, 0: totals[0] / docs.good}
 
     def features(batches):
+        cache = WordCache(lambda token: [index[w] for w in features_of(token) if w in index], 50_000)
         for batch in batches:
-            made = [[], [], [], []]
+            made = [[], [], [], [], []]
             for i, t, y in zip(*(batch.column(c) for c in range(3))):
-                n, used = 0, Counter()
-                data = t.as_py() or b""
+                data, plain, word, sent, k = t.as_py() or b"", 0, [], [], 0
                 for a, b in sentences(data):
-                    at = sorted(index[w] for token in data[a:b].split() for w in features_of(token) if w in index)
-                    n += not at
+                    at = [w for token in data[a:b].split() for w in cache[token]]
+                    plain += not at
                     if at:
-                        used[tuple(at)] += 1
-                for column, value in zip(made, (i.as_py(), y.as_py(), n or int(not used), [[c, *at] for at, c in used.items()])):
+                        word += at
+                        sent += [k] * len(at)
+                        k += 1
+                packed = [np.array(x, "<i4").tobytes() for x in (word, sent)]
+                for column, value in zip(made, (i.as_py(), y.as_py(), plain or int(not k), *packed)):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(made[0], pa.string()), pa.array(made[1], pa.int32()), pa.array(made[2], pa.int64()),
-                                              pa.array(made[3], pa.list_(pa.list_(pa.int32())))], names=["doc_id", "y", "plain", "used"])
-
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(made, (pa.string(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                                             names=["doc_id", "y", "plain", "word", "sent"])
+
+    def learn(batches):
+        rows = sorted((r for batch in batches for r in batch.to_pylist()), key=lambda r: r["doc_id"])
+        unpack = lambda c: [np.frombuffer(r[c], "<i4") for r in rows]
+        y = np.array([r["y"] for r in rows])
+        weights, bias = noisy_or_fit(y, np.array([r["plain"] for r in rows]), unpack("word"), unpack("sent"), len(words),
+                                     np.where(y == 1, share[1], share[0]))
+        yield pa.RecordBatch.from_arrays([pa.array([*range(len(words)), -1], pa.int32()), pa.array([*weights, bias], pa.float64())],
+                                         names=["i", "weight"])
+
+    # The sample is bounded: one task holds its feature numbers and learns.
     got = (texts.select(F.col("doc_id").cast("string"), "t", "y")
-           .mapInArrow(features, "doc_id string, y int, plain long, used array<array<int>>")
-           .dropDuplicates(["doc_id"]).collect())
-    got.sort(key=lambda r: r.doc_id)
-    weights, bias = noisy_or_fit([r.y for r in got], [r.plain for r in got], [r.used for r in got], len(words))
-    return Model({w: float(x) for w, x in zip(words, weights)}, bias)
+           .mapInArrow(features, "doc_id string, y int, plain long, word binary, sent binary")
+           .dropDuplicates(["doc_id"]).repartition(1).mapInArrow(learn, "i int, weight double").collect())
+    learnt = {r.i: r.weight for r in got}
+    return Model({w: learnt[i] for i, w in enumerate(words)}, learnt[-1])
 
 
-def noisy_or_fit(y, plain, used, n_words: int) -> tuple[np.ndarray, float]:
-    """Word weights and bias by Adam on the documents' mean log loss.
+def noisy_or_fit(y, plain, words, sents, n_words: int, weight=None) -> tuple[np.ndarray, float]:
+    """Word weights and bias by Adam on the documents' weighted mean log loss.
 
-    ``plain``: sentences without a weighted word, by document; ``used``: of the
-    others, how often the sentence occurs and then its words' numbers."""
+    By document: ``plain``, its sentences without a weighted word; ``words``,
+    the numbers of the weighted words in the others, and ``sents``, the number
+    of the sentence that each stands in."""
     y, plain = np.array(y, float), np.array(plain, float)
-    doc, times, sent, word = [], [], [], []
-    for d, bags in enumerate(used):
-        for times_, *at in bags:
-            sent += [len(doc)] * len(at)
-            word += at
-            doc.append(d)
-            times.append(times_)
-    doc, times = np.array(doc, int), np.array(times, float)
-    sent, word = np.array(sent, int), np.array(word, int)
+    weight = np.ones(len(y)) if weight is None else np.array(weight, float)
+    n_sents = np.array([s[-1] + 1 if len(s) else 0 for s in sents], int)
+    start = np.concatenate([[0], n_sents.cumsum()])
+    doc = np.repeat(np.arange(len(y)), n_sents)
+    word = np.concatenate([*map(np.asarray, words), np.zeros(0, int)]).astype(int)
+    sent = np.concatenate([*(np.asarray(s) + a for s, a in zip(sents, start)), np.zeros(0, int)]).astype(int)
     w, mean, var = np.append(np.zeros(n_words), -4.0), np.zeros(n_words + 1), np.zeros(n_words + 1)
     for step in range(1, STEPS + 1):
         z = w[-1] + np.bincount(sent, w[word], len(doc))
-        clean = -times * np.logaddexp(0, z)  # log of the chance that none offends
+        clean = -np.logaddexp(0, z)  # log of the chance of no offence
         none = np.bincount(doc, clean, len(y)) - plain * np.logaddexp(0, w[-1])
         p = -np.expm1(none)
         # d loss / d log(1 - p): 1 for clean documents' negative log, -(1 - p) / p for toxic ones
-        pull = np.where(y == 1, -np.exp(none) / np.maximum(p, 1e-9), 1.0)
-        by_sentence = pull[doc] * times / (1 + np.exp(-z))
+        pull = weight * np.where(y == 1, -np.exp(none) / np.maximum(p, 1e-9), 1.0)
+        by_sentence = pull[doc] / (1 + np.exp(-z))
         grad = np.append(np.bincount(word, by_sentence[sent], n_words),
                          by_sentence.sum() + (pull * plain).sum() / (1 + np.exp(-w[-1])))
         grad[:-1] += RIDGE * w[:-1]
-        grad /= len(y)
+        grad /= weight.sum()
         mean, var = 0.9 * mean + 0.1 * grad, 0.99 * var + 0.01 * grad ** 2
         w -= RATE * (1 - step / (STEPS + 1)) * (mean / (1 - 0.9 ** step)) / (np.sqrt(var / (1 - 0.99 ** step)) + 1e-8)
     return w[:-1], float(w[-1])
@@ -220,7 +255,7 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
     sent = df.sparkSession.sparkContext.broadcast(model)  # VOCABULARY words
 
     def make_kernel():
-        m = sent.value
+        m = per_worker("words", sent.value.key, sent.value.ready)
         return lambda texts: [[m.score(t or b"") for t in texts]]
 
     return map_texts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_rs_text")), "_rs_text",
@@ -238,7 +273,7 @@ def offending_sentences(df: DataFrame, model: Model, doc_id: str = "doc_id", tex
         ("start", T.LongType()), ("stop", T.LongType()), ("score", T.DoubleType()), ("sentence", T.StringType())))])
 
     def run(batches):
-        m = sent.value
+        m = per_worker("words", sent.value.key, sent.value.ready)
         for batch in batches:
             rows = [(i, a, b, p, t.as_py()[a:b].decode("utf-8", "replace"))
                     for i, t in enumerate(batch.column(1)) for a, b, p in m.offending(t.as_py() or b"", least)]
@@ -255,7 +290,7 @@ def not_toxic(df: DataFrame, model: Model, text: str = "text", least: float = 0.
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def make_kernel():
-        m = sent.value
+        m = per_worker("words", sent.value.key, sent.value.ready)
         return lambda texts: [m.score(t or b"") < least for t in texts]
 
     return filter_texts(df, text, make_kernel)

@@ -34,14 +34,15 @@ def test_noisy_or_by_definition():
 
 def test_gradient_learns_from_document_labels_alone():
     rng = random.Random(0)
-    y, plain, used = [], [], []
+    y, plain, words, sents = [], [], [], []
     for _ in range(300):
         toxic = rng.random() < 0.3
-        bags = [[1, *sorted(rng.sample(range(2, 8), 2))] for _ in range(5)]
+        bags = [rng.sample(range(2, 8), 2) for _ in range(5)]
         if toxic:
             bags[rng.randrange(5)].append(0)
-        y.append(int(toxic)), plain.append(3), used.append(bags)
-    w, b = toxicity.noisy_or_fit(y, plain, used, 8)
+        y.append(int(toxic)), plain.append(3), words.append(sum(bags, []))
+        sents.append([k for k, bag in enumerate(bags) for _ in bag])
+    w, b = toxicity.noisy_or_fit(y, plain, words, sents, 8)
     assert w[0] > 3 and np.abs(w[2:]).max() < 1 and b < -2
 
 
