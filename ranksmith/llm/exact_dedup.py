@@ -79,7 +79,8 @@ def exact_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text",
     text_sha256, n_chunks."""
     found = staged(recipes(df, doc_id, text, digest), "recipes")
     best = F.min(F.struct(-F.col("n_chars"), F.col("doc_id").isNull(), "doc_id", "rd1", "rd2")).alias("best")
-    groups = found.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size"))
+    # Kept, so that the join reads it plainly and can split a hot recipe's rows.
+    groups = staged(found.groupBy("recipe").agg(best, F.count(F.lit(1)).alias("group_size")), "groups")
     return found.join(groups, "recipe").select(
         "doc_id", "rd1", "rd2", F.col("best.doc_id").alias("keep_id"), "group_size",
         ((F.col("rd1") == F.col("best.rd1")) & (F.col("rd2") == F.col("best.rd2"))).alias("kept"),
