@@ -113,7 +113,9 @@ def batches_of(words: list[str], cells: int = 1 << 15) -> Iterator[list[str]]:
 
 def forward_logs(lengths: np.ndarray, grid: np.ndarray, probs: np.ndarray) -> np.ndarray:
     """[word, language]: log of the sum over the word's segmentations.
-    ``probs`` is [piece, language]; sums are rescaled to stay within range."""
+    ``probs`` is [piece, language]; sums are rescaled wherever they get small.
+    A character is a piece or an unknown one, so no step divides a sum by more
+    than the inverse of the least probability."""
     n, width, deep = grid.shape
     sums, scale = np.zeros((n, width, probs.shape[1])), np.zeros((n, probs.shape[1]))
     sums[:, 0] = 1.0
@@ -124,8 +126,9 @@ def forward_logs(lengths: np.ndarray, grid: np.ndarray, probs: np.ndarray) -> np
                 sums[:, stop] += sums[:, stop - k] * probs[piece]
         if (done := lengths == stop).any():
             out[done] = np.log(sums[done, stop]) + scale[done]
-        if stop % deep == 0:
-            factor = np.where(sums[:, stop] < SMALL, 1 / SMALL, 1.0)
+        low = (sums[:, stop] < SMALL) & (lengths > stop)[:, None]
+        if low.any():
+            factor = np.where(low, 1 / SMALL, 1.0)
             sums[:, max(0, stop - deep):stop + 1] *= factor[:, None]
             scale -= np.log(factor)
     return out
@@ -133,23 +136,30 @@ def forward_logs(lengths: np.ndarray, grid: np.ndarray, probs: np.ndarray) -> np
 
 def expected_uses(lengths: np.ndarray, grid: np.ndarray, probs: np.ndarray, times: np.ndarray) -> np.ndarray:
     """[piece]: expected number of uses in the words' segmentations under one
-    language's ``probs``, each word counted ``times``.  Words whose
-    probability is below the floating-point range add nothing."""
+    language's ``probs``, each word counted ``times``.  Forward sums are kept
+    as logs; backwards, the expected number of segmentations through each
+    position is dealt to the pieces that end there by their shares of its sum."""
     n, width, deep = grid.shape
-    ahead, back = np.zeros((n, width)), np.zeros((n, width))
-    ahead[:, 0] = back[np.arange(n), lengths] = 1.0
-    steps = [(stop, k) for stop in range(1, width) for k in range(1, min(stop, deep - 1) + 1)
-             if grid[:, stop, k].min() < len(probs) - 1]
-    for stop, k in steps:
-        ahead[:, stop] += ahead[:, stop - k] * probs[grid[:, stop, k]]
-    for stop, k in reversed(steps):
-        back[:, stop - k] += back[:, stop] * probs[grid[:, stop, k]]
-    whole = ahead[np.arange(n), lengths]
-    weight = np.divide(times, whole, out=np.zeros(n), where=whole > 0)
+    ahead, through = np.zeros((n, width)), np.zeros((n, width))
+    through[np.arange(n), lengths] = times
+
+    def steps(stop):
+        """Words that reach ``stop``; positions that pieces start at, and pieces."""
+        starts = np.arange(stop - 1, max(0, stop - deep + 1) - 1, -1)
+        rows = np.flatnonzero(lengths >= stop)[:, None]
+        return rows, starts, grid[rows, stop, stop - starts]
+
+    for stop in range(1, width):
+        rows, starts, pieces = steps(stop)
+        last = ahead[rows, stop - 1]
+        terms = probs[pieces] * np.exp(ahead[rows, starts] - last)
+        ahead[rows, stop] = last + np.log(terms.sum(axis=1, keepdims=True))
     uses = np.zeros(len(probs))
-    for stop, k in steps:
-        piece = grid[:, stop, k]
-        np.add.at(uses, piece, ahead[:, stop - k] * probs[piece] * back[:, stop] * weight)
+    for stop in range(width - 1, 0, -1):
+        rows, starts, pieces = steps(stop)
+        flow = probs[pieces] * np.exp(ahead[rows, starts] - ahead[rows, stop]) * through[rows, stop]
+        through[rows, starts] += flow
+        np.add.at(uses, pieces, flow)
     return uses
 
 
