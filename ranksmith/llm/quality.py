@@ -29,9 +29,12 @@ from pyspark.sql import types as T
 
 from ranksmith.session import ship_package
 
-from .common import WordCache, map_texts, per_worker
+from .common import WordCache, map_texts, per_worker, staged
 
-BUCKET_BITS = 12
+#: Bits of the fewest and of the most buckets.  In between, their number follows
+#: the corpus: one for ``PER_BUCKET`` to twice as many n-grams, repeats counted.
+BUCKET_BITS, MOST_BITS = 12, 22
+PER_BUCKET = 16
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents whose n-grams are, by the mean, less likely than this log ratio
 #: under the target are rejected.
@@ -41,7 +44,6 @@ PRIOR = 1.0
 SYMBOLS = b"#*$%&|<>"
 _TOKEN = regex.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
-_SHIFT = np.uint64(64 - BUCKET_BITS)
 
 
 def _token_hashes(word: bytes) -> bytes:
@@ -49,11 +51,18 @@ def _token_hashes(word: bytes) -> bytes:
     return b"".join(xxhash.xxh64_digest(t.encode()) for t in tokens)
 
 
-def buckets(words: list[bytes], cache) -> np.ndarray:
-    """Hash buckets of the text's n-grams."""
+def buckets(words: list[bytes], cache, bits: int = BUCKET_BITS) -> np.ndarray:
+    """Hash buckets of the text's n-grams: single tokens in the lower half,
+    pairs in the upper one.  Fewer bits join neighbouring buckets."""
     h = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u8")
     pairs = (h[:-1] * _MIX + h[1:]) * _MIX
-    return np.concatenate([h >> _SHIFT, pairs >> _SHIFT]).astype(np.int64)
+    shift, half = np.uint64(65 - bits), np.uint64(1 << bits - 1)
+    return np.concatenate([h >> shift, (pairs >> shift) + half]).astype(np.int64)
+
+
+def bits_for(grams: int) -> int:
+    """Bits of the number of buckets for so many n-grams."""
+    return min(max((grams // PER_BUCKET).bit_length() - 1, BUCKET_BITS), MOST_BITS)
 
 
 def _cache():
@@ -96,49 +105,58 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quali
 
 def fit(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """The log ratio of each bucket, from all of ``df`` and the trusted ids
-    (one column ``doc_id``).  Tasks add up their n-grams; ``2 ** BUCKET_BITS``
-    sums come to the driver, whatever the input."""
+    (one column ``doc_id``).  Tasks add up their n-grams in ``2 ** MOST_BITS``
+    buckets, whose sums are a table; at most as many ratios, of 8 bytes with
+    their bucket, come to the driver."""
     ship_package(df.sparkSession)
     given = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("t"))
     marked = (given.join(trusted.select(F.col("doc_id").alias("_rs_t")), F.col("doc_id") == F.col("_rs_t"), "left")
               .select("t", F.col("_rs_t").isNotNull().alias("good")))
 
     def run(batches):
-        cache, sums = _cache(), np.zeros((2, 1 << BUCKET_BITS), np.int64)
+        cache, sums = _cache(), np.zeros((2, 1 << MOST_BITS), np.int64)
         for batch in batches:
             for t, good in zip(batch.column(0), batch.column(1)):
-                counts = np.bincount(buckets((t.as_py() or b"").split(), cache), minlength=1 << BUCKET_BITS)
-                sums[0] += counts
+                at = buckets((t.as_py() or b"").split(), cache, MOST_BITS)
+                np.add.at(sums[0], at, 1)
                 if good.as_py():
-                    sums[1] += counts
-        at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[0][at]), pa.array(sums[1][at])],
-                                         names=["bucket", "raw", "good"])
-
-    got = (marked.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket")
-           .agg(F.sum("raw").alias("raw"), F.sum("good").alias("good")).collect())
-    raw, good = np.full(1 << BUCKET_BITS, PRIOR), np.full(1 << BUCKET_BITS, PRIOR)
-    for r in got:
-        raw[r.bucket] += r.raw
-        good[r.bucket] += r.good
-    if good.sum() == PRIOR * len(good):
-        return np.zeros(len(raw))
-    return np.log(good / good.sum()) - np.log(raw / raw.sum())
+                    np.add.at(sums[1], at, 1)
+        found = np.flatnonzero(sums[0])
+        for lo in range(0, len(found), 1 << 16):
+            at = found[lo:lo + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[0][at]), pa.array(sums[1][at])],
+                                             names=["bucket", "raw", "good"])
+
+    both = [F.sum("raw").alias("raw"), F.sum("good").alias("good")]
+    counts = staged(marked.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(*both), "quality")
+    total = counts.agg(*both).first()
+    bits = bits_for(total.raw or 0)
+    if not total.good:
+        return np.zeros(1 << bits, np.float32)
+    share = lambda n, of: F.log((n + PRIOR) / (of + PRIOR * (1 << bits)))
+    ratio = lambda good, raw: share(good, total.good) - share(raw, total.raw)
+    joined = counts.groupBy(F.shiftright("bucket", MOST_BITS - bits).cast("int").alias("bucket")).agg(*both)
+    got = joined.select("bucket", ratio(F.col("good"), F.col("raw")).cast("float").alias("ratio")).toArrow()
+    none = np.log(total.raw + PRIOR * (1 << bits)) - np.log(total.good + PRIOR * (1 << bits))
+    ratios = np.full(1 << bits, none, np.float32)
+    ratios[got["bucket"].to_numpy()] = got["ratio"].to_numpy()
+    return ratios
 
 
 def score(df: DataFrame, ratios: np.ndarray, doc_id: str = "doc_id", text: str = "text",
           threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of ``df``: doc_id, the base counts, base_failed, score
     (mean log ratio of the text's n-grams) and kept."""
-    model = df.sparkSession.sparkContext.broadcast(ratios)  # 2 ** BUCKET_BITS doubles
+    model = df.sparkSession.sparkContext.broadcast(ratios)  # at most 2 ** MOST_BITS floats
+    bits = len(ratios).bit_length() - 1
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def make_kernel():
         cache, ratio = _cache(), model.value
 
         def one(t: bytes) -> tuple:
-            at = buckets(t.split(), cache)
-            return *base_counts(t), float(ratio[at].mean()) if len(at) else 0.0
+            at = buckets(t.split(), cache, bits)
+            return *base_counts(t), float(ratio[at].mean(dtype=np.float64)) if len(at) else 0.0
 
         return lambda texts: [list(c) for c in zip(*(one(t or b"") for t in texts))]
 
