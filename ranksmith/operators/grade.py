@@ -17,7 +17,7 @@ from __future__ import annotations
 
 import math
 import time
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -28,24 +28,27 @@ from ..functions import text as X
 
 Model = Callable[[], Callable[[dict], str]]
 
+CONTEXT_WIDTHS = {"passage": X.CONTEXT_PASSAGE_WIDTH, "gold": X.CONTEXT_GOLD_WIDTH}
+
 # Names tried, in order, for the negative-passage column.
 NEGATIVE_COLUMNS = ["hard_negative", "negative", "neg_text", "negative_text", "hard_neg", "neg_passage"]
 
 
-def call_model(df: DataFrame, model: Model, inputs: Sequence[str], retries: int = 3,
+def call_model(df: DataFrame, model: Model, inputs: Sequence[str] | Mapping[str, str], retries: int = 3,
                retry_delay: float = 0.0, out: str = "reply") -> DataFrame:
     """Append ``out`` (reply), ``success`` and ``error`` by calling the model
-    once per row (up to ``retries`` attempts)."""
+    once per row (up to ``retries`` attempts).  ``inputs`` names the columns
+    the model gets, or maps its field names to columns."""
     schema = T.StructType(df.schema.fields + [
         T.StructField(out, T.StringType()), T.StructField("success", T.BooleanType()),
         T.StructField("error", T.StringType())])
-    cols = list(inputs)
+    fields = dict(inputs) if isinstance(inputs, Mapping) else {c: c for c in inputs}
 
     def run(it):
         call = model()
         for pdf in it:
             replies, oks, errs = [], [], []
-            for rec in pdf[cols].to_dict("records"):
+            for rec in pdf[list(fields.values())].set_axis(list(fields), axis=1).to_dict("records"):
                 reply, err = None, None
                 for attempt in range(max(1, retries)):
                     try:
@@ -64,21 +67,19 @@ def call_model(df: DataFrame, model: Model, inputs: Sequence[str], retries: int
 
 # --- offline stand-in models -------------------------------------------------------------
 
-def _toks(s, n=None) -> list[str]:
-    if s is None:
-        return []
-    return (s[:n] if n else s).lower().split()
+def _toks(s) -> list[str]:
+    return [] if s is None else s.lower().split()
 
 
 def overlap_grader() -> Callable[[dict], str]:
     """Hardness 0-100 = share of the negative's distinct tokens that occur in
-    query or gold (as truncated in the prompt).  Blank query -> failure."""
+    query or gold, as given.  Blank query -> failure."""
     def call(r: dict) -> str:
         q = r.get("query_text")
         if q is None or not q.strip():
             raise ValueError("empty query")
-        neg = set(_toks(r.get("hard_negative"), X.GRADE_WIDTHS["negative"]))
-        ctx = set(_toks(q, X.GRADE_WIDTHS["query"])) | set(_toks(r.get("gold_passage"), X.GRADE_WIDTHS["gold"]))
+        neg = set(_toks(r.get("hard_negative")))
+        ctx = set(_toks(q)) | set(_toks(r.get("gold_passage")))
         if not neg:
             return "no idea"
         return str(math.floor(100.0 * len(neg & ctx) / len(neg) + 0.5))
@@ -115,24 +116,35 @@ def context_scorer() -> Callable[[dict], str]:
     """Hardness 0-100 = share of the negative's distinct tokens occurring in
     the query or its retrieved contexts."""
     def call(r: dict) -> str:
-        neg = set(_toks(r.get("hard_negative"), X.CONTEXT_GOLD_WIDTH))
+        neg = set(_toks(r.get("hard_negative")))
         if not neg:
             return "50"
         ctx = set(_toks(r.get("query_text")))
         for c in (r.get("contexts") if r.get("contexts") is not None else []):
-            ctx |= set(_toks(c, X.CONTEXT_PASSAGE_WIDTH))
+            ctx |= set(_toks(c))
         return str(math.floor(100.0 * len(neg & ctx) / len(neg) + 0.5))
     return call
 
 
 # --- jobs --------------------------------------------------------------------------------
 
+def _cut(df: DataFrame, cuts: dict) -> tuple[DataFrame, dict[str, str]]:
+    """``df`` with the model's fields as further columns, and their names."""
+    return df.withColumns({f"_rs_{c}": v for c, v in cuts.items()}), {c: f"_rs_{c}" for c in cuts}
+
+
 def grade_negatives(df: DataFrame, model: Model = overlap_grader, retries: int = 3,
-                    extended: bool = False, keep_status: bool = False) -> DataFrame:
+                    extended: bool = False, keep_status: bool = False,
+                    widths: dict[str, int | None] | None = X.GRADE_WIDTHS) -> DataFrame:
     """Triplets -> classified triplets (``llm_classification`` HARD / EASY /
-    UNKNOWN, ``is_hard``, ``hardness_score``)."""
-    p = df.withColumn("prompt", X.grading_prompt("query_text", "gold_passage", "hard_negative"))
-    r = call_model(p, model, ["prompt", "query_text", "gold_passage", "hard_negative"], retries)
+    UNKNOWN, ``is_hard``, ``hardness_score``).  The prompt and the model's
+    fields have ``widths`` characters of each text (None: the whole text)."""
+    widths = widths or dict.fromkeys(X.GRADE_WIDTHS)
+    p = df.withColumn("prompt", X.grading_prompt("query_text", "gold_passage", "hard_negative", widths))
+    p, fields = _cut(p, {"query_text": X.truncate_text("query_text", widths["query"]),
+                         "gold_passage": X.truncate_text("gold_passage", widths["gold"]),
+                         "hard_negative": X.truncate_text("hard_negative", widths["negative"])})
+    r = call_model(p, model, {"prompt": "prompt", **fields}, retries)
     score = X.parse_hardness("reply", extended=extended)
     label, is_hard, hs = X.hardness_label(score, F.col("success"))
     out = r.withColumn("llm_classification", label).withColumn("is_hard", is_hard) \
@@ -142,12 +154,13 @@ def grade_negatives(df: DataFrame, model: Model = overlap_grader, retries: int =
 
 
 def grade_batch(df: DataFrame, order: Sequence, limit: int | None = None, on_error: str = "keep",
-                model: Model = overlap_grader, retries: int = 3) -> tuple[DataFrame, DataFrame]:
+                model: Model = overlap_grader, retries: int = 3,
+                widths: dict[str, int | None] | None = X.GRADE_WIDTHS) -> tuple[DataFrame, DataFrame]:
     """Grade the first ``limit`` rows (explicit order) or all; failed rows
     are kept as UNKNOWN (``keep``) or dropped (``drop``).  Returns
     ``(graded, errors)``; ``errors`` holds the failed rows with messages."""
     src = df.orderBy(*order).limit(limit) if limit is not None else df
-    g = grade_negatives(src, model, retries, keep_status=True)
+    g = grade_negatives(src, model, retries, keep_status=True, widths=widths)
     errors = g.filter(~F.col("success"))
     if on_error == "drop":
         g = g.filter(F.col("success"))
@@ -233,11 +246,19 @@ def assemble_final(hard: DataFrame, generated: DataFrame, keep_extra: bool = Fal
     return hard.select(*cols).unionByName(generated.select(*cols))
 
 
-def score_with_context(df: DataFrame, model: Model = context_scorer) -> DataFrame:
+def score_with_context(df: DataFrame, model: Model = context_scorer,
+                       widths: dict[str, int | None] | None = CONTEXT_WIDTHS) -> DataFrame:
     """Rows with a ``contexts`` array -> ``rag_score`` from the context
-    prompt (number reply, else 0.5; failed call 0.5)."""
-    p = df.withColumn("prompt", X.context_prompt("query_text", "gold_passage", "hard_negative", "contexts"))
-    r = call_model(p, model, ["prompt", "query_text", "gold_passage", "hard_negative", "contexts"])
+    prompt (number reply, else 0.5; failed call 0.5).  The prompt and the
+    model's fields have ``widths`` characters of each text (None: the whole
+    text); the query is always whole."""
+    widths = widths or dict.fromkeys(CONTEXT_WIDTHS)
+    p = df.withColumn("prompt", X.context_prompt("query_text", "gold_passage", "hard_negative", "contexts",
+                                                 widths["passage"], widths["gold"]))
+    p, fields = _cut(p, {"gold_passage": X.truncate_text("gold_passage", widths["gold"]),
+                         "hard_negative": X.truncate_text("hard_negative", widths["gold"]),
+                         "contexts": F.transform("contexts", lambda c: X.truncate_text(c, widths["passage"]))})
+    r = call_model(p, model, {"prompt": "prompt", "query_text": "query_text", **fields})
     return r.select(*df.columns, F.when(F.col("success"), X.parse_score_strict("reply"))
                     .otherwise(F.lit(0.5)).alias("rag_score"))
 

@@ -9,7 +9,7 @@ from ..functions.text import NUMBER
 from ..operators import bm25, clean, dense, grade, relate
 from ..sources import testdata as td
 from .clean_queries import _CLEAN_SQL
-from .registry import query, r6
+from .registry import ORACLE, query, r6
 from .relate_queries import _cleaned_dirty
 from .relations_sql import dense_context_sql, strip_sql, tok_sql, with_rel
 from .text_queries import hardness_sql, upper_strip_sql
@@ -248,3 +248,57 @@ def q_class_counts(spark, sf_dir):
     c = class_counts(grade.grade_negatives(td.scored(spark, sf_dir), grade.overlap_grader))
     return c.select("llm_classification", "count", r6(F.col("mean_score")).alias("mean_score"),
                     r6(F.col("pct")).alias("pct"))
+
+
+# --- the same over whole texts -----------------------------------------------------------
+
+_WHOLE_GRADE_REPLY = _overlap_reply(tok_sql("hard_negative"),
+                                    f"list_concat({tok_sql('query_text')}, {tok_sql('gold_passage')})", "no idea")
+_WHOLE_CTX_REPLY = _overlap_reply(tok_sql("hard_negative"),
+                                  f"list_concat({tok_sql('query_text')}, flatten(list_transform(ctxs, lambda c: "
+                                  f"{tok_sql('c')})))", "50")
+
+
+def _whole_sql(name: str) -> str:
+    return ORACLE[name].replace(_GRADE_REPLY, _WHOLE_GRADE_REPLY).replace(_CTX_REPLY, _WHOLE_CTX_REPLY)
+
+
+def _graded_whole(df):
+    return grade.grade_negatives(df, grade.overlap_grader, widths=None)
+
+
+@query("grade_negatives_whole", _whole_sql("grade_negatives"))
+def q_grade_negatives_whole(spark, sf_dir):
+    return _graded_out(_graded_whole(td.scored(spark, sf_dir)))
+
+
+@query("grade_batch_whole", _whole_sql("grade_batch"))
+def q_grade_batch_whole(spark, sf_dir):
+    g, _ = grade.grade_batch(td.scored(spark, sf_dir), _ORDER, model=grade.overlap_grader, widths=None)
+    return g.select("lang", F.md5("query_text").alias("query_md5"), F.md5("hard_negative").alias("neg_md5"),
+                    "llm_classification", r6(F.col("hardness_score")).alias("hardness_score"), "success", "error")
+
+
+@query("score_with_context_whole", _whole_sql("score_with_context"))
+def q_score_with_context_whole(spark, sf_dir):
+    cleaned = _cleaned_dirty(spark, sf_dir)
+    top = dense.nearest_texts(cleaned, bm25.build_corpus(cleaned), dense.hashed_bow_encoder(64), k=3)
+    j = relate.attach_context(cleaned, top, "query_text", k=3)
+    s = grade.score_with_context(j, grade.context_scorer, widths=None)
+    return s.select("lang", F.md5("query_text").alias("query_md5"), F.md5("hard_negative").alias("neg_md5"),
+                    r6(F.col("rag_score")).alias("rag_score"))
+
+
+@query("score_dedup_by_key_whole", _whole_sql("score_dedup_by_key"))
+def q_score_dedup_by_key_whole(spark, sf_dir):
+    d = grade.score_dedup_by_key(td.scored(spark, sf_dir),
+                                 lambda reps: _graded_whole(reps).withColumnRenamed("hardness_score", "rag_score"))
+    return d.select("lang", "cache_key", "key_rows", r6(F.col("rag_score")).alias("rag_score"))
+
+
+@query("class_counts_whole", _whole_sql("class_counts"))
+def q_class_counts_whole(spark, sf_dir):
+    from ..operators.profile import class_counts
+    c = class_counts(_graded_whole(td.scored(spark, sf_dir)))
+    return c.select("llm_classification", "count", r6(F.col("mean_score")).alias("mean_score"),
+                    r6(F.col("pct")).alias("pct"))
