@@ -8,7 +8,8 @@ rendered.
 
 The rolling hash is the exclusive or of a 128-bit hash of every turn with its
 position, so blocks of a long conversation are hashed apart and put together;
-rendering yields one row for each block of ``BLOCK_TURNS`` turn numbers.
+rendering yields one row for each block: ``BLOCK_TURNS`` turn numbers, or
+fewer where they have over twice as many rows.
 
 Defined results: null conversation ids are one conversation; a null role or
 text is rendered as empty but told from an empty one by the hash; turns are
@@ -37,21 +38,39 @@ def _half(digest: Column, start: int) -> Column:
 
 
 def turns(df: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, turn, role, text, m, block).  Rows without a turn number are
-    dealt to blocks by their hash, which is also their order."""
+    """(conv, turn, role, text, m, block).  A block of over twice
+    ``BLOCK_TURNS`` rows is cut by ranges of turn numbers, by turn number, by
+    hash, and equal turns are dealt out; at most one row for that many rows
+    is broadcast.  Blocks in order hold the turns in order."""
     t = df.select(F.col(f"`{conv}`").alias("conv"), F.col(f"`{turn}`").cast("long").alias("turn"),
                   F.col(f"`{role}`").cast("string").alias("role"), F.col(f"`{text}`").cast("string").alias("text"))
     t = t.withColumn("m", _md5(F.col("role").alias("r"), F.col("text").alias("t")))
-    lost = F.conv(F.substring("m", 1, 2), 16, 10).cast("long")
-    numbered = F.floor(F.col("turn") / BLOCK_TURNS)
-    return t.withColumn("block", F.when(F.col("turn").isNull(), F.struct(F.lit(0).alias("a"), lost.alias("b")))
-                        .otherwise(F.struct(F.lit(1).alias("a"), numbered.alias("b"))))
+    zero, size = F.lit(0).cast("long"), F.lit(BLOCK_TURNS).cast("long")
+    t = t.select("*", F.col("turn").isNotNull().alias("a"), F.coalesce(F.floor(F.col("turn") / BLOCK_TURNS), zero).alias("b"),
+                 *[zero.alias(c) for c in ("range", "number", "bits")], F.lit("").alias("same"), zero.alias("nth"),
+                 F.lit(True).alias("large"))
+    parts = F.ceil(F.col("held") / BLOCK_TURNS)
+    first = F.conv(F.substring("m", 1, 8), 16, 10).cast("long")  # 32 bits
+    levels = {"range": F.coalesce(F.floor(F.pmod("turn", size) * F.least(parts, size) / BLOCK_TURNS), zero),
+              "number": F.coalesce("turn", zero), "bits": F.shiftright(first * F.least(parts, F.lit(1 << 30).cast("long")), 32),
+              "same": F.col("m"), "nth": F.pmod(F.monotonically_increasing_id(), parts)}
+    block = ["a", "b", *levels]
+    for name, finer in levels.items():
+        keyed = t.withColumn("key", F.xxhash64("conv", *block))
+        large = staged(keyed.where("large").groupBy("key").agg(F.count(F.lit(1)).alias("held"))
+                       .where(F.col("held") > 2 * BLOCK_TURNS), "large-blocks")
+        if large.isEmpty():
+            break
+        over = F.col("held").isNotNull()
+        t = (keyed.join(F.broadcast(large), "key", "left")
+             .withColumns({name: F.when(over, finer).otherwise(F.col(name)), "large": over}).drop("key", "held"))
+    return t.select("conv", "turn", "role", "text", "m", F.struct(*block).alias("block"))
 
 
 def prefixes(df: DataFrame, **names) -> DataFrame:
     """(conv, pos, n, p1, p2): for each turn the hash of the turns up to it;
     pos counts from 1, n is the conversation's number of turns."""
-    t = turns(df, **names).select("conv", "turn", "m", "block")
+    t = staged(turns(df, **names).select("conv", "turn", "m", "block"), "blocks")  # equal turns are dealt once
     own, inner = Window.partitionBy("conv", "block"), Window.partitionBy("conv").orderBy("block")
     ranked = t.withColumn("rank", F.row_number().over(own.orderBy(F.col("turn").asc_nulls_first(), "m")))
     sizes = t.groupBy("conv", "block").agg(F.count(F.lit(1)).alias("held"))
