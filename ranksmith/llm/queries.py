@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ranksmith.session import shared_dir
 
-from . import (bpe, centroids, chat, exact_dedup, langid, lexical, mixing, quality, sharding, simhash, token_counts,
+from . import (bpe, centroids, chat, exact_dedup, langid, lexical, main_text, mixing, quality, sharding, simhash, token_counts,
                toxicity)
 from .common import read
 
@@ -140,6 +140,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score")
 
 
+@_query("op11_main_text")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text.main_texts(read(spark, sf_dir, "pages"))
+
+
 @_query("op12_ranked_search", r"""
 WITH words AS (
   SELECT rowid AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
