@@ -85,8 +85,8 @@ class ByteBPE:
         self.added_pattern = (regex.compile("(" + "|".join(
             regex.escape(s) for s in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None)
         self.pre_token, self.double_space = regex.compile(PRE_TOKEN), regex.compile(r"\s\s")
-        self.pieces = WordCache(self.merge, 250_000)
-        self.segments = WordCache(self._segment, 400_000)
+        self.pieces = WordCache(self.merge)
+        self.segments = WordCache(self._segment, 40 << 20)
 
     def merge(self, piece: str) -> bytes:
         """Ids of one pre-token, packed as little-endian unsigned 32-bit integers."""

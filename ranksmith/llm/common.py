@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,12 +134,15 @@ _ARROW = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.DoubleType: pa.fl
 class WordCache(dict):
     """word -> packed value, filled by ``make`` on a miss.
 
-    Holds at most ``2 * limit`` words: when ``limit`` new words have come in,
+    Holds about ``2 * held`` bytes: when words of ``held`` bytes have come in,
     the older half is let go, except for words asked for again meanwhile."""
 
-    def __init__(self, make: Callable[[bytes], bytes], limit: int = 300_000):
+    #: Bytes that an entry takes beside its word and value.
+    ENTRY = 100
+
+    def __init__(self, make: Callable[[bytes], bytes], held: int = 20 << 20):
         super().__init__()
-        self.make, self.limit, self.old = make, limit, {}
+        self.make, self.held, self.now, self.old = make, held, 0, {}
 
     def __missing__(self, word):
         got = self.old.get(word)
@@ -149,16 +153,29 @@ class WordCache(dict):
 
     def _take(self, word, got) -> None:
         if len(word) <= 64:
-            if len(self) >= self.limit:
-                self.old = dict(self)
+            if self.now >= self.held:
+                self.old, self.now = dict(self), 0
                 self.clear()
+            self.now += self.ENTRY + getsizeof(word) + getsizeof(got)
             self[word] = got
 
-    def fill(self, words: set, make_all: Callable[[list], list]) -> None:
-        """Take in the values of those words that are new, made together."""
-        new = [w for w in words if w not in self and w not in self.old]
-        for word, got in zip(new, make_all(new) if new else []):
-            self._take(word, got)
+    def of(self, words: set, make_all: Callable[[list], list]) -> dict:
+        """The values of these words; those that are new are made together,
+        whatever the cache can hold of them."""
+        found, new = {}, []
+        for w in words:
+            got = self.get(w)
+            if got is None:
+                got = self.old.get(w)
+                if got is None:
+                    new.append(w)
+                    continue
+                self._take(w, got)
+            found[w] = got
+        for w, got in zip(new, make_all(new) if new else []):
+            self._take(w, got)
+            found[w] = got
+        return found
 
 
 _KEPT: dict = {}

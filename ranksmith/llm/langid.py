@@ -44,6 +44,8 @@ SMOOTHING = 0.01
 MARK = "▁"
 NO_LANGUAGE = "und"
 _LETTERS = regex.compile(r"\p{L}+")
+#: Letter runs longer than this are summed up piecemeal, and learnt from in pieces.
+LONG = 1 << 13
 #: Sums below this are scaled up.
 SMALL = 1e-100
 
@@ -63,37 +65,48 @@ def pieces_of(path: str) -> frozenset[str]:
 
 
 class Trie:
-    """The vocabulary's pieces, numbered; a node maps characters to nodes and
-    the empty string to the number of the piece that ends there."""
+    """The vocabulary's pieces, numbered, as flat arrays: ``keys`` holds each
+    step's node and character, ascending, ``child`` the node that it leads to,
+    ``ends`` the number of the piece that ends at a node, or -1."""
 
     def __init__(self, pieces: list[str]):
-        self.size, self.longest, self.root = len(pieces), max(map(len, pieces), default=1), {}
+        self.size, self.longest = len(pieces), max(map(len, pieces), default=1)
+        steps: dict[int, int] = {}
+        ends = {}
         for i, piece in enumerate(pieces):
-            node = self.root
+            node = 0
             for c in piece:
-                node = node.setdefault(c, {})
-            node[""] = i
+                node = steps.setdefault(node << 21 | ord(c), len(steps) + 1)
+            ends[node] = i
+        keys = np.fromiter(steps, np.int64, len(steps))
+        order = keys.argsort()
+        self.keys, self.child = keys[order], np.fromiter(steps.values(), np.int64, len(steps))[order]
+        self.ends = np.full(len(steps) + 1, -1, np.int32)
+        self.ends[list(ends)] = list(ends.values())
 
     def lattice(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Lengths, and at [word, stop, length] the piece there: ``size`` for
-        an unknown character, ``size + 1`` where there is none."""
+        an unknown character, ``size + 1`` where there is none.  All starts
+        walk down together until no piece goes on."""
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         width, deep = int(lengths.max()) + 1, self.longest + 1
-        found, at = [], []
-        for w, word in enumerate(words):
-            base = w * width
-            for start in range(len(word)):
-                node, k = self.root, (base + start) * deep
-                for c in word[start:start + self.longest]:
-                    node = node.get(c)
-                    if node is None:
-                        break
-                    k += deep + 1
-                    if "" in node:
-                        at.append(k)
-                        found.append(node[""])
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+        word = np.repeat(np.arange(len(words)), lengths)
+        begin = np.cumsum(lengths) - lengths
+        at = np.arange(len(codes))
+        left = (begin + lengths)[word] - at
+        cell = (word * width + at - begin[word]) * deep
         grid = np.full((len(words), width, deep), self.size + 1, np.int32)
-        grid.ravel()[at] = found
+        flat, node = grid.ravel(), np.zeros(len(codes), np.int64)
+        for k in range(1, self.longest + 1):
+            keys = node << 21 | codes[at + k - 1]
+            step = np.minimum(self.keys.searchsorted(keys), max(len(self.keys) - 1, 0))
+            on = self.keys[step] == keys if len(self.keys) else np.zeros(len(keys), bool)
+            at, left, cell, node = at[on], left[on], cell[on] + deep + 1, self.child[step[on]]
+            piece = self.ends[node]
+            flat[cell[piece >= 0]] = piece[piece >= 0]
+            on = left > k
+            at, left, cell, node = at[on], left[on], cell[on], node[on]
         ones = grid[:, 1:, 1]
         real = np.arange(1, width) <= lengths[:, None]
         ones[real & (ones > self.size)] = self.size
@@ -134,6 +147,28 @@ def forward_logs(lengths: np.ndarray, grid: np.ndarray, probs: np.ndarray) -> np
     return out
 
 
+def long_logs(trie: Trie, word: str, probs: np.ndarray, chunk: int = 1 << 12) -> np.ndarray:
+    """``forward_logs`` of one word of any length: only the sums that a piece
+    can still start from, and the lattice of ``chunk`` letters, are held."""
+    deep = trie.longest
+    sums, scale = np.ones((1, probs.shape[1])), np.zeros(probs.shape[1])
+    for lo in range(0, len(word), chunk):
+        known = len(sums) - 1  # letters before ``lo`` whose sums are held
+        _, grid = trie.lattice([word[lo - known:lo + chunk]])
+        width = grid.shape[1]
+        sums = np.concatenate([sums, np.zeros((width - known - 1, probs.shape[1]))])
+        for stop in range(known + 1, width):
+            reach = min(stop, deep)
+            pieces = grid[0, stop, 1:reach + 1]
+            sums[stop] = (probs[pieces] * sums[stop - reach:stop][::-1]).sum(axis=0)
+            if (sums[stop] < SMALL).any():
+                factor = np.where(sums[stop] < SMALL, 1 / SMALL, 1.0)
+                sums[max(0, stop - deep):stop + 1] *= factor
+                scale -= np.log(factor)
+        sums = sums[-deep:]
+    return np.log(sums[-1]) + scale
+
+
 def expected_uses(lengths: np.ndarray, grid: np.ndarray, probs: np.ndarray, times: np.ndarray) -> np.ndarray:
     """[piece]: expected number of uses in the words' segmentations under one
     language's ``probs``, each word counted ``times``.  Forward sums are kept
@@ -175,25 +210,31 @@ class Model:
         """A copy with what prediction looks up."""
         out = Model(self.languages, self.pieces, self.probs)
         out.trie = Trie(self.pieces)
-        out.cache = WordCache(lambda token: out._entries([token])[0])
+        out.cache, out.words = WordCache(None), WordCache(None)
         return out
 
     def word_logs(self, words: list[str]) -> dict[str, np.ndarray]:
         """Each word's log probabilities, by language."""
-        out = {}
-        for some in batches_of(words):
+        out = {w: long_logs(self.trie, MARK + w, self.probs) for w in words if len(w) > LONG}
+        for some in batches_of([w for w in words if len(w) <= LONG]):
             out.update(zip(some, forward_logs(*self.trie.lattice([MARK + w for w in some]), self.probs)))
         return out
 
+    def _word_entries(self, words: list[str]) -> list[bytes]:
+        logs = self.word_logs(words)
+        return [logs[w].tobytes() for w in words]
+
     def _entries(self, tokens: list[bytes]) -> list[bytes]:
+        """A token's log probabilities: those of its words, which other tokens
+        have as well, added up."""
         words = [letters(t) for t in tokens]
-        logs = self.word_logs(list({w for ws in words for w in ws}))
-        return [np.sum([logs[w] for w in ws], axis=0).tobytes() if len(ws) > 1 else logs[ws[0]].tobytes() if ws else b"" for ws in words]
+        look = self.words.of({w for ws in words for w in ws}, self._word_entries).__getitem__
+        return [look(ws[0]) if len(ws) == 1 else np.sum([np.frombuffer(look(w)) for w in ws], axis=0).tobytes() if ws else b"" for ws in words]
 
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
         split = [t.split() for t in texts]
-        self.cache.fill({t for ts in split for t in ts}, self._entries)
-        return [self._best(b"".join(map(self.cache.__getitem__, ts))) for ts in split]
+        entry = self.cache.of({t for ts in split for t in ts}, self._entries).__getitem__
+        return [self._best(b"".join(map(entry, ts))) for ts in split]
 
     def _best(self, packed: bytes) -> tuple[str, float]:
         if not packed:
@@ -241,7 +282,8 @@ def fit(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text", la
             for g, n_tokens in found.items():
                 for token, n in n_tokens.items():
                     for w in letters(token):
-                        words[g, w] += n
+                        for lo in range(0, len(w), LONG):
+                            words[g, w[lo:lo + LONG]] += n
             yield pa.RecordBatch.from_arrays([pa.array([g for g, _ in words], pa.string()), pa.array([w for _, w in words], pa.string()),
                                               pa.array(list(words.values()), pa.int64())], names=["lang", "word", "n"])
 

@@ -91,7 +91,7 @@ class Model:
     def ready(self) -> Model:
         """A copy with a word cache."""
         out = Model(self.weights, self.bias)
-        out.cache = WordCache(out._entry, 100_000)
+        out.cache = WordCache(out._entry)
         return out
 
     def _entry(self, token: bytes) -> bytes:
@@ -149,7 +149,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     totals = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}  # two rows
 
     def count(batches):
-        found, cache = Counter(), WordCache(features_of, 50_000)
+        found, cache = Counter(), WordCache(features_of)
 
         def counts():
             return pa.RecordBatch.from_arrays(
@@ -184,7 +184,7 @@ def fit(df: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "t
     share = {1: totals[1] / docs.bad, 0: totals[0] / docs.good}
 
     def features(batches):
-        cache = WordCache(lambda token: [index[w] for w in features_of(token) if w in index], 50_000)
+        cache = WordCache(lambda token: [index[w] for w in features_of(token) if w in index])
         for batch in batches:
             made = [[], [], [], [], []]
             for i, t, y in zip(*(batch.column(c) for c in range(3))):
