@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from sys import getsizeof
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -137,8 +136,8 @@ class WordCache(dict):
     Holds about ``2 * held`` bytes: when words of ``held`` bytes have come in,
     the older half is let go, except for words asked for again meanwhile."""
 
-    #: Bytes that an entry takes beside its word and value.
-    ENTRY = 100
+    #: Bytes that an entry takes beside the content of its word and value.
+    ENTRY = 180
 
     def __init__(self, make: Callable[[bytes], bytes], held: int = 20 << 20):
         super().__init__()
@@ -156,27 +155,9 @@ class WordCache(dict):
             if self.now >= self.held:
                 self.old, self.now = dict(self), 0
                 self.clear()
-            self.now += self.ENTRY + getsizeof(word) + getsizeof(got)
+            self.now += self.ENTRY + len(word) + len(got)
             self[word] = got
 
-    def of(self, words: set, make_all: Callable[[list], list]) -> dict:
-        """The values of these words; those that are new are made together,
-        whatever the cache can hold of them."""
-        found, new = {}, []
-        for w in words:
-            got = self.get(w)
-            if got is None:
-                got = self.old.get(w)
-                if got is None:
-                    new.append(w)
-                    continue
-                self._take(w, got)
-            found[w] = got
-        for w, got in zip(new, make_all(new) if new else []):
-            self._take(w, got)
-            found[w] = got
-        return found
-
 
 _KEPT: dict = {}
 

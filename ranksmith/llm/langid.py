@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from ranksmith.session import ship_package
 
-from .common import WordCache, map_texts, per_worker, staged, text_or_empty
+from .common import map_texts, per_worker, staged, text_or_empty
 
 #: Labelled rows of each language that the fit reads, about.
 SAMPLE_ROWS = 1000
@@ -51,7 +51,8 @@ SMALL = 1e-100
 
 
 def letters(token: bytes) -> list[str]:
-    return _LETTERS.findall(token.decode("utf-8", "replace").lower())
+    word = token.decode("utf-8", "replace").lower()
+    return [word] if word.isalpha() else _LETTERS.findall(word)
 
 
 def pieces_of(path: str) -> frozenset[str]:
@@ -210,36 +211,37 @@ class Model:
         """A copy with what prediction looks up."""
         out = Model(self.languages, self.pieces, self.probs)
         out.trie = Trie(self.pieces)
-        out.cache, out.words = WordCache(None), WordCache(None)
         return out
 
-    def word_logs(self, words: list[str]) -> dict[str, np.ndarray]:
-        """Each word's log probabilities, by language."""
-        out = {w: long_logs(self.trie, MARK + w, self.probs) for w in words if len(w) > LONG}
+    def word_logs(self, words: list[str]) -> np.ndarray:
+        """[word, language]: log probabilities."""
+        out, place = np.empty((len(words), len(self.languages))), {w: i for i, w in enumerate(words)}
+        for w in words:
+            if len(w) > LONG:
+                out[place[w]] = long_logs(self.trie, MARK + w, self.probs)
         for some in batches_of([w for w in words if len(w) <= LONG]):
-            out.update(zip(some, forward_logs(*self.trie.lattice([MARK + w for w in some]), self.probs)))
+            out[[place[w] for w in some]] = forward_logs(*self.trie.lattice([MARK + w for w in some]), self.probs)
         return out
 
-    def _word_entries(self, words: list[str]) -> list[bytes]:
-        logs = self.word_logs(words)
-        return [logs[w].tobytes() for w in words]
-
-    def _entries(self, tokens: list[bytes]) -> list[bytes]:
-        """A token's log probabilities: those of its words, which other tokens
-        have as well, added up."""
-        words = [letters(t) for t in tokens]
-        look = self.words.of({w for ws in words for w in ws}, self._word_entries).__getitem__
-        return [look(ws[0]) if len(ws) == 1 else np.sum([np.frombuffer(look(w)) for w in ws], axis=0).tobytes() if ws else b"" for ws in words]
-
     def predict(self, texts: list[bytes]) -> list[tuple[str, float]]:
+        """Every distinct word of the texts is summed up once: most are rare,
+        so that nothing is kept for later texts."""
         split = [t.split() for t in texts]
-        entry = self.cache.of({t for ts in split for t in ts}, self._entries).__getitem__
-        return [self._best(b"".join(map(entry, ts))) for ts in split]
-
-    def _best(self, packed: bytes) -> tuple[str, float]:
-        if not packed:
+        tokens = list({t for ts in split for t in ts})
+        words = [letters(t) for t in tokens]
+        n_words = np.fromiter(map(len, words), np.int64, len(words))
+        distinct = list({w for ws in words for w in ws})
+        place = dict(zip(distinct, range(len(distinct))))
+        logs = self.word_logs(distinct)[np.fromiter((place[w] for ws in words for w in ws), np.int64, n_words.sum())]
+        entries, first = np.zeros((len(tokens), len(self.languages))), (np.cumsum(n_words) - n_words)[n_words > 0]
+        entries[n_words > 0] = np.add.reduceat(logs, first) if len(first) else 0.0
+        index = dict(zip(tokens, range(len(tokens)))).__getitem__
+        return [self._best(np.fromiter(map(index, ts), np.int64, len(ts)), entries, n_words) for ts in split]
+
+    def _best(self, at: np.ndarray, entries: np.ndarray, n_words: np.ndarray) -> tuple[str, float]:
+        if not n_words[at].any():
             return NO_LANGUAGE, 0.0
-        logs = np.frombuffer(packed, "<f8").reshape(-1, len(self.languages)).sum(axis=0)
+        logs = entries[at].sum(axis=0)
         best = int(logs.argmax())
         return self.languages[best], float(1 / np.exp(logs - logs[best]).sum())
 

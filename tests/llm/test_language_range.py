@@ -49,3 +49,28 @@ def test_odd_run_leaves_languages_alone(spark, n):
     assert np.isfinite(model.probs).all()
     got = model.ready().predict([f"{ENGLISH} {run}".encode(), f"{GERMAN} {run}".encode()])
     assert [g for g, _ in got] == ["en", "de"] and all(0.99 < s <= 1 for _, s in got)
+
+
+def test_lattice_by_substrings():
+    rng = np.random.default_rng(1)
+    pieces = sorted({"".join(rng.choice(list("abcé"), rng.integers(1, 5))) for _ in range(60)})
+    trie = langid.Trie(pieces)
+    words = ["".join(rng.choice(list("abcéz"), rng.integers(1, 40))) for _ in range(100)]
+    lengths, grid = trie.lattice(words)
+    assert lengths.tolist() == [len(w) for w in words]
+    for w, word in enumerate(words):
+        for stop in range(1, len(word) + 1):
+            for k in range(1, trie.longest + 1):
+                known = k <= stop and word[stop - k:stop] in pieces
+                want = pieces.index(word[stop - k:stop]) if known else len(pieces) + (k > 1)
+                assert grid[w, stop, k] == want
+
+
+def test_long_runs_piecemeal():
+    rng = np.random.default_rng(2)
+    pieces = sorted({"".join(rng.choice(list("abc"), rng.integers(1, 6))) for _ in range(80)})
+    trie, probs = langid.Trie(pieces), rng.random((len(pieces) + 2, 3))
+    probs[-2], probs[-1] = 1e-7, 0.0
+    for word in ["abc" * 50 + "zz" + "ca" * 40, "a", "z" * 300]:
+        whole = langid.forward_logs(*trie.lattice([word]), probs)[0]
+        assert langid.long_logs(trie, word, probs, chunk=7) == pytest.approx(whole)
