@@ -35,6 +35,10 @@ from .common import WordCache, map_texts, per_worker, staged
 #: the corpus: one for ``PER_BUCKET`` to twice as many n-grams, repeats counted.
 BUCKET_BITS, MOST_BITS = 12, 22
 PER_BUCKET = 16
+#: Buckets in a packed block.
+BLOCK = 1 << 12
+#: Trusted ids up to which they are broadcast.
+BROADCAST_IDS = 1 << 21
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 #: Documents whose n-grams are, by the mean, less likely than this log ratio
 #: under the target are rejected.
@@ -66,7 +70,7 @@ def bits_for(grams: int) -> int:
 
 
 def _cache():
-    return per_worker("words", "quality", lambda: WordCache(_token_hashes))
+    return per_worker("words", "quality", lambda: WordCache(_token_hashes, 32 << 20))
 
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
@@ -103,44 +107,94 @@ def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quali
             .agg(F.min(F.coalesce(F.col(quality).cast("int"), F.lit(0))).alias("good")).where("good = 1").select("doc_id"))
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counts, not negative, in the narrowest type that holds them."""
+    return counts.astype(np.min_scalar_type(int(counts.max(initial=0)))).tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, f"<u{len(data) // BLOCK}").astype(np.int64)
+
+
 def fit(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "text") -> np.ndarray:
     """The log ratio of each bucket, from all of ``df`` and the trusted ids
     (one column ``doc_id``).  Tasks add up their n-grams in ``2 ** MOST_BITS``
-    buckets, whose sums are a table; at most as many ratios, of 8 bytes with
-    their bucket, come to the driver."""
-    ship_package(df.sparkSession)
+    buckets and hand them on in packed blocks, one row for ``BLOCK`` buckets;
+    the blocks' sums are a table, and at most so many ratios of 4 bytes come to
+    the driver.  Texts stay where they are: the trusted ids are broadcast up to
+    ``BROADCAST_IDS``, and only beyond that joined by a shuffle."""
+    spark = df.sparkSession
+    ship_package(spark)
+    ids = staged(trusted.select(F.col("doc_id").alias("_rs_t")), "trusted")
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     given = df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("t"))
-    marked = (given.join(trusted.select(F.col("doc_id").alias("_rs_t")), F.col("doc_id") == F.col("_rs_t"), "left")
+    marked = (given.join(ids, F.col("doc_id") == F.col("_rs_t"), "left")
               .select("t", F.col("_rs_t").isNotNull().alias("good")))
+    blocks = (1 << MOST_BITS) // BLOCK
 
     def run(batches):
-        cache, sums = _cache(), np.zeros((2, 1 << MOST_BITS), np.int64)
+        cache, sums = _cache(), np.zeros((2, 1 << MOST_BITS), np.uint32)
+        held, most = 0, 1 << 31
+
+        def packed():
+            rows = sums.reshape(2, blocks, BLOCK)
+            used = np.flatnonzero(rows[0].any(axis=1))
+            yield from (pa.RecordBatch.from_arrays(
+                [pa.array([b], pa.int32()), pa.array([_packed(rows[0, b])], pa.binary()), pa.array([_packed(rows[1, b])], pa.binary())],
+                names=["block", "raw", "good"]) for b in used.tolist())
+
         for batch in batches:
             for t, good in zip(batch.column(0), batch.column(1)):
                 at = buckets((t.as_py() or b"").split(), cache, MOST_BITS)
+                if held + len(at) >= most:  # no count gets beyond its type
+                    yield from packed()
+                    sums[:], held = 0, 0
+                held += len(at)
                 np.add.at(sums[0], at, 1)
                 if good.as_py():
                     np.add.at(sums[1], at, 1)
-        found = np.flatnonzero(sums[0])
-        for lo in range(0, len(found), 1 << 16):
-            at = found[lo:lo + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(sums[0][at]), pa.array(sums[1][at])],
-                                             names=["bucket", "raw", "good"])
-
-    both = [F.sum("raw").alias("raw"), F.sum("good").alias("good")]
-    counts = staged(marked.mapInArrow(run, "bucket long, raw long, good long").groupBy("bucket").agg(*both), "quality")
-    total = counts.agg(*both).first()
+        yield from packed()
+
+    def add(batches):
+        """Sums of the blocks of a partition: at most all blocks, 64 MB."""
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, raw, good in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2)):
+                if block not in sums:
+                    sums[block] = np.zeros((2, BLOCK), np.int64)
+                sums[block][0] += _unpacked(raw.as_py())
+                sums[block][1] += _unpacked(good.as_py())
+        for block, both in sums.items():
+            totals = both.sum(axis=1).tolist()
+            yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in both),
+                                              *(pa.array([n], pa.int64()) for n in totals)], names=["block", "raw", "good", "n_raw", "n_good"])
+
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    counts = staged(marked.mapInArrow(run, "block int, raw binary, good binary").repartition(tasks, "block")
+                    .mapInArrow(add, "block int, raw binary, good binary, n_raw long, n_good long"), "quality")
+    total = counts.agg(F.sum("n_raw").alias("raw"), F.sum("n_good").alias("good")).first()
     bits = bits_for(total.raw or 0)
     if not total.good:
         return np.zeros(1 << bits, np.float32)
-    share = lambda n, of: F.log((n + PRIOR) / (of + PRIOR * (1 << bits)))
-    ratio = lambda good, raw: share(good, total.good) - share(raw, total.raw)
-    joined = counts.groupBy(F.shiftright("bucket", MOST_BITS - bits).cast("int").alias("bucket")).agg(*both)
-    got = joined.select("bucket", ratio(F.col("good"), F.col("raw")).cast("float").alias("ratio")).toArrow()
-    none = np.log(total.raw + PRIOR * (1 << bits)) - np.log(total.good + PRIOR * (1 << bits))
-    ratios = np.full(1 << bits, none, np.float32)
-    ratios[got["bucket"].to_numpy()] = got["ratio"].to_numpy()
-    return ratios
+    n_raw, n_good, fold = total.raw, total.good, 1 << MOST_BITS - bits
+
+    def ratio(batches):
+        for batch in batches:
+            made = []
+            for raw, good in zip(batch.column(1), batch.column(2)):
+                raw, good = (np.frombuffer(c.as_py(), "<i8").reshape(-1, fold).sum(axis=1) for c in (raw, good))
+                made.append(_log_ratio(raw, good, n_raw, n_good, bits).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["block", "ratio"])
+
+    ratios = np.full((blocks, BLOCK // fold), _log_ratio(0, 0, n_raw, n_good, bits), np.float32)
+    for r in counts.select("block", "raw", "good").mapInArrow(ratio, "block int, ratio binary").toLocalIterator():
+        ratios[r.block] = np.frombuffer(bytes(r.ratio), np.float32)
+    return ratios.ravel()
+
+
+def _log_ratio(raw, good, n_raw: int, n_good: int, bits: int) -> np.ndarray:
+    share = lambda n, of: np.log((n + PRIOR) / (of + PRIOR * (1 << bits)))
+    return np.float32(share(good, n_good) - share(raw, n_raw))
 
 
 def score(df: DataFrame, ratios: np.ndarray, doc_id: str = "doc_id", text: str = "text",
