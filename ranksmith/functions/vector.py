@@ -24,9 +24,12 @@ def l2_norm(a) -> Column:
 
 
 def normalize_vector(a, eps: float = 0.0) -> Column:
-    """``a / (||a|| + eps)``; with ``eps == 0`` an all-zero vector stays zero."""
-    n = l2_norm(a) + F.lit(eps)
-    return F.transform(_c(a), lambda v: F.when(n > 0, v / n).otherwise(F.lit(0.0)))
+    """``a / (||a|| + eps)``; with ``eps == 0`` an all-zero vector stays zero.
+    Vector and norm are bound once a row: inside the loop over the numbers
+    they would be computed again for each of them."""
+    once = F.transform(F.array(_c(a)), lambda v: F.struct(v.alias("v"), (l2_norm(v) + F.lit(eps)).alias("n")))
+    return F.get(F.transform(once, lambda s: F.transform(
+        s["v"], lambda x: F.when(s["n"] > 0, x / s["n"]).otherwise(F.lit(0.0)))), F.lit(0))
 
 
 def cosine(a, b, eps: float = 1e-8) -> Column:

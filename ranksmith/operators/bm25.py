@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import tokenize
+from .blockmax import best_scores
 
 # Okapi BM25 parameters (k1, b) and the floor factor applied to
 # negative idf (a fraction of the mean idf), as in the common Python library.
@@ -306,10 +307,11 @@ def _ranked(scores: DataFrame, index: BM25Index, group: Sequence[str], limit: in
 
 def bm25_topk(index: BM25Index, queries: DataFrame, qkeys: Sequence[str], text: str,
               k: int = 100, **kw) -> DataFrame:
-    """Best ``k`` documents per query: ``(qkeys..., rank, passage, score)``."""
+    """Best ``k`` documents per query: ``(qkeys..., rank, passage, score)``,
+    from block-max postings (``blockmax.best_scores``, which takes ``kw``)."""
     sk = list(index.scope)
     q, keys, hashed = _keyed(queries, qkeys)
-    s = bm25_scores(index, q, keys, text, **kw)
+    s = best_scores(index, q, keys, text, k, **kw)
     top = _ranked(s, index, [*sk, *keys], k)
     return _unkey(top, q, sk, qkeys) if hashed else top
 
@@ -328,17 +330,20 @@ def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_p
     """
     sc = list(scope)
     if index is None:
-        index = bm25_index(corpus if corpus is not None else build_corpus(df, scope=sc), scope=sc)
+        corpus = corpus if corpus is not None else build_corpus(df, scope=sc)
+        if sc:  # a null-safe key of the scope columns goes through every join
+            df, corpus = (x.withColumn(SCOPE_KEY, scope_key(sc)) for x in (df, corpus))
+        index = bm25_index(corpus, scope=[SCOPE_KEY] if sc else ())
     sk = list(index.scope)
     gp, gp2 = passage_key(F.col(gold))
     qh, qh2 = pair_key(query, gold)
-    qs = df.select(*sc, query, gold).distinct() \
+    qs = df.select(*sc, *(c for c in sk if c not in sc), query, gold).distinct() \
         .withColumn("qh", qh).withColumn("qh2", qh2) \
         .withColumn("gpid", gp).withColumn("gpid2", gp2)
     if prune:
         s = candidates_pruned(index, qs, ["qh", "qh2"], query, n, exclude=("gpid", "gpid2"), **kw)
     else:
-        s = bm25_scores(index, qs, ["qh", "qh2"], query, **kw)
+        s = best_scores(index, qs, ["qh", "qh2"], query, n + 1, **kw)
     if prune:
         top = _ranked(s, index, [*sk, "qh", "qh2"], n)
     else:
@@ -374,6 +379,15 @@ def mine_negatives(df: DataFrame, query: str = "query_text", gold: str = "gold_p
     return out.select(*sc, query, gold, "qh", "qh2", mined.alias("mined"))
 
 
+#: Column of the scope's key inside ``mine_negatives``.
+SCOPE_KEY = "_scope_key"
+
+
+def scope_key(scope: Sequence[str]) -> Column:
+    """One long for the values of the scope columns; nulls are values too."""
+    return F.xxhash64(*[x for c in scope for x in (F.col(c).isNull(), F.col(c))])
+
+
 def pair_key(query: str, gold: str) -> tuple[Column, Column]:
     """Key of a (query, gold) pair that tells nulls apart from each other's
     place and from texts."""
@@ -393,10 +407,11 @@ def bm25_hard_negatives(df: DataFrame, query: str = "query_text", gold: str = "g
     """
     sc = list(kw.get("scope", ()))
     df = df.persist(StorageLevel.MEMORY_AND_DISK)  # read for the corpus, the queries and the result
-    mined = mine_negatives(df, query, gold, n=n, **kw).select(*sc, "qh", "qh2", "mined")
+    key = scope_key(sc) if sc else F.lit(0).cast("long")
+    mined = mine_negatives(df, query, gold, n=n, **kw).select(key.alias(SCOPE_KEY), "qh", "qh2", "mined")
     qh, qh2 = pair_key(query, gold)
-    out = df.withColumn("qh", qh).withColumn("qh2", qh2) \
-        .join(mined, [*sc, "qh", "qh2"], "left").drop("qh", "qh2")
+    out = df.withColumn("qh", qh).withColumn("qh2", qh2).withColumn(SCOPE_KEY, key) \
+        .join(mined, [SCOPE_KEY, "qh", "qh2"], "left").drop(SCOPE_KEY, "qh", "qh2")
     first = F.try_element_at(F.col("mined"), F.lit(1))
     if mode == "fill" or negative not in df.columns:
         out = out.withColumn(negative, first) if mode != "append" else out

@@ -24,6 +24,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import ship_package, staged
+from . import dense_index
+from .dense_index import ClusterIndex
+
 Encoder = Callable[[pd.Series], np.ndarray]
 
 SCORE_ROUND = 9
@@ -74,6 +78,7 @@ def embed_batches(df: DataFrame, text: str, encoder: Callable[[], Encoder], out:
     for the failure's message (null where there was none); with it no row is
     dropped in ``skip`` mode either: the vector is null, so failures can be
     counted and set apart."""
+    ship_package(df.sparkSession)
     fields = [T.StructField(out, T.ArrayType(T.DoubleType()))] + ([T.StructField(error, T.StringType())] if error else [])
     schema = T.StructType(df.schema.fields + fields)
 
@@ -117,6 +122,7 @@ def _scan(queries: DataFrame, corpus: DataFrame, scope: Sequence[str], qid: str,
     block counts come from one aggregate per side (a row per scope value)
     that is joined in, so nothing passes through the driver and the plan
     stays lazy.  Rows without id or vector take no part."""
+    ship_package(corpus.sparkSession)
     scope = list(scope)
     schema = T.StructType([corpus.schema[s] for s in scope] + out_fields)
     q = queries.select(*scope, F.col(qid).alias("_id"), F.col(qvec).alias("_vec"), *extra_q).na.drop(subset=["_id", "_vec"])
@@ -182,13 +188,22 @@ def _topk_kernel(k: int):
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, qid: str = "qid", qvec: str = "qvec",
                pid: str = "pid", pvec: str = "pvec", scope: Sequence[str] = (),
-               block_bytes: int = BLOCK_BYTES) -> DataFrame:
+               block_bytes: int = BLOCK_BYTES, index: ClusterIndex | None = None, other_than_self: bool = False) -> DataFrame:
     """Exact top-``k`` passages per query by inner product:
     ``(scope..., qid, pid, score, rank)``.  Vectors are used as given
-    (normalise first for cosine)."""
+    (normalise first for cosine).  With an ``index`` of the corpus
+    (``dense_index.cluster_index``) only blocks that can hold a result are
+    scored; without one every block is.  ``other_than_self`` leaves out the
+    passage with the query's own id."""
     fields = [T.StructField("qid", queries.schema[qid].dataType), T.StructField("pid", corpus.schema[pid].dataType),
               T.StructField("score", T.DoubleType())]
-    cands = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_bytes, _topk_kernel(k), fields)
+    if index is not None:
+        q = queries.select(*scope, F.col(qid).alias("_id"), F.col(qvec).alias("_vec")).na.drop()
+        cands = dense_index.topk(staged(q, "queries"), index, k, fields, other_than_self)
+    else:
+        cands = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_bytes, _topk_kernel(k + other_than_self), fields)
+    if other_than_self:
+        cands = cands.filter(F.col("pid") != F.col("qid"))
     w = Window.partitionBy(*scope, "qid").orderBy(F.round("score", SCORE_ROUND).desc(), F.col("pid").asc())
     ranked = cands.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     return ranked.withColumnsRenamed({"qid": qid, "pid": pid}) if qid != pid else ranked
@@ -200,19 +215,25 @@ def _better_kernel(P, pids, Q, ids, extras):
     S = np.round(P @ Q.T, SCORE_ROUND)
     better = (S > g[None, :]) | ((S == g[None, :]) & (pids[:, None] < gp[None, :]))
     better &= pids[:, None] != gp[None, :]  # the gold, and copies of its text, never beat it
+    if "_self" in extras:
+        better &= pids[:, None] != extras["_self"][None, :]
     return {"qid": ids, "n_better": better.sum(axis=0).astype(np.int64),
             "n_seen": np.full(len(ids), S.shape[0], dtype=np.int64)}
 
 
 def gold_rank_full(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec: str = "qvec",
                    gold: str = "gold_pid", pid: str = "pid", pvec: str = "pvec",
-                   scope: Sequence[str] = (), block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                   scope: Sequence[str] = (), block_bytes: int = BLOCK_BYTES,
+                   index: ClusterIndex | None = None, other_than_self: bool = False) -> DataFrame:
     """Rank of the gold passage when every passage is scored:
     ``1 + #{better}`` where better = higher rounded score, or equal score and
     smaller id; a gold missing from the corpus ranks ``N + 1``.  With the
     text (or its hash) as id, a gold that the corpus holds several times has
     the rank of its first copy.
-    Output ``(scope..., qid, rank, n_scored)``."""
+    With an ``index`` of the corpus, blocks whose bounds tell are not scored.
+    ``other_than_self`` leaves out the passage with the query's own id.
+    Output ``(scope..., qid, rank, n_scored)``; ``n_scored`` counts the
+    passages ranked, scored or not."""
     sc = list(scope)
     g = corpus.select(*sc, F.col(pid).alias(gold), F.col(pvec).alias("_gvec")).na.drop(subset=["_gvec"]) \
         .dropDuplicates([*sc, gold])
@@ -221,9 +242,22 @@ def gold_rank_full(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec
     found = q.filter(F.col("_gscore").isNotNull()).select(*sc, qid, qvec, F.col(gold).alias("_gpid"), "_gscore")
     fields = [T.StructField("qid", queries.schema[qid].dataType),
               T.StructField("n_better", T.LongType()), T.StructField("n_seen", T.LongType())]
-    counts = _scan(found, corpus, sc, qid, qvec, pid, pvec, block_bytes, _better_kernel, fields,
-                   extra_q=("_gpid", "_gscore"))
-    agg = counts.groupBy(*sc, "qid").agg((F.sum("n_better") + 1).alias("rank"), F.sum("n_seen").alias("n_scored"))
+    extra = ["_gpid", "_gscore"]
+    if other_than_self:
+        found, extra = found.withColumn("_self", F.col(qid)), [*extra, "_self"]
+    if index is not None:
+        given = staged(found.select(*sc, F.col(qid).alias("_id"), F.col(qvec).alias("_vec"), *extra).na.drop(), "queries")
+        counts = dense_index.better_counts(given, index, _better_kernel, fields, extra, other_than_self)
+        better = given.select(*sc, F.col("_id").alias("qid")).join(counts.groupBy(*sc, "qid").agg(F.sum("n_better").alias("b")), [*sc, "qid"], "left")
+        if sc:  # a row a scope
+            kinds = T.StructType([*(corpus.schema[c] for c in sc), T.StructField("n", T.LongType())])
+            better = better.join(F.broadcast(queries.sparkSession.createDataFrame([(*s, n) for s, n in index.n_rows.items()], kinds)), sc)
+        else:
+            better = better.withColumn("n", F.lit(index.n_rows[()]).cast("long"))
+        agg = better.select(*sc, "qid", (F.coalesce("b", F.lit(0)) + 1).alias("rank"), F.col("n").alias("n_scored"))
+    else:
+        counts = _scan(found, corpus, sc, qid, qvec, pid, pvec, block_bytes, _better_kernel, fields, extra_q=tuple(extra))
+        agg = counts.groupBy(*sc, "qid").agg((F.sum("n_better") + 1).alias("rank"), F.sum("n_seen").alias("n_scored"))
     valid = corpus.select(*sc, pid, pvec).na.drop()
     missing = q.filter(F.col("_gscore").isNull()).select(*sc, F.col(qid).alias("qid"))
     if sc:  # corpus size per scope: one row per scope value
@@ -254,20 +288,23 @@ def index_metadata(corpus: DataFrame, vec: str = "embedding", model: str = "") -
                       F.max(F.size(vec)).alias("dim")).withColumn("model", F.lit(model))
 
 
-def _stats_kernel(P, pids, Q, ids, extras):
-    S = P @ Q.T
-    return {"qid": ids, "n": np.full(len(ids), S.shape[0], dtype=np.int64),
-            "sum": S.sum(axis=0), "max": S.max(axis=0)}
+def _stats_kernel(other_than_self: bool):
+    def kernel(P, pids, Q, ids, extras):
+        S = P @ Q.T
+        used = pids[:, None] != ids[None, :] if other_than_self else np.ones(S.shape, bool)
+        return {"qid": ids, "n": used.sum(axis=0).astype(np.int64), "sum": np.where(used, S, 0.0).sum(axis=0),
+                "max": np.where(used, S, -np.inf).max(axis=0)}
+    return kernel
 
 
 def score_all_pairs(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec: str = "qvec",
                     pid: str = "pid", pvec: str = "pvec", scope: Sequence[str] = (),
-                    block_bytes: int = BLOCK_BYTES) -> DataFrame:
+                    block_bytes: int = BLOCK_BYTES, other_than_self: bool = False) -> DataFrame:
     """Score every query against every passage (the nested-loop evaluator)
     and keep per-query aggregates ``(scope..., qid, n_scored, score_sum,
     score_max)`` -- the pairs themselves are never written out."""
     fields = [T.StructField("qid", queries.schema[qid].dataType), T.StructField("n", T.LongType()),
               T.StructField("sum", T.DoubleType()), T.StructField("max", T.DoubleType())]
-    s = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_bytes, _stats_kernel, fields)
+    s = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_bytes, _stats_kernel(other_than_self), fields)
     return s.groupBy(*scope, "qid").agg(F.sum("n").alias("n_scored"), F.sum("sum").alias("score_sum"),
                                         F.max("max").alias("score_max")).withColumnRenamed("qid", qid)

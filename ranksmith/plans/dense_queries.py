@@ -2,7 +2,7 @@
 evaluation queries (§2.8) aggregate.
 
 Vector models over ``embeddings``: a query is every vector whose id is a
-multiple of 10, the corpus the rest; models score the cosine of vectors whose
+multiple of 50, the corpus all vectors, and a query never finds itself; models score the cosine of vectors whose
 i-th number is weighted by a power of i: 0 for A, -1/2 for B, 1/2 for C.  The
 gold passage of a query (VECQ) is its nearest corpus vector with power 1/4.
 
@@ -17,7 +17,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
-from ..operators import dense
+from ..operators import dense, dense_index
+from ..session import staged
 from ..sources import testdata as td
 from .registry import query, r6
 from .relations_sql import tok_sql, with_rel
@@ -34,7 +35,7 @@ def _weighted(col, power):
 
 def vec_split(spark, sf_dir):
     v = td.vectors(spark, sf_dir)
-    return v.filter(F.col("vec_id") % 10 == 0), v.filter(F.col("vec_id") % 10 != 0)
+    return v.filter(F.col("vec_id") % 50 == 0), v
 
 
 def vec_gold(spark, sf_dir):
@@ -42,7 +43,7 @@ def vec_gold(spark, sf_dir):
     q, p = vec_split(spark, sf_dir)
     t = dense.dense_topk(q.select(F.col("vec_id").alias("query_id"), _weighted("embedding", F.lit(GOLD_POWER)).alias("qvec")),
                          p.select(F.col("vec_id").alias("gold_id"), _weighted("embedding", F.lit(GOLD_POWER)).alias("pvec")),
-                         k=1, qid="query_id", pid="gold_id")
+                         k=1, qid="query_id", pid="gold_id", other_than_self=True)
     return t.select("query_id", "gold_id")
 
 
@@ -62,8 +63,8 @@ def vec_models(spark, sf_dir):
 
 
 _VEC_SQL = """
-VQ AS (SELECT vec_id, embedding FROM VEC WHERE vec_id % 10 = 0),
-VP AS (SELECT vec_id, embedding FROM VEC WHERE vec_id % 10 <> 0),
+VQ AS (SELECT vec_id, embedding FROM VEC WHERE vec_id % 50 = 0),
+VP AS (SELECT vec_id, embedding FROM VEC),
 M AS (SELECT * FROM (VALUES ('A', 0.0::DOUBLE), ('B', -0.5), ('C', 0.5), ('gold', 0.25)) t(model, power)),
 QV AS (SELECT m.model, q.vec_id AS query_id, list_transform(q.embedding, lambda x, i: x * pow(i, m.power)) AS v FROM VQ q, M m),
 PV AS (SELECT m.model, p.vec_id AS passage_id, list_transform(p.embedding, lambda x, i: x * pow(i, m.power)) AS v FROM VP p, M m),
@@ -71,7 +72,7 @@ S0 AS (SELECT q.model, q.query_id, p.passage_id,
              list_sum(list_transform(list_zip(q.v, p.v), lambda x: x[1] * x[2]))
                / (sqrt(list_sum(list_transform(q.v, lambda x: x * x)))
                   * sqrt(list_sum(list_transform(p.v, lambda x: x * x)))) AS score
-      FROM QV q JOIN PV p USING (model)),
+      FROM QV q JOIN PV p ON q.model = p.model AND q.query_id <> p.passage_id),
 G AS (SELECT query_id, passage_id AS gold_id, round(score, 9) AS s FROM S0 WHERE model = 'gold'),
 VECQ AS (SELECT query_id, gold_id FROM (
            SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, gold_id) AS rn FROM G) WHERE rn = 1),
@@ -84,14 +85,25 @@ def vec_sql(body: str) -> str:
     return with_rel(f"WITH {_VEC_SQL}\n{body}", "VEC")
 
 
-def vec_topk(spark, sf_dir, k=10):
+#: Vectors of a block: small, as the test tables are.
+BLOCK_ROWS = 64
+
+
+def _indexed(spark, sf_dir):
     qs, ps = vec_models(spark, sf_dir)
-    return dense.dense_topk(qs, ps, k=k, qid="query_id", pid="passage_id", scope=["model"])
+    ps = staged(ps, "model-vectors")
+    return staged(qs, "model-queries"), ps, dense_index.cluster_index(ps, "passage_id", "pvec", ["model"], BLOCK_ROWS)
+
+
+def vec_topk(spark, sf_dir, k=10):
+    qs, ps, index = _indexed(spark, sf_dir)
+    return dense.dense_topk(qs, ps, k=k, qid="query_id", pid="passage_id", scope=["model"], index=index, other_than_self=True)
 
 
 def vec_gold_ranks(spark, sf_dir):
-    qs, ps = vec_models(spark, sf_dir)
-    return dense.gold_rank_full(qs, ps, qid="query_id", gold="gold_id", pid="passage_id", scope=["model"])
+    qs, ps, index = _indexed(spark, sf_dir)
+    return dense.gold_rank_full(qs, ps, qid="query_id", gold="gold_id", pid="passage_id", scope=["model"], index=index,
+                                other_than_self=True)
 
 
 # --- text (LANGEVAL) models -------------------------------------------------------------
@@ -186,7 +198,7 @@ SELECT model, query_id, count(*) AS n_scored, round(sum(score), 6) AS score_sum,
 FROM S GROUP BY model, query_id"""))
 def q_score_all_pairs(spark, sf_dir):
     qs, ps = vec_models(spark, sf_dir)
-    s = dense.score_all_pairs(qs, ps, qid="query_id", pid="passage_id", scope=["model"])
+    s = dense.score_all_pairs(qs, ps, qid="query_id", pid="passage_id", scope=["model"], other_than_self=True)
     return s.select("model", "query_id", "n_scored", r6(F.col("score_sum")).alias("score_sum"),
                     r6(F.col("score_max")).alias("score_max"))
 
