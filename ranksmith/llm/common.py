@@ -64,7 +64,7 @@ def keep_rows(df: DataFrame, winners: DataFrame) -> DataFrame:
             .select(*[f"`{c}`" for c in df.columns]))
 
 
-def _slices(col: pa.Array) -> Iterator[tuple[int, int]]:
+def slices(col: pa.Array) -> Iterator[tuple[int, int]]:
     lo, held = 0, 0
     for i in range(len(col)):
         v = col[i]
@@ -99,7 +99,7 @@ def map_texts(df: DataFrame, text: str, make_kernel: Callable[[], Kernel],
         kernel = make_kernel()
         for batch in batches:
             texts = batch.column(n)
-            for lo, hi in _slices(texts):
+            for lo, hi in slices(texts):
                 part = batch.slice(lo, hi - lo)
                 made = kernel(part.column(n).to_pylist())
                 yield pa.RecordBatch.from_arrays(
@@ -119,7 +119,7 @@ def filter_texts(df: DataFrame, text: str, make_kernel: Callable[[], Callable[[l
     def run(batches):
         kernel = make_kernel()
         for batch in batches:
-            for lo, hi in _slices(batch.column(at).cast(pa.binary())):
+            for lo, hi in slices(batch.column(at).cast(pa.binary())):
                 part = batch.slice(lo, hi - lo)
                 yield part.filter(pa.array(kernel(part.column(at).cast(pa.binary()).to_pylist()), pa.bool_()))
 

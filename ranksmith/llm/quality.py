@@ -19,6 +19,8 @@ are not read.
 
 from __future__ import annotations
 
+from itertools import chain
+
 import numpy as np
 import pyarrow as pa
 import regex
@@ -29,7 +31,7 @@ from pyspark.sql import types as T
 
 from ranksmith.session import ship_package
 
-from .common import WordCache, map_texts, per_worker, staged
+from .common import WordCache, map_texts, per_worker, slices, staged
 
 #: Bits of the fewest and of the most buckets.  In between, their number follows
 #: the corpus: one for ``PER_BUCKET`` to twice as many n-grams, repeats counted.
@@ -46,24 +48,84 @@ THRESHOLD = -0.15
 #: Added to each bucket's count.
 PRIOR = 1.0
 SYMBOLS = b"#*$%&|<>"
+#: White space and continuation bytes: what is left of a text is a byte for each character in words.
+_NO_WORD_CHAR = b" \t\n\x0b\x0c\r" + bytes(range(0x80, 0xC0))
 _TOKEN = regex.compile(r"\w+|[^\w\s]+")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
+def _word_hashes(word: bytes) -> bytes:
+    """Packed hashes of a word's tokens; a word of letters is one token."""
+    return xxhash.xxh64_digest(word) if word.isalpha() or word.decode("utf-8", "replace").isalpha() else _token_hashes(word)
+
+
 def _token_hashes(word: bytes) -> bytes:
     tokens = _TOKEN.findall(word.decode("utf-8", "replace"))
     return b"".join(xxhash.xxh64_digest(t.encode()) for t in tokens)
 
 
 def buckets(words: list[bytes], cache, bits: int = BUCKET_BITS) -> np.ndarray:
-    """Hash buckets of the text's n-grams: single tokens in the lower half,
-    pairs in the upper one.  Fewer bits join neighbouring buckets."""
+    """Hash buckets of one text's n-grams, word by word: single tokens in the
+    lower half, pairs in the upper one.  Fewer bits join neighbouring buckets."""
     h = np.frombuffer(b"".join(map(cache.__getitem__, words)), "<u8")
     pairs = (h[:-1] * _MIX + h[1:]) * _MIX
     shift, half = np.uint64(65 - bits), np.uint64(1 << bits - 1)
     return np.concatenate([h >> shift, (pairs >> shift) + half]).astype(np.int64)
 
 
+class Slice:
+    """The words of some texts: ``ids`` numbers each word among the distinct
+    ``words``, ``ends`` is where each text's words end."""
+
+    def __init__(self, texts: list[bytes]):
+        split = [t.split() for t in texts]
+        self.ends = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        self.words = list({w for ws in split for w in ws})
+        index = dict(zip(self.words, range(len(self.words)))).__getitem__
+        self.ids = np.fromiter(map(index, chain.from_iterable(split)), np.int64, self.ends[-1] if len(split) else 0)
+
+    def hashes(self) -> tuple[np.ndarray, np.ndarray]:
+        """Token hashes in order, and where each text's end."""
+        packed = [_word_hashes(w) for w in self.words]
+        n = np.fromiter(map(len, packed), np.int64, len(packed)) >> 3
+        flat = np.frombuffer(b"".join(packed), "<u8")
+        first = np.cumsum(n) - n
+        times = n[self.ids]
+        before = np.cumsum(times) - times
+        at = np.repeat(first[self.ids] - before, times) + np.arange(times.sum())
+        return flat[at], np.r_[0, np.cumsum(times)][self.ends]
+
+    def buckets(self, bits: int) -> tuple[np.ndarray, np.ndarray]:
+        """Buckets of the texts' n-grams (see ``buckets``), the single tokens
+        first, and the number of the text that each belongs to."""
+        h, ends = self.hashes()
+        text = np.repeat(np.arange(len(ends)), np.diff(ends, prepend=0))
+        within = text[1:] == text[:-1]
+        pairs = (h[:-1] * _MIX + h[1:])[within] * _MIX
+        shift, half = np.uint64(65 - bits), np.uint64(1 << bits - 1)
+        return np.concatenate([h >> shift, (pairs >> shift) + half]).astype(np.int64), np.concatenate([text, text[1:][within]])
+
+    def repeated(self) -> list[int]:
+        """Each text's words inside three-word windows that it has twice."""
+        ids, out, lo = self.ids, [], 0
+        if len(self.words) < 1 << 21:
+            windows = ids[:-2] << 42 | ids[1:-1] << 21 | ids[2:]
+        else:  # three numbers do not fit together: pairs are numbered first
+            _, pair = np.unique(ids[:-1] * len(self.words) + ids[1:], return_inverse=True)
+            _, windows = np.unique(np.stack([pair[:-1], ids[2:]]), axis=1, return_inverse=True)
+        for hi in self.ends.tolist():
+            n, own = 0, windows[lo:hi - 2] if hi - lo > 3 else windows[:0]
+            order = np.sort(own)
+            if (twice := order[1:] == order[:-1]).any():
+                often, inside = np.isin(own, order[1:][twice]), np.zeros(hi - lo, bool)
+                for k in range(3):
+                    inside[k:k + len(own)] |= often
+                n = int(inside.sum())
+            out.append(n)
+            lo = hi
+        return out
+
+
 def bits_for(grams: int) -> int:
     """Bits of the number of buckets for so many n-grams."""
     return min(max((grams // PER_BUCKET).bit_length() - 1, BUCKET_BITS), MOST_BITS)
@@ -75,30 +137,16 @@ def _cache():
 
 def base_counts(text: bytes) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words."""
-    words = text.split()  # of bytes: ASCII white space only
-    letters = b"".join(words)
-    chars = len(letters.translate(None, bytes(range(0x80, 0xC0))))  # without continuation bytes
+    some = Slice([text])
+    return len(some.ids), *_char_counts(text), some.repeated()[0]
+
+
+def _char_counts(text: bytes) -> tuple[int, int, int]:
+    """word_chars, n_symbols, n_dup_lines."""
+    chars = len(text.translate(None, _NO_WORD_CHAR))
     symbols = len(text) - len(text.translate(None, SYMBOLS))
     lines = [x for x in text.split(b"\n") if x and not x.isspace()]
-    return len(words), chars, symbols, len(lines) - len(set(lines)), _repeated(words)
-
-
-def _repeated(words: list[bytes]) -> int:
-    """Words inside three-word windows that occur at least twice."""
-    n = len(words)
-    if n < 4:
-        return 0
-    seen: dict[bytes, int] = {}
-    ids = np.fromiter((seen.setdefault(w, len(seen)) for w in words), np.int64, n)
-    pair = ids[:-1] * len(seen) + ids[1:]
-    _, pair = np.unique(pair, return_inverse=True)
-    window = pair[:-1] * len(seen) + ids[2:]
-    _, at, times = np.unique(window, return_inverse=True, return_counts=True)
-    often = times[at] > 1
-    inside = np.zeros(n, bool)
-    for shift in range(3):
-        inside[shift:shift + n - 2] |= often
-    return int(inside.sum())
+    return chars, symbols, len(lines) - len(set(lines))
 
 
 def trusted_ids(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality") -> DataFrame:
@@ -133,7 +181,7 @@ def fit(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "
     blocks = (1 << MOST_BITS) // BLOCK
 
     def run(batches):
-        cache, sums = _cache(), np.zeros((2, 1 << MOST_BITS), np.uint32)
+        sums = np.zeros((2, 1 << MOST_BITS), np.uint32)
         held, most = 0, 1 << 31
 
         def packed():
@@ -144,15 +192,16 @@ def fit(df: DataFrame, trusted: DataFrame, doc_id: str = "doc_id", text: str = "
                 names=["block", "raw", "good"]) for b in used.tolist())
 
         for batch in batches:
-            for t, good in zip(batch.column(0), batch.column(1)):
-                at = buckets((t.as_py() or b"").split(), cache, MOST_BITS)
+            for lo, hi in slices(batch.column(0)):
+                part = batch.slice(lo, hi - lo)
+                at, text = Slice([t or b"" for t in part.column(0).to_pylist()]).buckets(MOST_BITS)
                 if held + len(at) >= most:  # no count gets beyond its type
                     yield from packed()
                     sums[:], held = 0, 0
                 held += len(at)
-                np.add.at(sums[0], at, 1)
-                if good.as_py():
-                    np.add.at(sums[1], at, 1)
+                good = at[part.column(1).to_numpy(zero_copy_only=False).astype(bool)[text]]
+                for own, some in zip(sums, (at, good)):
+                    np.add.at(own, some, np.uint32(1))
         yield from packed()
 
     def add(batches):
@@ -206,13 +255,16 @@ def score(df: DataFrame, ratios: np.ndarray, doc_id: str = "doc_id", text: str =
     counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
     def make_kernel():
-        cache, ratio = _cache(), model.value
-
-        def one(t: bytes) -> tuple:
-            at = buckets(t.split(), cache, bits)
-            return *base_counts(t), float(ratio[at].mean(dtype=np.float64)) if len(at) else 0.0
-
-        return lambda texts: [list(c) for c in zip(*(one(t or b"") for t in texts))]
+        ratio = model.value
+
+        def kernel(texts: list) -> list:
+            texts = [t or b"" for t in texts]
+            some = Slice(texts)
+            at, text = some.buckets(bits)
+            n = np.bincount(text, minlength=len(texts))
+            means = np.bincount(text, ratio[at], len(texts)) / np.maximum(n, 1)
+            return [np.diff(some.ends, prepend=0).tolist(), *(list(c) for c in zip(*map(_char_counts, texts))), some.repeated(), means.tolist()]
+        return kernel
 
     scored = map_texts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_rs_text")), "_rs_text",
                        make_kernel, [*(T.StructField(c, T.LongType()) for c in counts), T.StructField("score", T.DoubleType())])
