@@ -1,12 +1,8 @@
 """Model-graded negatives: the Spark job around a pluggable language model.
 
-A *model* is a factory ``() -> call`` where ``call(row: dict) -> str`` maps
-one input row (prompt plus the columns it was built from) to the model's
-reply, raising on failure.  ``call_model`` runs it inside ``mapInPandas``
-(the factory runs once per task, e.g. to open a client or load weights),
-retries failures, and records ``reply / success / error`` columns.
-Everything before (prompt building) and after (parsing, labelling,
-selection) is Spark SQL expressions.
+The model pass itself (retries, batches, dead letters) is ``model_pass``;
+everything before (prompt building) and after (parsing, labelling, selection)
+is Spark SQL expressions.
 
 The offline models below are deterministic stand-ins (token overlap) so the
 jobs can run and be checked without a model server; they say nothing about
@@ -16,17 +12,14 @@ model quality.
 from __future__ import annotations
 
 import math
-import time
-from collections.abc import Callable, Mapping, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from ..functions import text as X
-
-Model = Callable[[], Callable[[dict], str]]
+from .model_pass import Model, ModelPass, call_model, split_pass
+from .ordering import flag_first
 
 CONTEXT_WIDTHS = {"passage": X.CONTEXT_PASSAGE_WIDTH, "gold": X.CONTEXT_GOLD_WIDTH}
 
@@ -34,37 +27,6 @@ CONTEXT_WIDTHS = {"passage": X.CONTEXT_PASSAGE_WIDTH, "gold": X.CONTEXT_GOLD_WID
 NEGATIVE_COLUMNS = ["hard_negative", "negative", "neg_text", "negative_text", "hard_neg", "neg_passage"]
 
 
-def call_model(df: DataFrame, model: Model, inputs: Sequence[str] | Mapping[str, str], retries: int = 3,
-               retry_delay: float = 0.0, out: str = "reply") -> DataFrame:
-    """Append ``out`` (reply), ``success`` and ``error`` by calling the model
-    once per row (up to ``retries`` attempts).  ``inputs`` names the columns
-    the model gets, or maps its field names to columns."""
-    schema = T.StructType(df.schema.fields + [
-        T.StructField(out, T.StringType()), T.StructField("success", T.BooleanType()),
-        T.StructField("error", T.StringType())])
-    fields = dict(inputs) if isinstance(inputs, Mapping) else {c: c for c in inputs}
-
-    def run(it):
-        call = model()
-        for pdf in it:
-            replies, oks, errs = [], [], []
-            for rec in pdf[list(fields.values())].set_axis(list(fields), axis=1).to_dict("records"):
-                reply, err = None, None
-                for attempt in range(max(1, retries)):
-                    try:
-                        reply, err = call(rec), None
-                        break
-                    except Exception as e:  # noqa: BLE001 - a failed call is data
-                        err = f"{type(e).__name__}: {e}"
-                        if retry_delay and attempt + 1 < retries:
-                            time.sleep(retry_delay)
-                replies.append(reply)
-                oks.append(err is None)
-                errs.append(err)
-            yield pdf.assign(**{out: replies, "success": oks, "error": errs})
-    return df.mapInPandas(run, schema)
-
-
 # --- offline stand-in models -------------------------------------------------------------
 
 def _toks(s) -> list[str]:
@@ -101,11 +63,14 @@ def pair_judge(threshold: float = 0.3) -> Model:
     return factory
 
 
-def list_generator(n: int = 3) -> Model:
+def list_generator(n: int = 3, most: int | None = None) -> Model:
     """Numbered reply built from the first ``n`` lines of the positive, after
-    a one-line preamble (which the parser keeps as item 1)."""
+    a one-line preamble (which the parser keeps as item 1).  A positive of
+    over ``most`` characters is more than it takes: that call fails."""
     def factory():
         def call(r: dict) -> str:
+            if most is not None and len(r.get("gold_passage") or "") > most:
+                raise ValueError("positive too long")
             lines = (r.get("gold_passage") or "").split("\n")[:n]
             return "Here are the passages:\n" + "\n".join(f"{i + 1}. {t}" for i, t in enumerate(lines))
         return call
@@ -158,13 +123,12 @@ def grade_batch(df: DataFrame, order: Sequence, limit: int | None = None, on_err
                 widths: dict[str, int | None] | None = X.GRADE_WIDTHS) -> tuple[DataFrame, DataFrame]:
     """Grade the first ``limit`` rows (explicit order) or all; failed rows
     are kept as UNKNOWN (``keep``) or dropped (``drop``).  Returns
-    ``(graded, errors)``; ``errors`` holds the failed rows with messages."""
+    ``(graded, errors)``; ``errors`` holds the failed rows with messages.  The
+    model is called once: both frames read what that pass wrote."""
     src = df.orderBy(*order).limit(limit) if limit is not None else df
-    g = grade_negatives(src, model, retries, keep_status=True, widths=widths)
-    errors = g.filter(~F.col("success"))
-    if on_error == "drop":
-        g = g.filter(F.col("success"))
-    return g, errors
+    done = split_pass(grade_negatives(src, model, retries, keep_status=True, widths=widths))
+    graded = done.replies if on_error == "drop" else done.replies.unionByName(done.dead_letters)
+    return graded, done.dead_letters
 
 
 def negative_column(columns: Sequence[str]) -> str | None:
@@ -201,8 +165,8 @@ def grade_pairs_partial(df: DataFrame, sample_limit: int, order: Sequence,
     if neg not in df.columns:
         return df
     qcol = "query_text" if "query_text" in df.columns else "query"
-    head = df.orderBy(*order).limit(sample_limit)
-    rest = df.exceptAll(head)  # multiset difference: duplicates split exactly
+    parts = flag_first(df, sample_limit, order, "_in_head")
+    head, rest = (parts.filter(F.col("_in_head") == side).drop("_in_head") for side in (True, False))
     missing = (F.coalesce(F.col(qcol), F.lit("")) == "") | (F.coalesce(F.col(neg), F.lit("")) == "")
     todo = head.filter(~missing)
     graded = grade_pairs(todo, qcol, neg, model).select(
@@ -222,20 +186,30 @@ def _generation_calls(df: DataFrame, n: int, model: Model | None) -> DataFrame:
     return call_model(p, model or list_generator(n), ["prompt", "query_text", "gold_passage"])
 
 
+def _parsed(df: DataFrame, replies: DataFrame, n: int, fallback_chars: int | None) -> DataFrame:
+    items = X.parse_numbered_list("reply", n, fallback_chars)
+    return replies.select(*[c for c in df.columns if c != "hard_negative"], F.posexplode(items).alias("_pos", "hard_negative")) \
+        .withColumn("negative_num", (F.col("_pos") + 1).cast("int")).drop("_pos")
+
+
 def generate_negatives(df: DataFrame, n: int = 3, model: Model | None = None,
                        fallback_chars: int | None = None) -> DataFrame:
     """One row per generated negative: triplet + ``negative_num`` (1-based).
-    Failed calls produce no rows; ``generation_report`` counts them."""
-    items = X.parse_numbered_list("reply", n, fallback_chars)
-    return _generation_calls(df, n, model).filter("success").select(
-        *[c for c in df.columns if c != "hard_negative"], F.posexplode(items).alias("_pos", "hard_negative")) \
-        .withColumn("negative_num", (F.col("_pos") + 1).cast("int")).drop("_pos")
+    Failed calls produce no rows; ``generation_pass`` keeps them."""
+    return _parsed(df, _generation_calls(df, n, model).filter("success"), n, fallback_chars)
+
+
+def generation_pass(df: DataFrame, n: int = 3, model: Model | None = None, fallback_chars: int | None = None,
+                    path: str | None = None) -> tuple[DataFrame, ModelPass]:
+    """``generate_negatives`` with its model pass, whose dead letters are the
+    rows without negatives: the model is called once for both."""
+    done = split_pass(_generation_calls(df, n, model), path)
+    return _parsed(df, done.replies, n, fallback_chars), done
 
 
 def generation_report(df: DataFrame, n: int = 3, model: Model | None = None) -> DataFrame:
     """One row: calls, failed calls, and one of their error messages."""
-    return _generation_calls(df, n, model).agg(
-        F.count(F.lit(1)).alias("calls"), F.count_if(~F.col("success")).alias("failed"), F.max("error").alias("error"))
+    return generation_pass(df, n, model)[1].report()
 
 
 def assemble_final(hard: DataFrame, generated: DataFrame, keep_extra: bool = False) -> DataFrame:

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import staged
+
 
 def neighbor_within(df: DataFrame, keys: Sequence[str], order: str, values: Sequence[str],
                     prefix: str = "next_", previous: bool = False,
@@ -45,12 +47,46 @@ def neighbor_within(df: DataFrame, keys: Sequence[str], order: str, values: Sequ
 
 def rank_per_query(df: DataFrame, query_cols: Sequence[str], score: str, tie: str,
                    out: str = "rank", limit: int | None = None) -> DataFrame:
-    """``row_number`` over ``partition by query order by score desc, tie asc``;
-    with ``limit`` only ranks ``<= limit`` are kept (planned as a
-    ``WindowGroupLimit`` that trims each partition before the shuffle)."""
-    w = Window.partitionBy(*query_cols).orderBy(F.col(score).desc(), F.col(tie).asc())
-    r = df.withColumn(out, F.row_number().over(w))
-    return r.filter(F.col(out) <= limit) if limit is not None else r
+    """Row number within ``query_cols`` by (score desc, tie asc).
+
+    With ``limit`` only ranks ``<= limit`` are kept (a ``WindowGroupLimit``
+    trims each partition before the shuffle).  Without it a query may hold any
+    share of the rows, so none is gathered: rows are dealt to ranges of
+    (query, score, tie), written, numbered within their query's part of a
+    range, and the query's rows in earlier ranges are added, from one count a
+    query and range."""
+    w = [F.col(score).desc(), F.col(tie).asc()]
+    keys = list(query_cols)
+    if limit is not None:
+        r = df.withColumn(out, F.row_number().over(Window.partitionBy(*keys).orderBy(*w)))
+        return r.filter(F.col(out) <= limit)
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    key = F.struct(*[F.col(c) for c in keys])
+    ranged = staged(df.repartitionByRange(parts, *[F.col(c) for c in keys], *w)
+                    .withColumns({"_range": F.spark_partition_id(), "_key": key}), "ranges")
+    counts = ranged.groupBy("_key", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = counts.select(F.col("_key").alias("_k"), F.col("_range").alias("_r"), (F.sum("_n").over(
+        Window.partitionBy("_key").orderBy("_range")) - F.col("_n")).alias("_before"))
+    local = ranged.withColumn("_at", F.row_number().over(Window.partitionBy("_key", "_range").orderBy(*w)))
+    on = F.col("_key").eqNullSafe(F.col("_k")) & (F.col("_range") == F.col("_r"))
+    return local.join(before, on).select(*df.columns, (F.col("_before") + F.col("_at")).cast("int").alias(out))
+
+
+def flag_first(df: DataFrame, n: int, order: Sequence[str | Column], out: str) -> DataFrame:
+    """``df`` with ``out``: whether a row is among the first ``n`` by ascending
+    ``order`` (nulls first, ties by place in the written input).  The input is
+    evaluated once; the n-th row's key is found by a top-n and one scan flags
+    the rows by it, so that neither side is subtracted from the other."""
+    key = F.struct(*[F.col(c) if isinstance(c, str) else c for c in order])
+    rows = staged(df.withColumns({"_row": F.monotonically_increasing_id(), "_order": key}), "ordered")
+    first = rows.select("_order", "_row").orderBy("_order", "_row").limit(n)
+    last = first.orderBy(F.desc("_order"), F.desc("_row")).limit(1).collect()  # one key
+    if not last:
+        return rows.select(*df.columns, F.lit(False).alias(out))
+    at = F.struct(*[
+        F.lit(v).cast(f.dataType).alias(f.name) for f, v in zip(rows.schema["_order"].dataType.fields, last[0]["_order"])])
+    inside = (F.col("_order") < at) | ((F.col("_order") == at) & (F.col("_row") <= last[0]["_row"]))
+    return rows.select(*df.columns, inside.alias(out))
 
 
 def sort_by_score(df: DataFrame, score: str = "rag_score",

@@ -57,7 +57,7 @@ def q_checkpointed_scoring_stream(spark, sf_dir):
     incremental.stream_scoring(spark, src, schema, _score, f"{root}/out", f"{root}/checkpoint")
     rows.filter(half == 1).write.parquet(f"{root}/input/drop=1")
     incremental.stream_scoring(spark, src, schema, _score, f"{root}/out", f"{root}/checkpoint")
-    return spark.read.parquet(f"{root}/out").drop("row_key", "batch")
+    return incremental.read_scored(spark, f"{root}/out").drop("row_key")
 
 
 def token_counter():

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..operators.ordering import head_n
+from .quoted import read_records
 
 S = T.StringType()
 
@@ -50,8 +51,7 @@ def read_triplets(spark: SparkSession, path: str, n: int | None = None, order: S
     if fmt == "parquet":
         df = spark.read.parquet(path)
     else:
-        df = spark.read.options(**_CSV, header="true").schema(_schema(list(TRIPLET_FILE_COLUMNS))).csv(path)
-        df = df.withColumnsRenamed(TRIPLET_FILE_COLUMNS)
+        df = read_records(spark, path, list(TRIPLET_FILE_COLUMNS), header=True).withColumnsRenamed(TRIPLET_FILE_COLUMNS)
     if n is not None:
         df = head_n(df, n, list(order) if order else ["query_text", "gold_passage", "hard_negative"])
     return df
@@ -112,13 +112,22 @@ def read_beir_multilang(spark: SparkSession, root: str, split: str = "test") ->
 
 def read_headerless_tsv(spark: SparkSession, path: str, names: Sequence[str]) -> tuple[DataFrame, DataFrame]:
     """Headerless TSV with given column names.  Lines with more fields than
-    names are malformed: returned separately (the reader warns and skips
-    them); lines with fewer fields get nulls."""
-    schema = _schema([*names, "_overflow"])
-    df = spark.read.options(sep="\t", header="false", quote='"', escape='"').schema(schema).csv(path)
-    ok = df.filter(F.col("_overflow").isNull()).drop("_overflow")
-    bad = df.filter(F.col("_overflow").isNotNull())
-    return ok, bad
+    names are malformed: returned separately, as ``(line, fields)`` (the reader
+    warns and skips them); lines with fewer fields get nulls.  Fields are
+    counted on the line itself, since an empty value too many is null when read."""
+    lines = spark.read.text(path).select(F.regexp_replace("value", "\r$", "").alias("line")).filter(F.col("line") != "")
+    # Tabs outside quotes: every second piece between quotes lies outside.
+    outside = F.filter(F.split("line", '"', -1), lambda x, i: i % 2 == 0)
+    told = lines.withColumn("fields", F.length(F.regexp_replace(F.array_join(outside, ""), "[^\t]", "")) + 1)
+    schema = ", ".join(f"`{c}` string" for c in names)
+    ok = told.filter(F.col("fields") <= len(names)).select(
+        F.from_csv("line", schema, {"sep": "\t", "quote": '"', "escape": '"'}).alias("r")).select("r.*")
+    return ok, told.filter(F.col("fields") > len(names))
+
+
+def headerless_rejects(bad: DataFrame) -> DataFrame:
+    """``(fields, n, line)``: how many lines had so many fields, and one of them."""
+    return bad.groupBy("fields").agg(F.count(F.lit(1)).alias("n"), F.min("line").alias("line"))
 
 
 def split_qrels(lines: DataFrame) -> DataFrame:
@@ -163,11 +172,9 @@ def read_tsv_eval_sources(spark: SparkSession, queries_path: str, corpus_path: s
     """Headerless 3-column TSVs with string ids: queries (query_id, title,
     query_text), corpus (corpus_id, title, passage), qrels (query_id,
     corpus_id, score)."""
-    opts = {**_CSV, "header": "false"}
-    q = spark.read.options(**opts).schema(_schema(["query_id", "title", "query_text"])).csv(queries_path)
-    c = spark.read.options(**opts).schema(_schema(["corpus_id", "title", "passage"])).csv(corpus_path)
-    r = spark.read.options(**opts).schema(_schema(["query_id", "corpus_id", "score"])).csv(qrels_path)
-    return q, c, r
+    return (read_records(spark, queries_path, ["query_id", "title", "query_text"]),
+            read_records(spark, corpus_path, ["corpus_id", "title", "passage"]),
+            read_records(spark, qrels_path, ["query_id", "corpus_id", "score"]))
 
 
 # --- other sinks ---------------------------------------------------------------------------
@@ -190,21 +197,57 @@ def write_metrics_json(long: DataFrame, path: str, keys: Sequence[str] = ("setti
     metrics_to_json(long, keys).coalesce(1).write.mode("overwrite").json(path)
 
 
-def list_names(spark: SparkSession, path: str) -> list[str]:
-    """Names in a folder, none if it is absent, through the session's Hadoop
-    FileSystem; hidden and marker files are left out."""
-    if not path_exists(spark, path):
-        return []
+def _at(spark: SparkSession, path: str):
+    """The path and its file system, of the session's Hadoop settings."""
     p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    found = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(p)
-    return [n for f in found if not (n := f.getPath().getName()).startswith(("_", "."))]
+    return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def list_names(spark: SparkSession, path: str, hidden: bool = False) -> list[str]:
+    """Names in a folder, none if it is absent; hidden and marker files are
+    left out unless asked for."""
+    return [n for n, _ in list_sizes(spark, path, hidden)]
+
+
+def list_sizes(spark: SparkSession, path: str, hidden: bool = False) -> list[tuple[str, int]]:
+    """Names in a folder with their bytes, by name."""
+    p, fs = _at(spark, path)
+    if not fs.exists(p):
+        return []
+    found = sorted((f.getPath().getName(), f.getLen()) for f in fs.listStatus(p))
+    return [(n, size) for n, size in found if hidden or not n.startswith(("_", "."))]
 
 
 def path_exists(spark: SparkSession, path: str) -> bool:
-    """Existence check through the Hadoop FileSystem of the session."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+    p, fs = _at(spark, path)
+    return fs.exists(p)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, whole or not at all: written aside, then renamed."""
+    p, fs = _at(spark, path)
+    aside, _ = _at(spark, f"{path}._writing")
+    out = fs.create(aside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    fs.delete(p, False)
+    if not fs.rename(aside, p):
+        raise OSError(f"{path} could not be written")
+
+
+def read_text(spark: SparkSession, path: str) -> str:
+    p, fs = _at(spark, path)
+    stream = fs.open(p)
+    try:
+        return bytes(stream.readAllBytes()).decode()
+    finally:
+        stream.close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """A folder that this library wrote, with what is in it."""
+    p, fs = _at(spark, path)
+    fs.delete(p, True)
 
 
 def eval_cache(spark: SparkSession, path: str, build, partition_by: Sequence[str] = ("setting", "lang")) -> DataFrame:
@@ -221,8 +264,8 @@ def write_eval_csv_by_lang(df: DataFrame, path: str, partition_by: Sequence[str]
     how = {**_CSV, "sep": ",", "header": "true"}
     df.write.mode("overwrite").partitionBy(*partition_by).options(**how).csv(path)
     # Counted from what was written, so the input is evaluated once.
-    fields = [f for f in df.schema.fields if f.name not in partition_by] + [df.schema[c] for c in partition_by]
-    back = df.sparkSession.read.options(**how).schema(T.StructType(fields)).csv(path)
+    names = [c for c in df.columns if c not in partition_by]
+    back = read_records(df.sparkSession, path, names, sep=",", header=True, partitions=partition_by)
     return back.groupBy(*partition_by).agg(F.count(F.lit(1)).alias("rows"))
 
 

@@ -3,63 +3,126 @@
 Model calls are slow and fail; work already paid for must survive a crash.
 Two forms:
 
-* ``resume_scoring`` -- batch form.  Keys already present in the output
-  table are removed with a left-anti join, the rest is cut into batches by
-  hash and each batch is scored and *appended* as its own job, so a crash
-  loses at most one batch.
+* ``resume_scoring`` -- batch form, driven by a manifest.  What is left to do
+  is written once, in files of bounded rows, and a *plan* groups these files
+  into batches of bounded bytes.  A batch is *written* (its folder is
+  complete) and then *committed* (a mark in the manifest).  A later run takes
+  up an open plan where it stands: batches written but not committed are
+  committed as they are, the rest is scored; only when no plan is open are
+  the keys already there taken off the input and a new plan made.
 * ``stream_scoring`` -- Structured Streaming form.  New input files are
-  picked up by a file source with ``trigger(availableNow=True)``; each
-  micro-batch is scored in ``foreachBatch`` and written to a folder named
-  by its batch id (overwritten on replay, so a re-run batch is
-  idempotent); progress lives in ``checkpointLocation``.
+  picked up by a file source with ``trigger(availableNow=True)``, so many
+  bytes a trigger; each micro-batch is scored in ``foreachBatch`` and written
+  to a folder named by its batch id (overwritten on replay, so a re-run batch
+  is idempotent); progress lives in ``checkpointLocation``.
 """
 
 from __future__ import annotations
 
-import math
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import shared_dir
-from ..sources.files import list_names
+from ..sources.files import list_names, list_sizes, path_exists, read_text, remove, write_text
 
 Scorer = Callable[[DataFrame], DataFrame]
 
+#: Bytes of written input that a batch holds at most, where one file does not exceed them.
+BATCH_BYTES = 64 << 20
 
-def resume_scoring(df: DataFrame, key: str, scorer: Scorer, out_path: str, batch_rows: int = 100_000,
-                   stop_after: int | None = None) -> int:
+
+class Manifest:
+    """The state of a scored table, beside its rows in ``out_path/_manifest``
+    (readers pass over names with an underscore): ``plan-*.json`` names the
+    batches and their files, ``commit-*`` marks a batch, ``closed-*`` a plan."""
+
+    def __init__(self, spark: SparkSession, out_path: str):
+        self.spark, self.out, self.root = spark, out_path, f"{out_path}/_manifest"
+
+    def _named(self, prefix: str) -> list[str]:
+        return sorted(n for n in list_names(self.spark, self.root, hidden=True) if n.startswith(prefix))
+
+    def open_plan(self) -> dict | None:
+        """The plan that is not closed, if there is one."""
+        closed = {n.removeprefix("closed-") for n in self._named("closed-")}
+        for name in self._named("plan-"):
+            if name.removeprefix("plan-").removesuffix(".json") not in closed:
+                return json.loads(read_text(self.spark, f"{self.root}/{name}"))
+        return None
+
+    def make_plan(self, todo: DataFrame, batch_bytes: int, batch_rows: int) -> dict:
+        """Write ``todo`` once and group its files; the plan's own file comes
+        last, so a crash before it leaves no plan behind."""
+        name = uuid.uuid4().hex[:12]
+        folder = f"{self.root}/todo-{name}"
+        todo.write.option("maxRecordsPerFile", batch_rows).parquet(folder)  # 0: no bound
+        batches: list[dict] = []
+        schema = T.StructType(todo.schema.fields)
+        if list_names(self.spark, self.out) and self.spark.read.schema(schema).parquet(folder).isEmpty():
+            return self._planned(name, folder, schema, [])
+        for file, size in list_sizes(self.spark, folder):
+            if not batches or batch_rows or batches[-1]["bytes"] + size > batch_bytes:
+                batches.append({"id": f"{name}-{len(batches):06d}", "bytes": 0, "names": []})
+            batches[-1]["bytes"] += size
+            batches[-1]["names"].append(file)
+        return self._planned(name, folder, schema, batches)
+
+    def _planned(self, name: str, folder: str, schema: T.StructType, batches: list[dict]) -> dict:
+        plan = {"name": name, "folder": folder, "schema": schema.json(), "batches": batches}
+        write_text(self.spark, f"{self.root}/plan-{name}.json", json.dumps(plan))
+        return plan
+
+    def state(self, batch: dict) -> str:
+        if path_exists(self.spark, f"{self.root}/commit-{batch['id']}"):
+            return "committed"
+        return "written" if path_exists(self.spark, f"{self.out}/batch={batch['id']}/_SUCCESS") else "planned"
+
+    def commit(self, batch: dict) -> None:
+        write_text(self.spark, f"{self.root}/commit-{batch['id']}", json.dumps({"bytes": batch["bytes"]}))
+
+    def close(self, plan: dict) -> None:
+        write_text(self.spark, f"{self.root}/closed-{plan['name']}", "")
+        remove(self.spark, plan["folder"])
+
+
+def resume_scoring(df: DataFrame, key: str, scorer: Scorer, out_path: str, batch_rows: int = 0,
+                   batch_bytes: int = BATCH_BYTES, stop_after: int | None = None) -> int:
     """Score the rows of ``df`` whose ``key`` is not yet in ``out_path``
-    (parquet) and append them in batches of about ``batch_rows`` rows, so a
-    crash loses one batch of model calls at most.  What is left to do is
-    worked out once and kept in the shared folder by batch.  ``stop_after``
+    (parquet), batch by batch.  A batch has about ``batch_bytes`` of written
+    input, or with ``batch_rows`` no more than so many rows.  ``stop_after``
     ends after that many batches (to exercise a resume).  Returns the batches
-    written."""
+    scored."""
     spark = df.sparkSession
-    todo = df
-    if list_names(spark, out_path):  # a read that fails is an error, never "nothing done yet"
-        todo = df.join(spark.read.parquet(out_path).select(key).distinct(), key, "left_anti")
-    whole, kept = shared_dir(spark, "todo"), shared_dir(spark, "batches")
-    todo.write.parquet(whole)
-    todo = spark.read.schema(todo.schema).parquet(whole)
-    batches = max(1, math.ceil(todo.count() / batch_rows))
-    todo.withColumn("part_no", F.pmod(F.xxhash64(F.col(key)), F.lit(batches))) \
-        .write.partitionBy("part_no").parquet(kept)
-    left = spark.read.schema(T.StructType([*todo.schema.fields, T.StructField("part_no", T.IntegerType())])).parquet(kept)
-    names = sorted(list_names(spark, kept))[:stop_after]
-    for name in names:
-        part = left.filter(F.col("part_no") == int(name.removeprefix("part_no="))).drop("part_no")
-        scorer(part).write.mode("append").parquet(out_path)
-    return len(names)
+    manifest = Manifest(spark, out_path)
+    plan = manifest.open_plan()
+    if plan is None:
+        todo = df
+        if list_names(spark, out_path):  # a read that fails is an error, never "nothing done yet"
+            todo = df.join(spark.read.parquet(out_path).select(key).distinct(), key, "left_anti")
+        plan = manifest.make_plan(todo, batch_bytes, batch_rows)
+    schema, scored = T.StructType.fromJson(json.loads(plan["schema"])), 0
+    for batch in plan["batches"]:
+        state = manifest.state(batch)
+        if state == "planned":
+            if scored == stop_after:
+                return scored
+            part = spark.read.schema(schema).parquet(*[f"{plan['folder']}/{n}" for n in batch["names"]])
+            scorer(part).write.mode("overwrite").parquet(f"{out_path}/batch={batch['id']}")
+            scored += 1
+        if state != "committed":
+            manifest.commit(batch)
+    manifest.close(plan)
+    return scored
 
 
 def stream_scoring(spark: SparkSession, input_path: str, schema: T.StructType, scorer: Scorer,
-                   out_path: str, checkpoint: str, max_files_per_trigger: int = 1) -> None:
+                   out_path: str, checkpoint: str, max_bytes_per_trigger: int = BATCH_BYTES) -> None:
     """Score every input file not yet processed (per the checkpoint) and
     stop when the input is drained."""
-    src = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger).parquet(input_path)
+    src = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes_per_trigger).parquet(input_path)
 
     def run_batch(batch: DataFrame, batch_id: int) -> None:
         scorer(batch).write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
@@ -70,4 +133,4 @@ def stream_scoring(spark: SparkSession, input_path: str, schema: T.StructType, s
 
 
 def read_scored(spark: SparkSession, out_path: str) -> DataFrame:
-    return spark.read.parquet(out_path)
+    return spark.read.parquet(out_path).drop("batch")
