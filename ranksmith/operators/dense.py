@@ -141,7 +141,11 @@ def _scan(queries: DataFrame, corpus: DataFrame, scope: Sequence[str], qid: str,
     q = q.join(counts, on).withColumn("_qb", deal("_nq")).withColumn("_pb", every("_np")).drop("_nq", "_np")
     p = p.join(counts, on).withColumn("_pb", deal("_np")).withColumn("_qb", every("_nq")).drop("_nq", "_np")
     keys = [*on, "_qb", "_pb"]
-    return q.groupBy(*keys).cogroup(p.groupBy(*keys)).applyInArrow(_runner(scope, kernel, extra_q, schema), schema)
+    # Queries may come from the corpus: each side's keys get names of their own.
+    own = lambda side: [F.col(c).alias(f"_{side}{i}") for i, c in enumerate(keys)]
+    q = q.select(*own("q"), *scope, "_id", "_vec", *extra_q).groupBy(*[f"_q{i}" for i in range(len(keys))])
+    p = p.select(*own("p"), "_id", "_vec").groupBy(*[f"_p{i}" for i in range(len(keys))])
+    return q.cogroup(p).applyInArrow(_runner(scope, kernel, extra_q, schema), schema)
 
 
 def _matrix(col: pa.ChunkedArray) -> np.ndarray:
