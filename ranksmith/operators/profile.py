@@ -15,6 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import staged
+from .quantiles import exact_percentiles
+
 from .clean import TRIPLET, row_keys
 
 
@@ -80,6 +83,9 @@ def short_long_counts(df: DataFrame, short_query: int = 10, long_passage: int =
                   F.count_if(F.length("hard_negative") > long_passage).alias("long_negative"))
 
 
+RATIOS = ("qg", "qn", "gn")
+
+
 def length_ratio_profile(df: DataFrame, group: Sequence[str] = ("lang",), approx: bool = False) -> DataFrame:
     """Mean and median of query/gold, query/negative, gold/negative length
     ratios per group (division by zero -> null, skipped)."""
@@ -87,10 +93,21 @@ def length_ratio_profile(df: DataFrame, group: Sequence[str] = ("lang",), approx
     r = df.select(*group, length_ratio("query_text", "gold_passage").alias("qg"),
                   length_ratio("query_text", "hard_negative").alias("qn"),
                   length_ratio("gold_passage", "hard_negative").alias("gn"))
-    aggs = []
-    for c in ("qg", "qn", "gn"):
-        aggs += [F.avg(c).alias(f"{c}_mean"), _pct(F.col(c), 0.5, approx).alias(f"{c}_median")]
-    return r.groupBy(*group).agg(*aggs)
+    means = [F.avg(c).alias(f"{c}_mean") for c in RATIOS]
+    if approx:
+        return _ordered(r.groupBy(*group).agg(*means, *[_pct(F.col(c), 0.5, True).alias(f"{c}_median") for c in RATIOS]), group)
+    # Ratios are nearly unique, so the exact median comes from value histograms.
+    long = staged(r.select(*group, F.explode(F.array(*[F.struct(F.lit(c).alias("_ratio"), F.col(c).alias("_x")) for c in RATIOS])).alias("e"))
+                  .select(*group, "e.*"), "ratios")
+    mid = exact_percentiles(long, [*group, "_ratio"], "_x", [0.5])
+    rows = long.groupBy(*group, "_ratio").agg(F.avg("_x").alias("_mean"), F.lit(None).cast("double").alias("_median")).unionByName(
+        mid.select(*group, "_ratio", F.lit(None).cast("double").alias("_mean"), F.col("value").alias("_median")))
+    pick = [F.max(F.when(F.col("_ratio") == c, F.col(f"_{what}"))).alias(f"{c}_{what}") for c in RATIOS for what in ("mean", "median")]
+    return rows.groupBy(*group).agg(*pick)
+
+
+def _ordered(df: DataFrame, group: Sequence[str]) -> DataFrame:
+    return df.select(*group, *[f"{c}_{what}" for c in RATIOS for what in ("mean", "median")])
 
 
 def length_histogram(df: DataFrame, cols: Sequence[str] = TRIPLET, bins: int = 30) -> DataFrame:

@@ -59,6 +59,15 @@ def qrels_referential_filter(qrels: DataFrame, queries: DataFrame, corpus: DataF
     return r.join(cast_ids(corpus, ["corpus_id"]).select("corpus_id"), "corpus_id", "left_semi")
 
 
+def require_no_orphans(qrels: DataFrame, queries: DataFrame, corpus: DataFrame) -> None:
+    """Raise if a qrels row's query or document is missing (one row is read)."""
+    r = cast_ids(qrels, ["query_id", "corpus_id"]).select("query_id", "corpus_id")
+    sides = [r.join(cast_ids(t, [c]).select(c), c, "left_anti").select("query_id", "corpus_id")
+             for t, c in ((queries, "query_id"), (corpus, "corpus_id"))]
+    if left := sides[0].unionByName(sides[1]).limit(1).collect():
+        raise ValueError(f"qrels row without its query or document: {left[0].query_id!r}, {left[0].corpus_id!r}")
+
+
 def qrels_orphans(qrels: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
     """Per side: qrels rows whose id is present / absent in that table."""
     r = cast_ids(qrels, ["query_id", "corpus_id"])

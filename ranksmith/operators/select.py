@@ -5,16 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .quantiles import exact_percentiles
+
 
 def quantile_threshold(df: DataFrame, score: str = "rag_score", p: float = 0.5,
                        approx: bool = False) -> float | None:
     """The ``1 - p`` quantile of ``score`` with linear interpolation (the
-    pandas / ``quantile_cont`` definition); one global aggregation, one row
-    back to the driver.  ``approx`` uses ``percentile_approx`` for score
-    domains with too many distinct values to count exactly."""
+    pandas / ``quantile_cont`` definition), from nested value histograms: one
+    row comes back to the driver.  ``approx`` uses ``percentile_approx``."""
     q = 1.0 - p
-    agg = F.percentile_approx(score, q, 100000) if approx else F.percentile(score, q)
-    return df.agg(agg.alias("t")).first()["t"]
+    if approx:
+        return df.agg(F.percentile_approx(score, q, 100000).alias("t")).first()["t"]
+    found = exact_percentiles(df, [], score, [q]).first()
+    return found["value"] if found else None
 
 
 def threshold_select(df: DataFrame, threshold: float | None, score: str = "rag_score") -> DataFrame:

@@ -235,11 +235,12 @@ def q_write_metrics_json(spark, sf_dir):
 SELECT setting, lang, md5(query) AS query_md5, md5(passage) AS passage_md5 FROM LANGEVAL""", "LANGEVAL"))
 def q_eval_cache(spark, sf_dir):
     path = shared_dir(spark, "eval-cache")
-    files.eval_cache(spark, path, lambda: td.lang_eval(spark, sf_dir))  # miss: build and write
+    documents = td.table(spark, sf_dir, "documents")
+    files.eval_cache(spark, path, lambda: td.lang_eval(spark, sf_dir), setting="all", source=documents)  # miss: build and write
 
     def must_not_build():
         raise RuntimeError("cache present but rebuilt")
-    again = files.eval_cache(spark, path, must_not_build)  # hit: read back
+    again = files.eval_cache(spark, path, must_not_build, setting="all", source=documents)  # hit: read back
     return again.select("setting", "lang", F.md5("query").alias("query_md5"), F.md5("passage").alias("passage_md5"))
 
 

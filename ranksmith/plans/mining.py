@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark import StorageLevel
 from pyspark.sql import functions as F
 
+from ..functions import rank as R
 from ..operators import bm25, clean
 from ..sources import testdata as td
 from .registry import query, r6
@@ -140,6 +141,28 @@ def q_bm25_topk(spark, sf_dir):
                     r6(F.col("score")).alias("score"))
 
 
+@query("rrank_gain", with_rel(f"""
+WITH {_CLEAN_PAIRS},{_INDEX},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY query_text, gold_passage
+                                        ORDER BY round(score, 9) DESC, passage) AS rn FROM sc)
+SELECT md5(query_text) AS query_md5, md5(gold_passage) AS gold_md5, md5(passage) AS passage_md5, CAST(rn AS BIGINT) AS rank,
+       round(CASE WHEN rn <= 10 THEN 1.0 / rn ELSE 0.0 END, 6) AS rr,
+       round(CASE WHEN rn <= 10 THEN 1.0 / log2(1 + rn) ELSE 0.0 END, 6) AS gain,
+       CAST(CASE WHEN rn <= 1 THEN 1 ELSE 0 END AS DOUBLE) AS hit1,
+       CAST(CASE WHEN rn <= 5 THEN 1 ELSE 0 END AS DOUBLE) AS hit5,
+       CAST(CASE WHEN rn <= 10 THEN 1 ELSE 0 END AS DOUBLE) AS hit10
+FROM ranked WHERE rn <= 15""", "PAIRS"))
+def q_rrank_gain(spark, sf_dir):
+    """Gains of the first ranks of a BM25 ranking."""
+    cleaned = _cleaned_pairs(spark, sf_dir)
+    qs = cleaned.select("query_text", "gold_passage").distinct()
+    t = bm25.bm25_topk(_index(cleaned), qs, ["query_text", "gold_passage"], "query_text", k=15)
+    return t.select(F.md5("query_text").alias("query_md5"), F.md5("gold_passage").alias("gold_md5"), F.md5("passage").alias("passage_md5"),
+                    F.col("rank").cast("long").alias("rank"), r6(R.reciprocal_rank("rank")).alias("rr"),
+                    r6(R.dcg_gain("rank")).alias("gain"), R.hit_at("rank", 1).alias("hit1"),
+                    R.hit_at("rank", 5).alias("hit5"), R.hit_at("rank", 10).alias("hit10"))
+
+
 def bm25_mine_sql(corpus_sql: str, qs_sql: str) -> str:
     """CTE chain (no WITH) ending in ``mined(_scope, query_text, gold_passage,
     mined)``: BM25 over ``corpus_sql`` (``_scope, passage``), first negative

@@ -7,7 +7,6 @@ their dependencies) in definition order.
 from __future__ import annotations
 
 from ..functions.text import WS
-from ..sources.testdata import REPLY_LITERALS
 
 # SQL spellings of the shared text rules.
 def strip_sql(x: str) -> str:
@@ -18,8 +17,6 @@ def tok_sql(x: str) -> str:
     return f"list_filter(regexp_split_to_array(lower({x}), '{WS}+'), lambda t: t <> '')"
 
 
-_RESP_CASES = " ".join(f"WHEN {i} THEN '{s}'" for i, s in enumerate(REPLY_LITERALS))
-
 REL: dict[str, tuple[tuple[str, ...], str]] = {
     "PAIRS": ((), """
         SELECT conv_id, turn, query_text, gold_passage FROM (
@@ -56,7 +53,15 @@ REL: dict[str, tuple[tuple[str, ...], str]] = {
                coalesce(lang, 'und') AS lang, split_part(text, chr(10), 1) AS query, text AS passage
         FROM documents"""),
     "VEC": ((), "SELECT vec_id, CAST(embedding AS DOUBLE[]) AS embedding, label FROM embeddings"),
-    "RESP": ((), f"SELECT doc_id AS id, CASE doc_id % 14 {_RESP_CASES} END AS response FROM documents"),
+    "RESP": ((), """
+        SELECT doc_id AS id, CASE (n + coalesce(doc_id, 0)) % 14
+            WHEN 0 THEN CAST(n % 101 AS VARCHAR) WHEN 1 THEN '0.' || lpad(CAST(n % 100 AS VARCHAR), 2, '0') WHEN 2 THEN '1'
+            WHEN 3 THEN CAST(n % 120 AS VARCHAR) || '/100' WHEN 4 THEN CAST(n % 12 AS VARCHAR) || ' out of 10'
+            WHEN 5 THEN 'Score: ' || CAST(n % 101 AS VARCHAR) WHEN 6 THEN CAST(n % 150 AS VARCHAR) || '%'
+            WHEN 7 THEN CAST(n % 5 AS VARCHAR) || '/4' WHEN 8 THEN 'VERY HARD, ' || head
+            WHEN 9 THEN 'MODERATELY HARD: ' || head WHEN 10 THEN 'VERY EASY because ' || head
+            WHEN 11 THEN 'nan' WHEN 12 THEN head ELSE '' END AS response
+        FROM (SELECT doc_id, coalesce(length(text), 0) AS n, coalesce(split_part(text, chr(10), 1), '') AS head FROM documents)"""),
     "SCORED": (("DIRTY",), """
         SELECT lang, query_text, gold_passage, hard_negative,
                CAST(((length(gold_passage) * 37 + length(query_text)) % 101) AS DOUBLE) / 100.0 AS rag_score

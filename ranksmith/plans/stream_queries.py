@@ -3,10 +3,9 @@ the user-function surface (``udf_surface``)."""
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import clean, grade
+from ..operators import clean, grade, model_pass
 from ..session import shared_dir
 from ..sources import testdata as td
 from ..streaming import incremental
@@ -61,16 +60,14 @@ def q_checkpointed_scoring_stream(spark, sf_dir):
 
 
 def token_counter():
-    """Example user function (Iterator[pandas.DataFrame] -> same), the shape
-    every scorer / generator / encoder plugs in with."""
-    def run(it):
-        for pdf in it:
-            yield pd.DataFrame({"item_id": pdf["item_id"],
-                                "n_tokens": pdf["text"].map(lambda t: len(t.lower().split()) if t else 0)})
-    return run
+    """Example of a user's model: many rows a call, one reply a row."""
+    def call(columns):
+        return [str(len(t.lower().split())) if t else "0" for t in columns["text"]]
+    return call
 
 
 @query("udf_surface", f"SELECT item_id, CAST(len({tok_sql('text')}) AS BIGINT) AS n_tokens FROM benchmark")
 def q_udf_surface(spark, sf_dir):
     b = td.table(spark, sf_dir, "benchmark").select("item_id", "text")
-    return b.mapInPandas(token_counter(), "item_id long, n_tokens long")
+    done = model_pass.run_model(b, model_pass.batched(token_counter), ["text"])
+    return done.replies.select("item_id", F.col("reply").cast("long").alias("n_tokens"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rank as R
 from ..functions import text as T
 from ..functions import vector as V
 from ..operators import bm25, clean, dense, relate
@@ -302,18 +301,3 @@ def q_cosine(spark, sf_dir):
                  F.col("embedding").alias("e2"))
     return v.join(b, "vec_id").select("vec_id", "other_id",
                                       r6(V.cosine("embedding", "e2")).alias("cosine"))
-
-
-@query("rrank_gain", """
-SELECT doc_id, CAST(1 + doc_id % 15 AS BIGINT) AS rank,
-       round(CASE WHEN 1 + doc_id % 15 <= 10 THEN 1.0 / (1 + doc_id % 15) ELSE 0.0 END, 6) AS rr,
-       round(CASE WHEN 1 + doc_id % 15 <= 10 THEN 1.0 / log2(2 + doc_id % 15) ELSE 0.0 END, 6) AS gain,
-       CAST(CASE WHEN 1 + doc_id % 15 <= 1 THEN 1 ELSE 0 END AS DOUBLE) AS hit1,
-       CAST(CASE WHEN 1 + doc_id % 15 <= 5 THEN 1 ELSE 0 END AS DOUBLE) AS hit5,
-       CAST(CASE WHEN 1 + doc_id % 15 <= 10 THEN 1 ELSE 0 END AS DOUBLE) AS hit10
-FROM labels""")
-def q_rrank_gain(spark, sf_dir):
-    lab = td.table(spark, sf_dir, "labels").withColumn("rank", (F.col("doc_id") % 15 + 1).cast("long"))
-    return lab.select("doc_id", "rank", r6(R.reciprocal_rank("rank")).alias("rr"),
-                      r6(R.dcg_gain("rank")).alias("gain"), R.hit_at("rank", 1).alias("hit1"),
-                      R.hit_at("rank", 5).alias("hit5"), R.hit_at("rank", 10).alias("hit10"))

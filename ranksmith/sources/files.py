@@ -8,6 +8,8 @@ Schemas are always explicit (no inference), ids are strings.
 
 from __future__ import annotations
 
+import hashlib
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -250,12 +252,34 @@ def remove(spark: SparkSession, path: str) -> None:
     fs.delete(p, True)
 
 
-def eval_cache(spark: SparkSession, path: str, build, partition_by: Sequence[str] = ("setting", "lang")) -> DataFrame:
-    """Read the evaluation table at ``path`` if present, else build, write
-    (partitioned) and read it back."""
-    if not path_exists(spark, f"{path}/_SUCCESS"):
-        build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+def table_digest(df: DataFrame) -> tuple[int, str]:
+    """Number of rows and a digest of their values that no order changes."""
+    parts = [x for c in df.columns for x in (F.col(f"`{c}`").isNull(), F.col(f"`{c}`"))]
+    half = lambda s: F.sum(F.xxhash64(F.lit(s), *parts).bitwiseAND(0x7FFFFFFF))
+    r = df.agg(F.count(F.lit(1)).alias("n"), half(1).alias("a"), half(2).alias("b")).first()
+    return r.n, f"{r.a or 0:x}-{r.b or 0:x}"
+
+
+def eval_cache(spark: SparkSession, path: str, build, partition_by: Sequence[str] = ("setting", "lang"),
+               setting: str = "", source: DataFrame | None = None) -> DataFrame:
+    """The evaluation table of ``setting`` built from ``source``: read if the
+    cache at ``path`` has it for as many input rows with the same digest, else
+    built, written (partitioned) and read back.  The manifest is written after
+    the table, so a half-written one is never read; what the same setting had
+    for another input is stale and goes."""
+    rows, digest = table_digest(source) if source is not None else (None, None)
+    key = {"setting": setting, "rows": rows, "digest": digest}
+    name = hashlib.md5(json.dumps(key).encode()).hexdigest()
+    entry, manifest = f"{path}/entry={name}", f"{path}/_entry-{name}.json"
+    if not path_exists(spark, manifest):
+        build().write.mode("overwrite").partitionBy(*partition_by).parquet(entry)
+        stale = [n for n in list_names(spark, path, hidden=True) if n.startswith("_entry-")]
+        write_text(spark, manifest, json.dumps(key))
+        for other in stale:
+            if json.loads(read_text(spark, f"{path}/{other}"))["setting"] == setting:
+                remove(spark, f"{path}/{other}")
+                remove(spark, f"{path}/entry={other.removeprefix('_entry-').removesuffix('.json')}")
+    return spark.read.parquet(entry)
 
 
 def write_eval_csv_by_lang(df: DataFrame, path: str, partition_by: Sequence[str] = ("setting", "lang")) -> DataFrame:

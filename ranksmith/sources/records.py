@@ -5,10 +5,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import title_concat
+from .files import normalize_qrels, path_exists
 
 
 def flatten_train_records(df: DataFrame, combine_title: bool = True) -> DataFrame:
@@ -49,3 +50,10 @@ def replicate_qrels(qrels: DataFrame, langs: Sequence[str]) -> DataFrame:
     """The same (English) qrels attached to every translated language: a
     generator over the configured language list, not a join."""
     return qrels.withColumn("lang", F.explode(F.array(*[F.lit(x) for x in langs])))
+
+
+def replicate_qrels_file(spark: SparkSession, path: str, langs: Sequence[str]) -> DataFrame:
+    """``replicate_qrels`` of a qrels file, and no rows where there is none."""
+    qrels = normalize_qrels(spark, path) if path_exists(spark, path) else \
+        spark.createDataFrame([], "query_id string, corpus_id string, score int")
+    return replicate_qrels(qrels, langs)

@@ -19,11 +19,6 @@ TABLES = ("documents", "benchmark", "conversations", "embeddings", "labels", "pa
 LANG_SETTING = [("de", "in_distribution"), ("fr", "in_distribution"),
                 ("es", "out_of_distribution"), ("en", "zero_shot")]
 
-# Model replies cycled over documents by doc_id % 14.
-REPLY_LITERALS = ["85", "0.7", "1", "70/100", "7 out of 10", "Score: 65", "80%", "3/4",
-                  "VERY HARD", "MODERATELY HARD", "VERY EASY", "nan", "no idea", ""]
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -98,11 +93,22 @@ def vectors(spark, sf_dir) -> DataFrame:
 
 
 def replies(spark, sf_dir) -> DataFrame:
-    """RESP: one model reply per document, cycling through REPLY_LITERALS."""
-    lits = F.array(*[F.lit(s) for s in REPLY_LITERALS])
-    return table(spark, sf_dir, "documents").select(
-        F.col("doc_id").alias("id"),
-        F.element_at(lits, (F.col("doc_id") % len(REPLY_LITERALS) + 1).cast("int")).alias("response"))
+    """RESP: one model reply per document, in one of fourteen forms by the
+    length of its text; numbers come from the length, prose from the text."""
+    n, head = F.coalesce(F.length("text"), F.lit(0)), F.coalesce(first_line("text"), F.lit(""))
+
+    def number(m):
+        return (n % m).cast("string")
+
+    forms = [number(101), F.concat(F.lit("0."), F.lpad(number(100), 2, "0")), F.lit("1"), F.concat(number(120), F.lit("/100")),
+             F.concat(number(12), F.lit(" out of 10")), F.concat(F.lit("Score: "), number(101)), F.concat(number(150), F.lit("%")),
+             F.concat(number(5), F.lit("/4")), F.concat(F.lit("VERY HARD, "), head), F.concat(F.lit("MODERATELY HARD: "), head),
+             F.concat(F.lit("VERY EASY because "), head), F.lit("nan"), head, F.lit("")]
+    k = (n + F.coalesce(F.col("doc_id"), F.lit(0))) % len(forms)
+    reply = forms[-1]
+    for i, form in enumerate(forms[:-1]):
+        reply = F.when(k == i, form).otherwise(reply)
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), reply.alias("response"))
 
 
 def scored(spark, sf_dir) -> DataFrame:
