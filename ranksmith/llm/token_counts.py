@@ -5,8 +5,10 @@ folder that all executors see.  Documents are joined to it by the digest of
 their normalised content and the digest of the tokenizer version; only
 distinct contents without an entry are encoded, and their counts appended.
 
-A distinct content's text moves at most once and one copy of it: digests are
-grouped first, without texts, and name one row whose text is then fetched.
+Digests are grouped and held against the cache first, without texts, and name
+one row for each distinct miss.  Without a miss no text is read again.  Up to
+``BROADCAST_MISSES`` misses their names are broadcast and the texts encoded
+where they lie; only beyond that are texts moved to be matched.
 
 Defined results: a null text counts as empty (0 tokens); equal texts are
 encoded once and share a count; repeated rows each get a result row; an empty
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 
 from .common import map_texts, per_worker, staged, text_or_empty
 
+#: Misses (a digest and an id) whose names are broadcast at most.
+BROADCAST_MISSES = 1 << 19
 CACHE_SCHEMA = T.StructType([T.StructField("content", T.BinaryType()),
                              T.StructField("tokenizer", T.BinaryType()),
                              T.StructField("n_tokens", T.LongType())])
@@ -74,12 +78,21 @@ def read_cache(spark: SparkSession, cache: str) -> DataFrame:
 def fill_cache(df: DataFrame, path: str, cache: str, doc_id: str = "doc_id", text: str = "text",
                normalise=None) -> None:
     """Encode each distinct content without an entry and append its count."""
+    keyed = staged(df.select(F.col(f"`{doc_id}`").alias("doc_id"), content_digest(text, normalise).alias("content")), "digests")
+    _fill(df, keyed, path, cache, doc_id, text, normalise)
+
+
+def _fill(df: DataFrame, digests: DataFrame, path: str, cache: str, doc_id: str, text: str, normalise) -> None:
     spark, version = df.sparkSession, tokenizer_digest(path)
+    known = read_cache(spark, cache).where(F.col("tokenizer") == F.lit(version)).select("content").distinct()
+    missing = staged(digests.groupBy("content").agg(F.min("doc_id").alias("_rs_first"))
+                     .join(known, "content", "left_anti"), "misses")
+    misses = missing.count()
+    if not misses:
+        return
     keyed = df.select(F.col(f"`{doc_id}`").alias("_rs_id"), F.col(f"`{text}`").alias("_rs_text"),
                       content_digest(text, normalise).alias("content"))
-    known = read_cache(spark, cache).where(F.col("tokenizer") == F.lit(version)).select("content").distinct()
-    missing = (keyed.groupBy("content").agg(F.min("_rs_id").alias("_rs_first"))
-               .join(known, "content", "left_anti"))
+    missing = F.broadcast(missing) if misses <= BROADCAST_MISSES else missing
     named = (keyed.alias("k").join(
         missing.alias("m"),
         (F.col("k.content") == F.col("m.content")) & F.col("k._rs_id").eqNullSafe(F.col("m._rs_first")), "left_semi")
@@ -111,7 +124,7 @@ def count_tokens(df: DataFrame, path: str, cache: str, doc_id: str = "doc_id", t
     keyed = staged(df.select(F.col(f"`{doc_id}`").alias("doc_id"),
                              F.octet_length(text_or_empty(text)).cast("long").alias("n_bytes"),
                              content_digest(text, normalise).alias("content")), "digests")
-    fill_cache(df, path, cache, doc_id, text, normalise)
+    _fill(df, keyed, path, cache, doc_id, text, normalise)
     # Kept, so that the join reads it plainly and can split a hot content's rows.
     stored = staged(read_cache(spark, cache).where(F.col("tokenizer") == F.lit(tokenizer_digest(path)))
                     .groupBy("content").agg(F.max("n_tokens").alias("n_tokens")), "counts")
