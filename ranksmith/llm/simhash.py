@@ -78,6 +78,11 @@ def _masks(flips: int, lo: int = 0, hi: int = 64) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in out]
 
 
+#: Fingerprints for each partition of the variants: their heads, at most 65
+#: rows a fingerprint, take some 30 MB there.
+NODES_A_PART = 1 << 14
+
+
 def _flipped(nodes: DataFrame, masks: list[int]) -> DataFrame:
     """(variant, nth), a row for each mask; ``_unflipped`` has the fingerprint
     from them, so that each row moves one random number and a small one."""
@@ -97,8 +102,10 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
     # Few bytes become many rows: deal them out first.
     spark = nodes.sparkSession
     tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    # The join holds a partition's heads in memory: their number follows the data.
+    parts = max(tasks, nodes.count() // NODES_A_PART + 1)
     nodes = nodes.repartition(tasks, "fp")
-    core = (_flipped(nodes, ball).repartition("variant").select("variant", _unflipped(ball))
+    core = (_flipped(nodes, ball).repartition(parts, "variant").select("variant", _unflipped(ball))
             .withColumn("head", F.min("fp").over(Window.partitionBy("variant"))))
     found = core.where(F.col("fp") != F.col("head")).select("fp", "head")
     if odd:
@@ -106,7 +113,7 @@ def links(nodes: DataFrame, radius: int = 3) -> DataFrame:
         outer = _flipped(nodes.where(F.bit_count("fp") % 2 == 1), shell)
         # Only variants that an odd fingerprint can reach with k + 1 flips.
         heads = core.where((F.col("fp") == F.col("head")) & (F.bit_count("variant") % 2 == k % 2)).select("variant", "head")
-        met = outer.join(heads.hint("shuffle_hash"), "variant")
+        met = outer.repartition(parts, "variant").join(heads.hint("shuffle_hash"), "variant")
         found = found.unionByName(met.select(_unflipped(shell), "head"))
     near = F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) <= radius
     return found.where(near & (F.col("fp") != F.col("head"))).select(
