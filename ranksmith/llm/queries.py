@@ -111,8 +111,9 @@ def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     model = toxicity.fit(docs, read(spark, sf_dir, "labels"))
-    return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score",
-                                              (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return toxicity.located(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score",
+                                                (F.col("score") >= 0.5).cast("int").alias("predicted"),
+                                                "n_offending", "worst_start", "worst_stop")
 
 
 @_query("op8_chunk_recipes", r"""

@@ -83,6 +83,10 @@ def sentences(text: bytes) -> list[tuple[int, int]]:
     return [*out, (start, stop)] if words else out
 
 
+def _noisy_or(logits: np.ndarray) -> float:
+    return float(-np.expm1(-np.logaddexp(0, logits).sum()))
+
+
 class Model:
     def __init__(self, weights: dict[str, float], bias: float):
         self.weights, self.bias = weights, bias
@@ -109,7 +113,16 @@ class Model:
         return self.bias + (sums[real] if real.any() else np.zeros(1))
 
     def score(self, text: bytes) -> float:
-        return float(-np.expm1(-np.logaddexp(0, self.logits(text)).sum()))
+        return _noisy_or(self.logits(text))
+
+    def located(self, text: bytes, least: float) -> tuple:
+        """Score, number of sentences of ``least`` or more, and the byte range
+        of the worst of them (null without one)."""
+        logits = self.logits(text)
+        ps = 1 / (1 + np.exp(-logits))
+        n = int((ps >= least).sum())
+        spans = sentences(text) if n else []
+        return (_noisy_or(logits), n, *(spans[int(ps.argmax())] if len(spans) == len(ps) else (None, None)))
 
     def offending(self, text: bytes, least: float) -> list[tuple[int, int, float]]:
         spans = sentences(text)
@@ -262,6 +275,21 @@ def score(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text
                      make_kernel, [T.StructField("score", T.DoubleType())])
 
 
+def located(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text", least: float = 0.5) -> DataFrame:
+    """One row per row of ``df``: doc_id, score, n_offending (sentences that
+    score ``least`` or more), worst_start and worst_stop (byte range in the
+    text's UTF-8 of the one that scores most; null without one)."""
+    sent = df.sparkSession.sparkContext.broadcast(model)  # VOCABULARY words
+
+    def make_kernel():
+        m = per_worker("words", sent.value.key, sent.value.ready)
+        return lambda texts: [list(c) for c in zip(*(m.located(t or b"", least) for t in texts))]
+
+    return map_texts(df.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("_rs_text")), "_rs_text", make_kernel,
+                     [T.StructField("score", T.DoubleType()),
+                      *(T.StructField(c, T.LongType()) for c in ("n_offending", "worst_start", "worst_stop"))])
+
+
 def offending_sentences(df: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text",
                         least: float = 0.5) -> DataFrame:
     """(doc_id, start, stop, score, sentence) for sentences that score
