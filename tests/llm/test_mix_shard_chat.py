@@ -180,3 +180,32 @@ def test_word_count(odd_docs):
     got = odd_docs.select("text", mixing.word_count("text").alias("n")).collect()
     assert all(r.n == len(WORD.findall(r.text or "")) for r in got)
     assert odd_docs.select(F.max(mixing.position_hash("doc_id", "text"))).first()[0] < 1 << 60
+
+
+def test_splits_follow_the_widest_axis(spark):
+    """Every node of the tree that the shards make: the units left and right
+    of its middle are apart on its relatively widest axis, near half its bytes."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").dropDuplicates(["text"])
+    docs = spark.createDataFrame(docs.collect(), docs.schema)
+    body = F.coalesce("text", F.lit(""))
+    shard = {r.doc_id: r.shard for r in sharding.assign(docs, shards=8).collect()}
+    axes = [sharding.metadata_value(docs, "lang"), sharding.metadata_value(docs, "source"),
+            F.log2(F.octet_length(body) + 1), F.xxhash64(body).cast("double")]
+    rows = [([-1.0 if v == float("-inf") else v for v in r[2:]], len(r.t.encode()) + 1, shard[r.doc_id])
+            for r in docs.select("doc_id", body.alias("t"), *[a.alias(f"a{i}") for i, a in enumerate(axes)]).collect()]
+    span = [max(u[0][i] for u in rows) - min(u[0][i] for u in rows) or 1 for i in range(4)]
+
+    def node(first, n):
+        if n == 1:
+            return
+        own = [u for u in rows if first <= u[2] < first + n]
+        wide = [max(u[0][i] for u in own) - min(u[0][i] for u in own) for i in range(4)]
+        axis = max(range(4), key=lambda i: (wide[i] / span[i], -i))
+        left, right = ([u for u in own if (u[2] < first + n // 2) == side] for side in (True, False))
+        step = wide[axis] / 65535
+        assert max(u[0][axis] for u in left) <= min(u[0][axis] for u in right) + step
+        assert abs(sum(u[1] for u in left) - sum(u[1] for u in own) / 2) <= max(u[1] for u in own)
+        node(first, n // 2)
+        node(first + n // 2, n - n // 2)
+
+    node(0, 8)
