@@ -3,6 +3,14 @@
 Each stage takes ``(spark, docs, sf_dir)`` and works on all rows that the one
 before kept; results are written as Parquet and read again between stages.
 All stages but the last return the columns of ``documents``.
+
+Defined results, for any table with the columns of ``documents``: null and
+empty texts are documents like others (one of them stays in exact dedup, all
+have fingerprint zero, they hold no words to mix, and encode to no ids); null
+ids and sources are values of their own; rows identical in every column count
+as one where one of a group must stay, and where it ties the smallest id, null
+last, wins; long texts are read whole; further columns are carried along,
+whatever their names; an empty table stays empty through every stage.
 """
 
 from __future__ import annotations
