@@ -307,15 +307,19 @@ def parse_pair_verdict(response, strict: bool = False) -> tuple[Column, Column,
             F.when(empty, F.lit("Empty response")))
 
 
-def parse_numbered_list(text, n: int, fallback_chars: int | None = None) -> Column:
+def parse_numbered_list(text, n: int, fallback_chars: int | None = None, drop_preamble: bool = False) -> Column:
     """Reply -> array of at most ``n`` items.
 
     Lines are stripped; a line starting ``1.``..``9.`` opens a new item (its
     text after the first dot), other non-empty lines join the current item
-    with a space.  Lines before the first number form an item of their own.
+    with a space.  Lines before the first number form an item of their own,
+    or are left out with ``drop_preamble`` (a reply without numbers stays).
     Empty result: ``[]``, or ``[text[:fallback_chars]]`` when set.
     """
     lines = F.transform(F.split(F.coalesce(_c(text), F.lit("")), "\n"), strip_text)
+    if drop_preamble:
+        first = F.array_position(F.transform(lines, lambda x: x.rlike("^[1-9]\\.")), True).cast("int")
+        lines = F.when(first > 0, F.slice(lines, first, F.size(lines))).otherwise(lines)
     acc0 = F.struct(F.array().cast("array<string>").alias("items"),
                     F.lit(None).cast("string").alias("cur"))
 

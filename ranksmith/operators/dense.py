@@ -292,9 +292,11 @@ def index_metadata(corpus: DataFrame, vec: str = "embedding", model: str = "") -
                       F.max(F.size(vec)).alias("dim")).withColumn("model", F.lit(model))
 
 
-def _stats_kernel(other_than_self: bool):
+def _stats_kernel(other_than_self: bool, eps: float | None):
     def kernel(P, pids, Q, ids, extras):
         S = P @ Q.T
+        if eps is not None:
+            S /= np.linalg.norm(P, axis=1)[:, None] * np.linalg.norm(Q, axis=1)[None, :] + eps
         used = pids[:, None] != ids[None, :] if other_than_self else np.ones(S.shape, bool)
         return {"qid": ids, "n": used.sum(axis=0).astype(np.int64), "sum": np.where(used, S, 0.0).sum(axis=0),
                 "max": np.where(used, S, -np.inf).max(axis=0)}
@@ -303,12 +305,13 @@ def _stats_kernel(other_than_self: bool):
 
 def score_all_pairs(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec: str = "qvec",
                     pid: str = "pid", pvec: str = "pvec", scope: Sequence[str] = (),
-                    block_bytes: int = BLOCK_BYTES, other_than_self: bool = False) -> DataFrame:
+                    block_bytes: int = BLOCK_BYTES, other_than_self: bool = False, eps: float | None = None) -> DataFrame:
     """Score every query against every passage (the nested-loop evaluator)
     and keep per-query aggregates ``(scope..., qid, n_scored, score_sum,
-    score_max)`` -- the pairs themselves are never written out."""
+    score_max)`` -- the pairs themselves are never written out.  Scores are
+    inner products, or with ``eps`` cosines ``dot / (|q| |p| + eps)``."""
     fields = [T.StructField("qid", queries.schema[qid].dataType), T.StructField("n", T.LongType()),
               T.StructField("sum", T.DoubleType()), T.StructField("max", T.DoubleType())]
-    s = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_bytes, _stats_kernel(other_than_self), fields)
+    s = _scan(queries, corpus, scope, qid, qvec, pid, pvec, block_bytes, _stats_kernel(other_than_self, eps), fields)
     return s.groupBy(*scope, "qid").agg(F.sum("n").alias("n_scored"), F.sum("sum").alias("score_sum"),
                                         F.max("max").alias("score_max")).withColumnRenamed("qid", qid)

@@ -186,25 +186,25 @@ def _generation_calls(df: DataFrame, n: int, model: Model | None) -> DataFrame:
     return call_model(p, model or list_generator(n), ["prompt", "query_text", "gold_passage"])
 
 
-def _parsed(df: DataFrame, replies: DataFrame, n: int, fallback_chars: int | None) -> DataFrame:
-    items = X.parse_numbered_list("reply", n, fallback_chars)
+def _parsed(df: DataFrame, replies: DataFrame, n: int, fallback_chars: int | None, drop_preamble: bool) -> DataFrame:
+    items = X.parse_numbered_list("reply", n, fallback_chars, drop_preamble)
     return replies.select(*[c for c in df.columns if c != "hard_negative"], F.posexplode(items).alias("_pos", "hard_negative")) \
         .withColumn("negative_num", (F.col("_pos") + 1).cast("int")).drop("_pos")
 
 
 def generate_negatives(df: DataFrame, n: int = 3, model: Model | None = None,
-                       fallback_chars: int | None = None) -> DataFrame:
+                       fallback_chars: int | None = None, drop_preamble: bool = False) -> DataFrame:
     """One row per generated negative: triplet + ``negative_num`` (1-based).
     Failed calls produce no rows; ``generation_pass`` keeps them."""
-    return _parsed(df, _generation_calls(df, n, model).filter("success"), n, fallback_chars)
+    return _parsed(df, _generation_calls(df, n, model).filter("success"), n, fallback_chars, drop_preamble)
 
 
 def generation_pass(df: DataFrame, n: int = 3, model: Model | None = None, fallback_chars: int | None = None,
-                    path: str | None = None) -> tuple[DataFrame, ModelPass]:
+                    path: str | None = None, drop_preamble: bool = False) -> tuple[DataFrame, ModelPass]:
     """``generate_negatives`` with its model pass, whose dead letters are the
     rows without negatives: the model is called once for both."""
     done = split_pass(_generation_calls(df, n, model), path)
-    return _parsed(df, done.replies, n, fallback_chars), done
+    return _parsed(df, done.replies, n, fallback_chars, drop_preamble), done
 
 
 def generation_report(df: DataFrame, n: int = 3, model: Model | None = None) -> DataFrame:

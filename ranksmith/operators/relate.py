@@ -20,34 +20,41 @@ def cast_ids(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     return df.withColumns({c: F.col(c).cast("string") for c in cols})
 
 
+def relevant(qrels: DataFrame, min_score: int | None) -> DataFrame:
+    """The judgements of at least ``min_score`` (None: all, as the score is
+    ignored unless asked for)."""
+    return qrels if min_score is None else qrels.filter(F.col("score") >= min_score)
+
+
 def join_qrels_inner(qrels: DataFrame, queries: DataFrame, corpus: DataFrame,
                      query_out: str = "query_text", passage_out: str = "gold_passage",
-                     keep: Sequence[str] = ()) -> DataFrame:
+                     keep: Sequence[str] = (), min_score: int | None = None) -> DataFrame:
     """qrels ⋈ queries on query id ⋈ corpus on corpus id (inner), projected
-    to (query, passage) and null rows dropped.  One row per qrels row."""
+    to (query, passage) and null rows dropped.  One row per qrels row of at
+    least ``min_score``."""
     q = cast_ids(queries, ["query_id"]).select("query_id", F.col("text").alias(query_out))
     c = cast_ids(corpus, ["corpus_id"]).select("corpus_id", F.col("text").alias(passage_out))
-    r = cast_ids(qrels, ["query_id", "corpus_id"]).na.drop(subset=["query_id", "corpus_id"])
+    r = cast_ids(relevant(qrels, min_score), ["query_id", "corpus_id"]).na.drop(subset=["query_id", "corpus_id"])
     out = r.join(q, "query_id").join(c, "corpus_id")
     return out.select(*keep, query_out, passage_out).na.drop(subset=[query_out, passage_out])
 
 
 def join_qrels_eval(qrels: DataFrame, queries: DataFrame, corpus: DataFrame,
-                    nrows: int | None = None) -> DataFrame:
+                    nrows: int | None = None, min_score: int | None = None) -> DataFrame:
     """Evaluation pairs ``(query, passage)`` for the first ``nrows`` queries
     by query id (the source's file order has no Spark meaning)."""
     q = cast_ids(queries, ["query_id"])
     if nrows is not None:
         q = q.orderBy("query_id").limit(nrows)
-    return join_qrels_inner(qrels, q, corpus, "query", "passage", keep=["query_id", "corpus_id"])
+    return join_qrels_inner(qrels, q, corpus, "query", "passage", keep=["query_id", "corpus_id"], min_score=min_score)
 
 
-def join_qrels_left(qrels: DataFrame, queries: DataFrame, corpus: DataFrame) -> DataFrame:
+def join_qrels_left(qrels: DataFrame, queries: DataFrame, corpus: DataFrame, min_score: int | None = None) -> DataFrame:
     """qrels ⟕ queries ⟕ corpus, project (query, passage), distinct, drop
     rows with a missing side."""
     q = cast_ids(queries, ["query_id"]).select("query_id", F.col("text").alias("query"))
     c = cast_ids(corpus, ["corpus_id"]).select("corpus_id", F.col("text").alias("passage"))
-    r = cast_ids(qrels, ["query_id", "corpus_id"])
+    r = cast_ids(relevant(qrels, min_score), ["query_id", "corpus_id"])
     out = r.join(q, "query_id", "left").join(c, "corpus_id", "left").select("query", "passage")
     return out.distinct().na.drop()
 

@@ -194,11 +194,12 @@ def q_gold_rank_topk(spark, sf_dir):
 
 
 @query("score_all_pairs", vec_sql("""
-SELECT model, query_id, count(*) AS n_scored, round(sum(score), 6) AS score_sum, round(max(score), 6) AS score_max
+SELECT model, query_id, count(*) AS n_scored, round(sum(score / (1 + 1e-8)), 6) AS score_sum,
+       round(max(score / (1 + 1e-8)), 6) AS score_max
 FROM S GROUP BY model, query_id"""))
 def q_score_all_pairs(spark, sf_dir):
     qs, ps = vec_models(spark, sf_dir)
-    s = dense.score_all_pairs(qs, ps, qid="query_id", pid="passage_id", scope=["model"], other_than_self=True)
+    s = dense.score_all_pairs(qs, ps, qid="query_id", pid="passage_id", scope=["model"], other_than_self=True, eps=1e-8)
     return s.select("model", "query_id", "n_scored", r6(F.col("score_sum")).alias("score_sum"),
                     r6(F.col("score_max")).alias("score_max"))
 
