@@ -27,6 +27,7 @@ from pyspark.sql import types as T
 from ..session import ship_package, staged
 from . import dense_index
 from .dense_index import ClusterIndex
+from .model_pass import ModelPass, split_pass
 
 Encoder = Callable[[pd.Series], np.ndarray]
 
@@ -49,18 +50,18 @@ def hashed_bow_encoder(dim: int = 64) -> Callable[[], Encoder]:
     def factory() -> Encoder:
         bucket: dict[str, int] = {}  # per task: tokens repeat, hash each once
 
+        def place(tok: str) -> int:
+            if tok not in bucket:
+                if len(bucket) > 1_000_000:
+                    bucket.clear()
+                bucket[tok] = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim
+            return bucket[tok]
+
         def encode(texts: pd.Series) -> np.ndarray:
-            out = np.zeros((len(texts), dim), dtype=np.float64)
-            for i, t in enumerate(texts):
-                if t is None:
-                    continue
-                for tok in t.lower().split():
-                    b = bucket.get(tok)
-                    if b is None:
-                        if len(bucket) > 1_000_000:
-                            bucket.clear()
-                        b = bucket[tok] = int(hashlib.md5(tok.encode()).hexdigest()[:8], 16) % dim
-                    out[i, b] += 1.0
+            split = [t.lower().split() if t is not None else [] for t in texts]
+            rows = np.repeat(np.arange(len(split)), [len(ts) for ts in split])
+            at = np.fromiter((place(t) for ts in split for t in ts), np.int64, len(rows))
+            out = np.bincount(rows * dim + at, minlength=len(split) * dim).reshape(-1, dim).astype(np.float64)
             norms = np.linalg.norm(out, axis=1, keepdims=True)
             return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0)
         return encode
@@ -101,6 +102,14 @@ def embed_batches(df: DataFrame, text: str, encoder: Callable[[], Encoder], out:
     return df.mapInPandas(run, schema)
 
 
+def embed_pass(df: DataFrame, text: str, encoder: Callable[[], Encoder], out: str = "embedding", batch_size: int = 32,
+               path: str | None = None) -> ModelPass:
+    """``embed_batches`` once, written: ``replies`` have vectors, and the rows
+    of failing batches are ``dead_letters`` with their ``error``."""
+    made = embed_batches(df, text, encoder, out, batch_size, error="error")
+    return split_pass(made.withColumn("success", F.col("error").isNull()), path)
+
+
 # --- blocked exact scoring ---------------------------------------------------------
 
 # A block is about this many bytes of float64 vectors; inside a task the
@@ -275,14 +284,17 @@ def gold_rank_full(queries: DataFrame, corpus: DataFrame, qid: str = "qid", qvec
 
 
 def nearest_texts(queries: DataFrame, passages: DataFrame, encoder: Callable[[], Encoder], k: int = 3,
-                  query: str = "query_text", passage: str = "passage") -> DataFrame:
+                  query: str = "query_text", passage: str = "passage", path: str | None = None) -> DataFrame:
     """The ``k`` passages whose vectors are nearest to each distinct query's:
     ``(query, rank, passage)``.  Vectors travel with md5 ids; the texts are
-    joined in for the chosen pairs only.  Ties: passage id ascending."""
+    joined in for the chosen pairs only.  Ties: passage id ascending.  Texts
+    that the encoder failed on take no part; with ``path`` their dead letters
+    stay there, in ``queries`` and ``passages`` (``model_pass.read_pass``)."""
     q = queries.select(query).na.drop().distinct().withColumn("qid", F.md5(query))
     p = passages.select(passage).na.drop().distinct().withColumn("pid", F.md5(passage))
-    top = dense_topk(embed_batches(q, query, encoder, "qvec").select("qid", "qvec"),
-                     embed_batches(p, passage, encoder, "pvec").select("pid", "pvec"), k=k)
+    q_vecs, p_vecs = (embed_pass(df, text, encoder, out, path=path and f"{path}/{side}").replies
+                      for df, text, out, side in ((q, query, "qvec", "queries"), (p, passage, "pvec", "passages")))
+    top = dense_topk(q_vecs.select("qid", "qvec"), p_vecs.select("pid", "pvec"), k=k)
     return top.join(q, "qid").join(p, "pid").select(query, "rank", passage)
 
 

@@ -21,7 +21,7 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -148,5 +148,10 @@ def split_pass(called: DataFrame, path: str | None = None) -> ModelPass:
     path = path or shared_dir(spark, "model-pass")
     schema = called.schema
     called.withColumn("answered", F.col("success").cast("int")).write.mode("overwrite").partitionBy("answered").parquet(path)
+    return read_pass(spark, path, schema)
+
+
+def read_pass(spark: SparkSession, path: str, schema: T.StructType) -> ModelPass:
+    """A pass that was written to ``path``, of rows of this schema."""
     back = spark.read.schema(T.StructType([*schema.fields, T.StructField("answered", T.IntegerType())])).parquet(path)
     return ModelPass(*(back.where(F.col("answered") == side).select(*schema.names) for side in (1, 0)))

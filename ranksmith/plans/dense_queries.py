@@ -109,7 +109,7 @@ def vec_gold_ranks(spark, sf_dir):
 # --- text (LANGEVAL) models -------------------------------------------------------------
 
 def _encode(df, text, dim):
-    return dense.embed_batches(df, text, dense.hashed_bow_encoder(dim), out="vec")
+    return dense.embed_pass(df, text, dense.hashed_bow_encoder(dim), out="vec").replies
 
 
 def text_models(spark, sf_dir):

@@ -204,9 +204,8 @@ UNION ALL
 SELECT 'selected', lang, md5(query_text), md5(hard_negative), round(rag_score, 6)
 FROM SCORED WHERE rag_score >= (SELECT quantile_cont(rag_score, 0.5) FROM SCORED)""", "SCORED"))
 def q_write_scored_and_selected(spark, sf_dir):
-    s = td.scored(spark, sf_dir)
-    sel, _ = select_top_fraction(s, 0.5)
-    a, b = files.write_scored_and_selected(s, sel, shared_dir(spark, "selection"))
+    a, b = files.write_scored_and_selected(td.scored(spark, sf_dir), shared_dir(spark, "selection"),
+                                           lambda written: select_top_fraction(written, 0.5)[0])
     out = None
     for which, p in (("all", a), ("selected", b)):
         x = spark.read.parquet(p).select(F.lit(which).alias("which"), "lang", F.md5("query_text").alias("query_md5"),

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -181,11 +181,14 @@ def read_tsv_eval_sources(spark: SparkSession, queries_path: str, corpus_path: s
 
 # --- other sinks ---------------------------------------------------------------------------
 
-def write_scored_and_selected(scored: DataFrame, selected: DataFrame, root: str) -> tuple[str, str]:
-    """All scored rows and the selected rows as two parquet tables."""
-    scored.write.mode("overwrite").parquet(f"{root}/all_ranked_with_scores")
-    selected.write.mode("overwrite").parquet(f"{root}/selected_high_quality")
-    return f"{root}/all_ranked_with_scores", f"{root}/selected_high_quality"
+def write_scored_and_selected(scored: DataFrame, root: str, choose: Callable[[DataFrame], DataFrame]) -> tuple[str, str]:
+    """All scored rows and the rows that ``choose`` selects of them as two
+    parquet tables.  The scored rows are evaluated once: the selection, with
+    its threshold, reads what was written."""
+    everything, selected = f"{root}/all_ranked_with_scores", f"{root}/selected_high_quality"
+    scored.write.mode("overwrite").parquet(everything)
+    choose(scored.sparkSession.read.schema(scored.schema).parquet(everything)).write.mode("overwrite").parquet(selected)
+    return everything, selected
 
 
 def metrics_to_json(long: DataFrame, keys: Sequence[str] = ("setting", "model")) -> DataFrame:

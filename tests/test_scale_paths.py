@@ -140,6 +140,23 @@ def test_generation_is_called_once(spark):
     assert calls.value == 1 + 3  # one row answered, one tried three times
 
 
+def test_failed_texts_are_kept_apart(spark):
+    def encoder():
+        def encode(texts):
+            if any(t == "bad" for t in texts):
+                raise RuntimeError("down")
+            return np.array([[float(len(t)), 1.0] for t in texts])
+        return encode
+
+    df = spark.createDataFrame([(t,) for t in ("a", "bad", "ccc")], "t string").coalesce(1)
+    done = dense.embed_pass(df, "t", encoder, batch_size=1)
+    assert sorted(r.t for r in done.replies.collect()) == ["a", "ccc"] and done.report().first().failed == 1
+    assert done.dead_letters.first().error == "RuntimeError: down"
+    path = shared_dir(spark, "nearest")
+    near = dense.nearest_texts(df, df.withColumnRenamed("t", "p"), encoder, k=1, query="t", passage="p", path=path)
+    assert near.count() <= 3 and files.path_exists(spark, f"{path}/passages")
+
+
 # --- resumable scoring ----------------------------------------------------------------------
 
 def test_killed_between_write_and_commit(spark, monkeypatch):
