@@ -46,3 +46,29 @@ def test_matches_are_counted_in_blocks(spark, monkeypatch):
     assert seen(got) == seen(m) and len(seen(m)) == 8
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "FlatMapCoGroupsInArrow" in plan or "CoGroup" in plan  # matches are no rows
+
+
+def test_every_score_leaves_its_block_in_pieces(spark, monkeypatch):
+    index, rows = _index(spark, 300)
+    q = spark.createDataFrame(rows, "k string, t string")
+    names = index.corpus.select("pid", "pid2", F.md5("passage").alias("label"))
+    want = bm25.bm25_scores(index, q, ["k"], "t").join(names, ["pid", "pid2"])
+    got = bm25.bm25_scores(index, q, ["k"], "t", label=F.md5("passage"))
+    seen = lambda df: sorted((r.k, r.pid, r.pid2, r.label, round(r.score, 9)) for r in df.collect())
+    assert seen(got) == seen(want) and got.columns == ["k", "pid", "pid2", "score", "label"]
+    # Scored rows go through no exchange: the Python step is the plan's last.
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan[:plan.index("FlatMapGroupsInArrow")]
+    table = index.corpus.limit(0)
+    assert bm25.bm25_scores(bm25.bm25_index(table.select("passage")), q, ["k"], "t", label=F.md5("passage")).collect() == []
+
+
+def test_postings_move_once_to_their_blocks(spark):
+    index, _ = _index(spark, 100)
+    plan = index.counts._jdf.queryExecution().executedPlan().toString()
+    blocks = blockmax.posting_blocks(index, 16)
+    made = blocks._jdf.queryExecution().executedPlan().toString().split("InMemoryRelation")[0]
+    assert plan.count("Exchange hashpartitioning(term") == 0  # terms are counted where the texts are
+    assert made.count("Generate explode") == 0  # nothing tokenizes or counts again
+    sums = blocks.select(F.sum("tfs").alias("t"), F.sum(F.size("docs")).alias("n")).first()
+    assert (sums.t, sums.n) == tuple(index.counts.agg(F.sum("tf"), F.count(F.lit(1))).first())
