@@ -6,7 +6,8 @@ Two forms:
 * ``resume_scoring`` -- batch form, driven by a manifest.  What is left to do
   is written once, in files of bounded rows, and a *plan* groups these files
   into batches of bounded bytes.  A batch is *written* (its folder is
-  complete) and then *committed* (a mark in the manifest).  A later run takes
+  complete) and then *committed* (a mark in the manifest).  Batches are jobs
+  of their own, several run at a time.  A later run takes
   up an open plan where it stands: batches written but not committed are
   committed as they are, the rest is scored; only when no plan is open are
   the keys already there taken off the input and a new plan made.
@@ -22,6 +23,8 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+from threading import Event
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -32,6 +35,8 @@ Scorer = Callable[[DataFrame], DataFrame]
 
 #: Bytes of written input that a batch holds at most, where one file does not exceed them.
 BATCH_BYTES = 64 << 20
+#: Batches that run together at most.
+MOST_AT_A_TIME = 4
 
 
 class Manifest:
@@ -80,6 +85,11 @@ class Manifest:
             return "committed"
         return "written" if path_exists(self.spark, f"{self.out}/batch={batch['id']}/_SUCCESS") else "planned"
 
+    def states(self, plan: dict) -> dict[str, str]:
+        """The state of each batch, from one listing of the marks."""
+        marks = set(self._named("commit-"))
+        return {b["id"]: "committed" if f"commit-{b['id']}" in marks else self.state(b) for b in plan["batches"]}
+
     def commit(self, batch: dict) -> None:
         write_text(self.spark, f"{self.root}/commit-{batch['id']}", json.dumps({"bytes": batch["bytes"]}))
 
@@ -89,12 +99,14 @@ class Manifest:
 
 
 def resume_scoring(df: DataFrame, key: str, scorer: Scorer, out_path: str, batch_rows: int = 0,
-                   batch_bytes: int = BATCH_BYTES, stop_after: int | None = None) -> int:
+                   batch_bytes: int = BATCH_BYTES, stop_after: int | None = None, at_a_time: int | None = None) -> int:
     """Score the rows of ``df`` whose ``key`` is not yet in ``out_path``
     (parquet), batch by batch.  A batch has about ``batch_bytes`` of written
     input, or with ``batch_rows`` no more than so many rows.  ``stop_after``
-    ends after that many batches (to exercise a resume).  Returns the batches
-    scored."""
+    ends after that many batches (to exercise a resume).  Small batches leave
+    most of a cluster idle, so ``at_a_time`` of them run together (default:
+    the cores, up to ``MOST_AT_A_TIME``); where one fails, those begun are
+    still committed.  Returns the batches scored."""
     spark = df.sparkSession
     manifest = Manifest(spark, out_path)
     plan = manifest.open_plan()
@@ -103,19 +115,35 @@ def resume_scoring(df: DataFrame, key: str, scorer: Scorer, out_path: str, batch
         if list_names(spark, out_path):  # a read that fails is an error, never "nothing done yet"
             todo = df.join(spark.read.parquet(out_path).select(key).distinct(), key, "left_anti")
         plan = manifest.make_plan(todo, batch_bytes, batch_rows)
-    schema, scored = T.StructType.fromJson(json.loads(plan["schema"])), 0
+    schema = T.StructType.fromJson(json.loads(plan["schema"]))
+    states = manifest.states(plan)
+    planned = [batch for batch in plan["batches"] if states[batch["id"]] == "planned"]
     for batch in plan["batches"]:
-        state = manifest.state(batch)
-        if state == "planned":
-            if scored == stop_after:
-                return scored
+        if states[batch["id"]] == "written":
+            manifest.commit(batch)
+
+    failed = Event()  # none is begun after a failure
+
+    def score(batch: dict) -> None:
+        if failed.is_set():
+            return
+        try:
             part = spark.read.schema(schema).parquet(*[f"{plan['folder']}/{n}" for n in batch["names"]])
             scorer(part).write.mode("overwrite").parquet(f"{out_path}/batch={batch['id']}")
-            scored += 1
-        if state != "committed":
             manifest.commit(batch)
-    manifest.close(plan)
-    return scored
+        except BaseException:
+            failed.set()
+            raise
+
+    todo = planned[:stop_after]
+    width = at_a_time or min(max(spark.sparkContext.defaultParallelism, 1), MOST_AT_A_TIME)
+    with ThreadPoolExecutor(width) as pool:
+        jobs = [pool.submit(score, batch) for batch in todo]
+    for job in jobs:
+        job.result()
+    if len(todo) == len(planned):
+        manifest.close(plan)
+    return len(todo)
 
 
 def stream_scoring(spark: SparkSession, input_path: str, schema: T.StructType, scorer: Scorer,
