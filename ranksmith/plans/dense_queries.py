@@ -90,9 +90,12 @@ BLOCK_ROWS = 64
 
 
 def _indexed(spark, sf_dir):
+    """Queries, corpus and its index; the corpus is read from the index."""
     qs, ps = vec_models(spark, sf_dir)
-    ps = staged(ps, "model-vectors")
-    return staged(qs, "model-queries"), ps, dense_index.cluster_index(ps, "passage_id", "pvec", ["model"], BLOCK_ROWS)
+    index = dense_index.cluster_index(ps, "passage_id", "pvec", ["model"], BLOCK_ROWS)
+    if index is not None:
+        ps = index.vectors.select("model", F.col("_id").alias("passage_id"), F.col("_vec").alias("pvec"))
+    return staged(qs, "model-queries"), ps, index
 
 
 def vec_topk(spark, sf_dir, k=10):
