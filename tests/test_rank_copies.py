@@ -1,9 +1,10 @@
 """Gold ranks: vectors are written once as given and once with their block, and
-looked at once for the golds."""
+looked at once for the golds; the modes of the validity filter share the ranks."""
 
 from pyspark.sql import functions as F
 
 from ranksmith.operators import dense, dense_index
+from ranksmith.plans import eval_queries
 from ranksmith.session import staged
 
 
@@ -39,3 +40,21 @@ def test_golds_are_scored_once(spark):
     assert {(40, 301, 300), (60, 301, 300), (2000, 301, 300)} <= set(rows(ranked))
     # neither the scores nor the golds' vectors are taken from the corpus again for those that are missing
     assert "zip_with" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_validity_modes_share_the_ranks(spark, monkeypatch):
+    asked = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def rank(i):
+        asked.add(1)
+        return i + 1
+
+    ids = spark.range(8).repartition(2)
+    monkeypatch.setattr(eval_queries, "vec_gold_ranks", lambda s, d: ids.select(
+        F.lit("A").alias("model"), F.col("id").alias("query_id"), rank("id").alias("rank")))
+    monkeypatch.setattr(eval_queries.td, "vectors", lambda s, d: ids.select(F.col("id").alias("vec_id"), (F.col("id") % 4).cast("int").alias("label")))
+    got = {r["mode"]: (r["MRR@10"], r["Recall@10"], r.n) for r in eval_queries.q_validity_filter_rank(spark, "").collect()}
+    kept = [1 / (i + 1) for i in range(8) if i % 4]
+    assert got == {"drop": (round(sum(kept) / 6, 6), 1.0, 6), "zero": (round(sum(kept) / 8, 6), 0.75, 8)}
+    assert asked.value == 8
